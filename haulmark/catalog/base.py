@@ -149,6 +149,8 @@ def with_views(sql: str) -> str:
         return sql
     heads = ", ".join(f"{name} AS ({VIEW_SQL[name][1]})" for name in needed)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {heads}, {body[5:]}"
     return f"WITH {heads} {body}"

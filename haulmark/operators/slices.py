@@ -46,20 +46,24 @@ def running_by_slice(
     descending: bool = False,
     sums: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
+    maxes_before: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add running columns over ``order`` within ``keys``.
 
-    sums      running total up to and including the row
-    maxes     running maximum up to and including the row
-    lasts     last value that is not null up to and including the row
-    previous  value of the row before, null on the first row of a key
+    sums          running total up to and including the row
+    maxes         running maximum up to and including the row
+    maxes_before  running maximum of the rows before
+    lasts         last value that is not null up to and including the row
+    previous      value of the row before, null on the first row of a key
 
     ``slice_by`` must not decrease along ``order`` (not increase where ``descending``).
     """
-    sums, maxes, lasts, previous = (group or {} for group in (sums, maxes, lasts, previous))
-    measures = {**sums, **maxes, **lasts, **previous}
+    sums, maxes, maxes_before, lasts, previous = (
+        group or {} for group in (sums, maxes, maxes_before, lasts, previous)
+    )
+    measures = {**sums, **maxes, **maxes_before, **lasts, **previous}
     inputs = {name: f"_in_{name}" for name in measures}
 
     rows = df.withColumns({inputs[name]: expr for name, expr in measures.items()} | {_SLICE: slice_by})
@@ -69,7 +73,7 @@ def running_by_slice(
     totals = []
     for name in sums:
         totals.append(F.sum(inputs[name]).alias(inputs[name]))
-    for name in maxes:
+    for name in (*maxes, *maxes_before):
         totals.append(F.max(inputs[name]).alias(inputs[name]))
     for name in lasts:
         known = F.when(F.col(inputs[name]).isNotNull(), order_value)
@@ -82,7 +86,7 @@ def running_by_slice(
     along = Window.partitionBy(*keys).orderBy(slice_order)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.sum(inputs[n]).over(before).alias(inputs[n]) for n in sums]
-    carried += [F.max(inputs[n]).over(before).alias(inputs[n]) for n in maxes]
+    carried += [F.max(inputs[n]).over(before).alias(inputs[n]) for n in (*maxes, *maxes_before)]
     carried += [F.last(inputs[n], ignorenulls=True).over(before).alias(inputs[n]) for n in lasts]
     carried += [F.lag(inputs[n]).over(along).alias(inputs[n]) for n in previous]
     seeds = per_slice.select(*keys, _SLICE, F.lit(True).alias(_SEED), *carried)
@@ -93,6 +97,9 @@ def running_by_slice(
     so_far = within.rowsBetween(Window.unboundedPreceding, 0)
     results = {n: F.sum(inputs[n]).over(so_far) for n in sums}
     results |= {n: F.max(inputs[n]).over(so_far) for n in maxes}
+    results |= {
+        n: F.max(inputs[n]).over(within.rowsBetween(Window.unboundedPreceding, -1)) for n in maxes_before
+    }
     results |= {n: F.last(inputs[n], ignorenulls=True).over(so_far) for n in lasts}
     results |= {n: F.lag(inputs[n]).over(within) for n in previous}
     kept = [c for c in df.columns if c not in results]
