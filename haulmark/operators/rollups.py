@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -33,7 +31,8 @@ def metrics_snapshot(sessions: DataFrame, agents: DataFrame, connections: Column
         F.coalesce(F.sum(F.when(parallel, F.col("active_streams")).otherwise(1)), F.lit(0)).alias("active_streams"),
     )
     connected = agents.agg(F.count("*").alias("connected_agents"), F.coalesce(connections, F.lit(0)).alias("active_conns"))
-    return counts.join(connected)
+    both = counts.unionByName(connected, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def metric_rows(snapshot: DataFrame, prefix: str = "server") -> DataFrame:
@@ -87,20 +86,24 @@ def _as_metrics(row: DataFrame, prefix: str, entries: list[tuple[str, str, str]]
     return row.select(F.inline(items))
 
 
-def session_summary(sessions: DataFrame, streams: DataFrame, as_of: Column) -> DataFrame:
+def session_summary(sessions: DataFrame, streams: DataFrame, as_of: Column, extra: tuple[Column, ...] = ()) -> DataFrame:
     """One row per session: bytes over its streams, active streams, last activity, status and time left.
 
-    ``sessions`` has objects_sent, total_objects, walk_complete, elapsed_s, closing and phase.
+    ``sessions`` has objects_sent, total_objects, walk_complete, elapsed_s, closing and phase. ``extra`` are
+    further named aggregates over the streams of a session.
     """
     per_session = streams.groupBy("session_id").agg(
         F.sum("offset").alias("bytes_received"),
         F.count_if(F.col("slot_status") == "receiving").alias("active_streams"),
         F.max("last_activity").alias("last_activity"),
+        *extra,
     )
+    added = [c for c in per_session.columns if c not in ("session_id", "bytes_received", "active_streams", "last_activity")]
     return sessions.join(per_session, "session_id").select(
         "session_id", "bytes_received", "active_streams", "last_activity", "phase",
         status.session_status("last_activity", as_of, "closing").alias("status"),
         progress.session_eta("objects_sent", "total_objects", "elapsed_s", "walk_complete").alias("eta"),
+        *added,
     )
 
 
@@ -110,10 +113,8 @@ def session_detail(sessions: DataFrame, streams: DataFrame, as_of: Column) -> Da
     A session has at most 256 slots and ``streams`` one row per slot, which bounds the list.
     """
     item = F.struct("slot", "offset", "slot_status", "mbps")
-    nested = streams.groupBy("session_id").agg(
-        F.array_sort(F.collect_list(item)).alias("streams"), F.sum("mbps").alias("total_mbps")
-    )
-    return session_summary(sessions, streams, as_of).join(nested, "session_id")
+    nested = (F.array_sort(F.collect_list(item)).alias("streams"), F.sum("mbps").alias("total_mbps"))
+    return session_summary(sessions, streams, as_of, nested)
 
 
 def stream_display_order(streams: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def next_run(report: DataFrame) -> DataFrame:
     """The job that starts next, one row."""
     return report.filter(F.col("next_start_s").isNotNull()).agg(
         F.min(F.struct("next_start_s", "job")).alias("n")
-    ).select("n.job", "n.next_start_s")
+    ).filter(F.col("n").isNotNull()).select("n.job", "n.next_start_s")
 
 
 def event_counts(events: DataFrame, by: list[str]) -> DataFrame:
@@ -186,7 +187,3 @@ def object_progress(totals: DataFrame, latest: DataFrame) -> DataFrame:
         "session_id", "total_objects", "objects_sent",
         progress.progress_pct("objects_sent", "total_objects").alias("progress_pct"), eta.alias("eta_s"),
     )
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
