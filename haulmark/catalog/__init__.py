@@ -6,7 +6,7 @@ import importlib
 
 from haulmark.catalog.base import ORACLES, QUERIES
 
-MODULES = ("ledger", "scalars", "mirror", "telemetry", "logs")
+MODULES = ("ledger", "scalars", "mirror", "telemetry", "logs", "files", "streams")
 
 for _module in MODULES:
     importlib.import_module(f"haulmark.catalog.{_module}")
