@@ -15,19 +15,20 @@ from haulmark.session import scratch_path
 from haulmark.sources import feeds, stores
 from haulmark.streaming import sinks, state, windows
 
+HDFS_BACKED = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DELAY = "10 minutes"
 WM_SQL = "wm AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS wm FROM events)"
 
 
-def _stream(v: Views, table: str):
+def _stream(v: Views, table: str, store: str = HDFS_BACKED):
     """A table as a feed. The pattern matches a table that is one file as well as a folder of files."""
-    v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
     return feeds.read_chunk_stream(v.spark, f"{v.sf_dir}/{table}.parque[t]", v.table(table).schema)
 
 
-def _ticks(v: Views):
-    return windows.with_event_time(v.ticks(_stream(v, "events")), "ts", DELAY)
+def _ticks(v: Views, store: str = HDFS_BACKED):
+    return windows.with_event_time(v.ticks(_stream(v, "events", store)), "ts", DELAY)
 
 
 def _append(v: Views, stream, name: str):
@@ -141,7 +142,7 @@ def first_arrivals_stream(v: Views):
 @query("t6_flow_rotation_alerts")
 def flow_rotation_alerts(v: Views):
     """Ticks of three days; slow is less than a typical tick carries."""
-    ticks = _ticks(v).withColumn("slot", F.col("event_id") % 2)
+    ticks = _ticks(v, ROCKSDB).withColumn("slot", F.col("event_id") % 2)
     throughput = windows.stream_throughput(ticks, "3 days")
     alerts = state.flow_rotation_alerts(
         throughput, tick_s=259_200, min_mbps=0.0005, eval_window_s=259_200, cooldown_s=777_600
@@ -166,7 +167,7 @@ RATE_WINDOW_SQL = f"""{WM_SQL},
 def hysteresis_stream(v: Views):
     produced = F.col("event_type").isin("click", "view", "signup")
     samples = windows.with_event_time(
-        _stream(v, "events").select(
+        _stream(v, "events", ROCKSDB).select(
             (F.col("user_id") % 10).alias("agent"), (F.col("event_id") % 4).alias("slot"), "ts", "event_type",
             F.round(F.col("value") * 100).cast("long").alias("cents"),
         ), "ts", DELAY,
@@ -185,7 +186,7 @@ def hysteresis_stream(v: Views):
     SELECT session_id, CAST(epoch(day) AS BIGINT) AS tick_s,
            round(list_reduce(xs, lambda a, x: a + 0.28 * (x - a)), 5) AS smoothed FROM l""")
 def ewma_stream(v: Views):
-    daily = _ticks(v).groupBy(F.window("ts", "1 day"), "session_id").agg((F.sum("bytes") / 1048576).alias("mb"))
+    daily = _ticks(v, ROCKSDB).groupBy(F.window("ts", "1 day"), "session_id").agg((F.sum("bytes") / 1048576).alias("mb"))
     done = _append(v, state.ewma_stream(daily, "session_id", "mb"), "ewma")
     return done.withColumn("smoothed", F.round("smoothed", 5))
 
@@ -197,7 +198,7 @@ def ewma_stream(v: Views):
     SELECT agent, CAST(epoch(hour) AS BIGINT) AS tick_s, list_reduce(xs, lambda a, x: CASE WHEN a = 0 THEN x ELSE
            CAST(floor(0.25 * x + 0.75 * a + 0.5) AS BIGINT) END) AS rtt_ns FROM l""")
 def rtt_stream(v: Views):
-    hourly = _ticks(v).groupBy(F.window("ts", "1 hour"), "agent").agg(F.max("bytes").alias("ns"))
+    hourly = _ticks(v, ROCKSDB).groupBy(F.window("ts", "1 hour"), "agent").agg(F.max("bytes").alias("ns"))
     return _append(v, state.rtt_stream(hourly, "agent", "ns"), "rtt")
 
 
@@ -210,7 +211,7 @@ def rtt_stream(v: Views):
            backpressure_events FROM l, wm WHERE hour + INTERVAL 1 HOUR <= wm""")
 def buffer_pressure_stream(v: Views):
     kind = F.col("event_type")
-    events = _ticks(v).select(
+    events = _ticks(v, ROCKSDB).select(
         "ts", "bytes", F.lit("server").alias("buffer"),
         F.when(kind.isin("click", "view"), "push").when(kind.isin("purchase", "signup"), "drain")
         .when(F.col("event_id") % 2 == 0, "fallback").otherwise("backpressure").alias("kind"),
@@ -229,20 +230,20 @@ def _silence_sql(key: str, where: str, seconds: int, width: int) -> str:
 @query("t10_missed_heartbeats_stream", _silence_sql("agent", "true", 4500, 3600))
 def missed_heartbeats_stream(v: Views):
     """Server side of a channel with a keepalive of 1800 seconds."""
-    pings = windows.ping_windows(_ticks(v), "agent", "1 hour")
+    pings = windows.ping_windows(_ticks(v, ROCKSDB), "agent", "1 hour")
     return _append(v, state.silence_alerts(pings, "agent", 2.5 * 1800, 3600), "heartbeats")
 
 
 @query("t12_stall_detect_stream", _silence_sql("session_id", "bytes > 20000000", 432_000, 86_400))
 def stall_detect_stream(v: Views):
     """Sessions without traffic worth mention for five days."""
-    moving = windows.ping_windows(_ticks(v).filter("bytes > 20000000"), "session_id", "1 day")
+    moving = windows.ping_windows(_ticks(v, ROCKSDB).filter("bytes > 20000000"), "session_id", "1 day")
     return _append(v, state.silence_alerts(moving, "session_id", 432_000, 86_400), "stalls")
 
 
 @query("t11_control_loss_grace", f"""WITH {WM_SQL},
     l AS (SELECT c.* FROM v_ctrl c, wm WHERE event_type = 'error'
-          AND (floor(epoch(ts) / 3600) + 2) * 3600 < epoch(wm)),
+          AND (floor(epoch(ts) / 3600) + 2) * 3600 <= epoch(wm)),
     m AS (SELECT l.agent, l.event_id, min(r.ts) AS back FROM l LEFT JOIN (SELECT * FROM v_ctrl WHERE event_type = 'signup') r
           ON l.agent = r.agent AND r.ts >= l.ts AND r.ts <= l.ts + INTERVAL 1 HOUR GROUP BY ALL)
     SELECT agent, event_id, CASE WHEN back IS NULL THEN 'control_lost' ELSE 'recovered' END AS outcome,
@@ -251,7 +252,7 @@ def control_loss_grace(v: Views):
     events = _ticks(v).filter(F.col("event_type").isin("error", "signup")).select(
         F.col("session_id").alias("agent"), "event_id", "ts", (F.col("event_type") == "error").alias("lost")
     )
-    return _append(v, state.control_loss_grace(events, "agent", 3600), "grace")
+    return _append(v, windows.control_loss_grace(events, "agent", 3600), "grace")
 
 
 @query("t13_progress_state", """

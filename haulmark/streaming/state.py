@@ -1,7 +1,8 @@
-"""Streaming operators that keep state of their own. They need the RocksDB state store.
+"""Streaming operators that keep state of their own.
 
-Except for the chunk assembly they read windowed aggregates in append mode: each key gets few rows per
-interval, in order, however many events there were.
+Folds over windowed aggregates (append mode) get few rows per key and interval, in order, however many events
+there were. They follow an aggregation and so use ``transformWithState``, which needs the RocksDB state store.
+Chunk assembly reads the chunks themselves and uses ``applyInPandasWithState``.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from haulmark.operators.timeline import (
     HYSTERESIS, MIN_STREAM_MBPS, RTT_ALPHA, SCALE_DOWN_BELOW, SCALE_UP_ABOVE, THROUGHPUT_ALPHA,
@@ -217,126 +219,52 @@ def silence_alerts(windows: DataFrame, key: str, deadline_s: float, width_s: int
     )
 
 
-class GraceSpan(StatefulProcessor):
-    """Losses and recoveries of one key and span of time, decided once the watermark has passed both."""
-
-    def __init__(self, key_name: str, grace_s: int):
-        self.key_name, self.grace_s = key_name, grace_s
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.losses = handle.getListState("losses", "event_id long, us long")
-        self.back = handle.getListState("back", "us long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            lost = batch[batch["lost"]]
-            if len(lost):
-                self.losses.appendList(list(zip(lost["event_id"].tolist(), lost["us"].tolist())))
-            back = batch[~batch["lost"]]
-            if len(back):
-                self.back.appendList([(us,) for us in back["us"].tolist()])
-        self.handle.registerTimer((int(key[1]) + 2) * self.grace_s * 1000)
-        yield self._decided(key, [], [])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._decided(key, list(self.losses.get()), sorted(us for (us,) in self.back.get()))
-        self.losses.clear()
-        self.back.clear()
-
-    def _decided(self, key, losses: list, back: list[int]) -> pd.DataFrame:
-        found = []
-        for event_id, us in losses:
-            at = bisect.bisect_left(back, us)
-            recovered = at < len(back) and back[at] - us <= self.grace_s * 1_000_000
-            found.append((key[0], event_id, "recovered" if recovered else "control_lost", back[at] if recovered else None))
-        frame = pd.DataFrame(found, columns=[self.key_name, "event_id", "outcome", "recovered_us"])
-        return frame.astype({"recovered_us": "Int64"})
-
-    def close(self) -> None:
-        pass
-
-
-def control_loss_grace(events: DataFrame, key: str, grace_s: int) -> DataFrame:
-    """Each loss with its nearest recovery within the grace, or ``control_lost``, once that is certain.
-
-    ``events`` has the key, event_id, ts and lost (true for a loss). Time is cut into spans of one grace;
-    recoveries also enter the span before theirs, so a span decides its own losses and a busy key is spread
-    over its spans.
-    """
-    span = F.floor(F.unix_seconds("ts") / grace_s)
-    rows = events.select(
-        key, "event_id", "ts", F.unix_micros("ts").alias("us"), "lost",
-        F.explode(F.when(F.col("lost"), F.array(span)).otherwise(F.array(span, span - 1))).alias("span"),
-    )
-    return rows.groupBy(key, "span").transformWithStateInPandas(
-        GraceSpan(key, grace_s),
-        f"{key} {dict(rows.dtypes)[key]}, event_id long, outcome string, recovered_us long", "Append", "EventTime",
-    )
-
-
-class ChunkAssembly(StatefulProcessor):
+def _assemble(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Frontier of one session: the next sequence expected, and the runs of chunks waiting beyond it.
 
-    Payloads stay out of the state, and neighbouring chunks share a run, so its size follows the number of
-    gaps. Each batch gives one progress row and one row per ignored chunk.
+    Payloads stay out of the state, and neighbouring chunks share a run, so its size follows the number of gaps.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ledger = handle.getValueState(
-            "ledger", "next_seq long, bytes long, starts array<long>, ends array<long>, sizes array<long>"
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        next_seq, done_bytes, *runs = self.ledger.get() or (0, 0, [], [], [])
-        starts, ends, sizes = (list(r) for r in runs)
-        for batch in rows:
-            ignored = []
-            for seq, length in zip(batch["global_seq"].tolist(), batch["length"].tolist()):
-                if seq < next_seq:
-                    ignored.append((seq, length, "late"))
-                    continue
-                at = bisect.bisect_right(starts, seq) - 1
-                if at >= 0 and seq <= ends[at]:
-                    ignored.append((seq, length, "duplicate"))
-                    continue
-                if at >= 0 and ends[at] == seq - 1:
-                    ends[at], sizes[at] = seq, sizes[at] + length
-                else:
-                    at += 1
-                    starts.insert(at, seq), ends.insert(at, seq), sizes.insert(at, length)
-                if at + 1 < len(starts) and starts[at + 1] == seq + 1:
-                    ends[at], sizes[at] = ends[at + 1], sizes[at] + sizes[at + 1]
-                    del starts[at + 1], ends[at + 1], sizes[at + 1]
-                if starts[0] == next_seq:
-                    next_seq, done_bytes = ends[0] + 1, done_bytes + sizes[0]
-                    del starts[0], ends[0], sizes[0]
-            if ignored:
-                yield self._rows(key, "ignored", ignored)
-        self.ledger.update((next_seq, done_bytes, starts, ends, sizes))
+    next_seq, done_bytes, *runs = state.get if state.exists else (0, 0, [], [], [])
+    starts, ends, sizes = (list(r) for r in runs)
+    for batch in batches:
+        found = []
+        for seq, length in zip(batch["global_seq"].tolist(), batch["length"].tolist()):
+            if seq < next_seq:
+                found.append(("ignored", seq, length, "late"))
+                continue
+            at = bisect.bisect_right(starts, seq) - 1
+            if at >= 0 and seq <= ends[at]:
+                found.append(("ignored", seq, length, "duplicate"))
+                continue
+            if at >= 0 and ends[at] == seq - 1:
+                ends[at], sizes[at] = seq, sizes[at] + length
+            else:
+                at += 1
+                starts.insert(at, seq), ends.insert(at, seq), sizes.insert(at, length)
+            if at + 1 < len(starts) and starts[at + 1] == ends[at] + 1:
+                ends[at], sizes[at] = ends[at + 1], sizes[at] + sizes[at + 1]
+                del starts[at + 1], ends[at + 1], sizes[at + 1]
+            if starts[0] == next_seq:
+                next_seq, done_bytes = ends[0] + 1, done_bytes + sizes[0]
+                del starts[0], ends[0], sizes[0]
         waiting = sum(ends) - sum(starts) + len(starts)
-        yield self._rows(key, "progress", [(next_seq, done_bytes, str(waiting))])
-
-    @staticmethod
-    def _rows(key, kind: str, found: list[tuple]) -> pd.DataFrame:
-        seqs, sizes, notes = zip(*found)
-        return pd.DataFrame(
-            {"session_id": key[0], "kind": kind, "global_seq": seqs, "num_bytes": sizes, "note": notes}
-        )
-
-    def close(self) -> None:
-        pass
+        found.append(("progress", next_seq, done_bytes, str(waiting)))
+        kinds, seqs, amounts, notes = zip(*found)
+        yield pd.DataFrame({
+            "session_id": [key[0]] * len(kinds), "kind": kinds, "global_seq": seqs, "num_bytes": amounts, "note": notes
+        })
+    state.update((next_seq, done_bytes, starts, ends, sizes))
 
 
 def assemble_stream(chunks: DataFrame) -> DataFrame:
-    """Progress of each session per batch, and the late and duplicate chunks that were ignored.
+    """Progress of each session, and the late and duplicate chunks that were ignored.
 
     For ``progress`` rows global_seq is the next sequence expected, num_bytes the contiguous bytes and note
     the number of chunks waiting; for ``ignored`` rows the chunk, its length and why.
     """
     key_type = dict(chunks.dtypes)["session_id"]
-    return chunks.select("session_id", "global_seq", "length").groupBy("session_id").transformWithStateInPandas(
-        ChunkAssembly(),
-        f"session_id {key_type}, kind string, global_seq long, num_bytes long, note string",
-        "Append", "None",
+    return chunks.select("session_id", "global_seq", "length").groupBy("session_id").applyInPandasWithState(
+        _assemble, f"session_id {key_type}, kind string, global_seq long, num_bytes long, note string",
+        "next_seq long, bytes long, starts array<long>, ends array<long>, sizes array<long>", "append",
+        GroupStateTimeout.NoTimeout,
     )
