@@ -80,7 +80,7 @@ def format_bytes_ui(v: Views):
                             ELSE printf('%d:%02d', s // 60, s % 60) END AS t
     FROM (SELECT o_orderkey, CAST(floor(floor(o_totalprice) / 4.0 + 0.5) AS BIGINT) % 20000 AS s FROM orders)""")
 def format_duration(v: Views):
-    seconds = F.pmod(F.floor("o_totalprice") / 4.0 + 0.5, F.lit(20000.0)) - 0.5
+    seconds = F.floor(F.floor("o_totalprice") / 4.0 + 0.5) % 20000 + 0.25
     return v.table("orders").select("o_orderkey", sizes.format_duration(seconds).alias("t"))
 
 

@@ -227,11 +227,11 @@ def _silence_sql(key: str, where: str, seconds: int, width: int) -> str:
     WHERE (floor((epoch(ts) + {seconds}) / {width}) + 1) * {width} <= epoch(wm) AND (following IS NULL OR following > ts + INTERVAL {seconds} SECOND)"""
 
 
-@query("t10_missed_heartbeats_stream", _silence_sql("agent", "true", 4500, 3600))
+@query("t10_missed_heartbeats_stream", _silence_sql("session_id", "true", 4500, 3600))
 def missed_heartbeats_stream(v: Views):
     """Server side of a channel with a keepalive of 1800 seconds."""
-    pings = windows.ping_windows(_ticks(v, ROCKSDB), "agent", "1 hour")
-    return _append(v, state.silence_alerts(pings, "agent", 2.5 * 1800, 3600), "heartbeats")
+    pings = windows.ping_windows(_ticks(v, ROCKSDB), "session_id", "1 hour")
+    return _append(v, state.silence_alerts(pings, "session_id", 2.5 * 1800, 3600), "heartbeats")
 
 
 @query("t12_stall_detect_stream", _silence_sql("session_id", "bytes > 20000000", 432_000, 86_400))

@@ -469,12 +469,12 @@ def buffer_pressure(v: Views):
 
 
 @query("t10_missed_heartbeats", """
-    WITH g AS (SELECT agent, ts, lag(ts) OVER (PARTITION BY agent ORDER BY ts, event_id) AS prev FROM v_ticks)
-    SELECT agent, epoch_us(prev) + 4500000000 AS lost_us, epoch_us(ts) AS back_us
+    WITH g AS (SELECT session_id, ts, lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS prev FROM v_ticks)
+    SELECT session_id, epoch_us(prev) + 4500000000 AS lost_us, epoch_us(ts) AS back_us
     FROM g WHERE epoch_us(ts) - epoch_us(prev) > 4500000000""")
 def missed_heartbeats(v: Views):
-    lost = timeline.missed_heartbeats(v.ticks(), ["agent"], TICK_ORDER, time_slice("ts"), "ts", 1800)
-    return lost.select("agent", F.unix_micros("lost_at").alias("lost_us"), F.unix_micros("back_at").alias("back_us"))
+    lost = timeline.missed_heartbeats(v.ticks(), ["session_id"], TICK_ORDER, day(), "ts", 1800)
+    return lost.select("session_id", F.unix_micros("lost_at").alias("lost_us"), F.unix_micros("back_at").alias("back_us"))
 
 
 @query("t12_stall_detect", """
