@@ -112,7 +112,7 @@ def contiguous_prefix(v: Views):
            CASE WHEN received_chunks = next_expected_seq THEN 'done' ELSE 'receiving' END AS phase
     FROM s""")
 def chunk_session_stats(v: Views):
-    return sequences.chunk_session_stats(sequences.dedupe_chunks(v.chunks()))
+    return sequences.chunk_session_stats(sequences.dedupe_chunks(v.chunks())).drop("duplicates")
 
 
 @query("w3_missing_ranges", """

@@ -34,20 +34,36 @@ def distinct_seq_sets(log: DataFrame) -> DataFrame:
     )
 
 
+def seq_categories(members: DataFrame) -> DataFrame:
+    """(session, category, seq) of every set the report looks at, one pass over the memberships.
+
+    ``received_minus_sacked`` is listed for all sessions here; see :func:`acknowledging_only`.
+    """
+    categories = F.array_compact(F.array(
+        F.when(F.col("started") & ~F.col("received"), "started_minus_received"),
+        F.when(F.col("failed") & ~F.col("received"), "failed_minus_received"),
+        F.when(F.col("received") & ~F.col("sacked"), "received_minus_sacked"),
+        F.when(F.col("explicit_missing"), "explicit_missing"),
+        F.when(F.col("received"), "received"),
+        F.when(F.col("sacked"), "sacked"),
+    ))
+    return members.select("session_id", "seq", F.explode(categories).alias("category"))
+
+
+def acknowledging_only(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Drop ``received_minus_sacked`` of sessions that acknowledged nothing at all."""
+    acknowledging = members.groupBy("session_id").agg(F.bool_or("sacked").alias("_acks"))
+    return (
+        found.join(acknowledging, "session_id")
+        .filter((F.col("category") != "received_minus_sacked") | F.col("_acks"))
+        .drop("_acks")
+    )
+
+
 def set_differences(members: DataFrame) -> DataFrame:
     """(session, category, seq) of started, failed and acknowledged numbers that do not match the received ones.
 
     Numbers received without acknowledgement only count in sessions that acknowledged anything.
     """
-    acknowledging = members.filter("sacked").select("session_id").distinct()
-    unsacked = members.filter("received and not sacked").join(acknowledging, "session_id", "left_semi")
-    direct = members.select(
-        "session_id", "seq",
-        F.explode(F.array_compact(F.array(
-            F.when(F.col("started") & ~F.col("received"), "started_minus_received"),
-            F.when(F.col("failed") & ~F.col("received"), "failed_minus_received"),
-        ))).alias("category"),
-    )
-    return direct.select("session_id", "category", "seq").unionByName(
-        unsacked.select("session_id", F.lit("received_minus_sacked").alias("category"), "seq")
-    )
+    differences = seq_categories(members).filter(F.col("category").contains("_minus_"))
+    return acknowledging_only(differences, members)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -50,13 +50,18 @@ def late_and_duplicate_chunks(chunks: DataFrame, arrival: str = "arrival") -> Da
 
 
 def sequence_positions(distinct_chunks: DataFrame, width: int = SEQUENCES_PER_SLICE) -> DataFrame:
-    """Rows with ``position`` (1-based rank in the session), ``bytes_so_far`` and ``prev_seq``."""
+    """Rows with ``position`` (1-based rank in the session), ``bytes_so_far``, ``copies_so_far``, ``prev_seq``.
+
+    Everything a session's statistics need comes from this one pass, so that the slice totals and the rows
+    read the same columns and Spark computes their common input once.
+    """
+    copies = F.col("copies") if "copies" in distinct_chunks.columns else F.lit(1)
     return running_by_slice(
         distinct_chunks,
         ["session_id"],
         ["global_seq"],
         sequence_slice("global_seq", width),
-        sums={"position": F.lit(1), "bytes_so_far": F.col("length")},
+        sums={"position": F.lit(1), "bytes_so_far": F.col("length"), "copies_so_far": copies},
         previous={"prev_seq": F.col("global_seq")},
     )
 
@@ -65,12 +70,12 @@ def contiguous_prefix(distinct_chunks: DataFrame, width: int = SEQUENCES_PER_SLI
     """Each chunk with ``assembled``: is it part of the gapless run that starts at sequence 0?"""
     placed = sequence_positions(distinct_chunks, width)
     return placed.withColumn("assembled", F.col("global_seq") == F.col("position") - 1).drop(
-        "position", "bytes_so_far", "prev_seq"
+        "position", "bytes_so_far", "copies_so_far", "prev_seq"
     )
 
 
-def chunk_session_stats(chunks: DataFrame, width: int = SEQUENCES_PER_SLICE, extra: list[Column] = ()) -> DataFrame:
-    """One row per session of deduplicated chunks: frontier, pending part, gaps, totals and ``extra`` aggregates."""
+def chunk_session_stats(chunks: DataFrame, width: int = SEQUENCES_PER_SLICE) -> DataFrame:
+    """One row per session of deduplicated chunks: frontier, pending part, gaps, duplicates and totals."""
     placed = sequence_positions(chunks, width)
     in_prefix = F.col("global_seq") == F.col("position") - 1
     gap = F.col("global_seq") - F.col("prev_seq") - 1
@@ -78,12 +83,12 @@ def chunk_session_stats(chunks: DataFrame, width: int = SEQUENCES_PER_SLICE, ext
         F.coalesce(F.max(F.when(in_prefix, F.col("position"))), F.lit(0)).alias("next_expected_seq"),
         F.coalesce(F.max(F.when(in_prefix, F.col("bytes_so_far"))), F.lit(0)).alias("assembled_bytes"),
         F.count("*").alias("received_chunks"),
-        F.sum("length").alias("total_bytes"),
+        F.max("bytes_so_far").alias("total_bytes"),
+        (F.max("copies_so_far") - F.count("*")).alias("duplicates"),
         F.min("global_seq").alias("first_seq"),
         F.max("global_seq").alias("last_seq"),
         F.count_if(gap > 0).alias("gap_ranges"),
         F.coalesce(F.sum(F.when(gap > 0, gap)), F.lit(0)).alias("gap_chunks"),
-        *extra,
     )
     return totals.select(
         "*",

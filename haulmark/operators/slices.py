@@ -89,7 +89,11 @@ def running_by_slice(
     carried += [F.max(inputs[n]).over(before).alias(inputs[n]) for n in (*maxes, *maxes_before)]
     carried += [F.last(inputs[n], ignorenulls=True).over(before).alias(inputs[n]) for n in lasts]
     carried += [F.lag(inputs[n]).over(along).alias(inputs[n]) for n in previous]
-    seeds = per_slice.select(*keys, _SLICE, F.lit(True).alias(_SEED), *carried)
+    seeds = (
+        per_slice.select(*keys, _SLICE, F.lit(True).alias(_SEED), F.lag(_SLICE).over(along).alias("_earlier"), *carried)
+        .filter(F.col("_earlier").isNotNull())
+        .drop("_earlier")
+    )
 
     seeded = rows.withColumn(_SEED, F.lit(False)).unionByName(seeds, allowMissingColumns=True)
     row_order = [F.col(c).desc() if descending else F.col(c).asc() for c in order]

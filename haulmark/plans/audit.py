@@ -21,9 +21,7 @@ def audit_transfer(chunks: DataFrame, mode: str = "lazy", width: int = SEQUENCES
     Only lengths and sequence numbers are shuffled. ``mode`` decides whether a gap fails the session.
     """
     firsts = dedupe_chunks(valid_chunks(chunks).select("session_id", "global_seq", "length", "arrival"))
-    stats = chunk_session_stats(
-        firsts, width, extra=[F.sum(F.col("copies") - 1).alias("duplicates")]
-    )
+    stats = chunk_session_stats(firsts, width)
     verdict = F.when(F.col("total_bytes") == 0, "write_error")
     if mode == "lazy":
         verdict = verdict.when(~F.col("assembled"), "missing_chunks")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.operators.forensics import seq_membership, set_differences
-from haulmark.operators.sequences import NO_RANGES, format_ranges, missing_ranges, values_to_ranges
+from haulmark.operators.forensics import acknowledging_only, seq_categories, seq_membership
+from haulmark.operators.sequences import NO_RANGES, format_ranges
+from haulmark.operators.slices import running_by_slice, sequence_slice
 
 CATEGORIES = (
     "explicit_missing", "received_gaps", "started_minus_received", "failed_minus_received", "received_minus_sacked"
@@ -15,19 +16,41 @@ CATEGORIES = (
 PROBLEMS = CATEGORIES[:4]
 
 
-def finding_ranges(log: DataFrame) -> DataFrame:
-    """(session, category, range_start, range_end) of everything found."""
-    members = seq_membership(log)
+def _session_ranges(log: DataFrame) -> DataFrame:
+    """Ranges of all categories, and the gaps between received numbers, from one ordered pass.
+
+    Islands group by ``seq - rank``; a gap precedes each received number that does not follow the one before.
+    The rows of ``received`` and ``sacked`` themselves carry the counts of the session.
+    """
     keys = ["session_id", "category"]
-    listed = set_differences(members).unionByName(
-        members.filter("explicit_missing").select("session_id", F.lit("explicit_missing").alias("category"), "seq")
+    listed = seq_categories(seq_membership(log))
+    placed = running_by_slice(
+        listed, keys, ["seq"], sequence_slice("seq"), sums={"_rank": F.lit(1)}, previous={"_before": F.col("seq")}
+    )
+    gap = (F.col("category") == "received") & (F.col("seq") > F.col("_before") + 1)
+    return (
+        placed.groupBy(*keys, (F.col("seq") - F.col("_rank")).alias("_island"))
+        .agg(F.min("seq").alias("range_start"), F.max("seq").alias("range_end"), F.max(F.when(gap, F.col("_before"))).alias("_before"))
+        .drop("_island")
     )
-    gaps = missing_ranges(members.filter("received"), ["session_id"], "seq")
-    return values_to_ranges(listed, keys, "seq").unionByName(
-        gaps.withColumn("category", F.lit("received_gaps"))
+
+
+def _with_gaps(ranges: DataFrame) -> DataFrame:
+    """Turn the islands of received numbers into the gaps before them; other categories stay."""
+    received = F.col("category") == "received"
+    return ranges.filter((~received | F.col("_before").isNotNull()) & (F.col("category") != "sacked")).select(
+        "session_id",
+        F.when(received, "received_gaps").otherwise(F.col("category")).alias("category"),
+        F.when(received, F.col("_before") + 1).otherwise(F.col("range_start")).alias("range_start"),
+        F.when(received, F.col("range_start") - 1).otherwise(F.col("range_end")).alias("range_end"),
     )
 
 
+def finding_ranges(log: DataFrame) -> DataFrame:
+    """(session, category, range_start, range_end) of everything found."""
+    return acknowledging_only(_with_gaps(_session_ranges(log)), seq_membership(log))
+
+
 def log_verdict(log: DataFrame) -> DataFrame:
     """Exit code per session: 0 nothing missing, 1 something missing, 2 no valid line."""
     found = finding_ranges(log).groupBy("session_id").agg(
@@ -48,23 +71,29 @@ def forensic_report(log: DataFrame, limit: int = 12) -> DataFrame:
 
     ``msg`` is null on lines that are not valid.
     """
-    ranges = finding_ranges(log)
-    texts = format_ranges(ranges, ["session_id", "category"], limit)
+    ranges = _session_ranges(log)
+    texts = format_ranges(_with_gaps(ranges), ["session_id", "category"], limit)
     wide = texts.groupBy("session_id").agg(
         *[
             F.max(F.when(F.col("category") == c, F.col("ranges_text"))).alias(f"{c}_text") for c in CATEGORIES
         ],
         *[F.max(F.when(F.col("category") == c, F.col("value_count"))).alias(f"{c}_count") for c in CATEGORIES],
     )
-    received = seq_membership(log).filter("received").groupBy("session_id").agg(
-        F.count("*").alias("received_chunks"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
+    is_received = F.col("category") == "received"
+    received = ranges.groupBy("session_id").agg(
+        F.sum(F.when(is_received, F.col("range_end") - F.col("range_start") + 1)).alias("received_chunks"),
+        F.min(F.when(is_received, F.col("range_start"))).alias("first_seq"),
+        F.max(F.when(is_received, F.col("range_end"))).alias("last_seq"),
+        F.bool_or(F.col("category") == "sacked").alias("_acks"),
     )
     lines = log.groupBy("session_id").agg(F.count("msg").alias("valid_lines"))
+    unsacked = "received_minus_sacked"
+    noted = {c: F.coalesce("_acks", F.lit(False)) if c == unsacked else F.lit(True) for c in CATEGORIES}
     problem = F.greatest(*[F.coalesce(F.col(f"{c}_count"), F.lit(0)) for c in PROBLEMS]) > 0
     return lines.join(received, "session_id", "left").join(wide, "session_id", "left").select(
         "session_id", "valid_lines", F.coalesce("received_chunks", F.lit(0)).alias("received_chunks"),
         "first_seq", "last_seq",
-        *[F.coalesce(f"{c}_count", F.lit(0)).alias(f"{c}_count") for c in CATEGORIES],
-        *[F.coalesce(f"{c}_text", F.lit(NO_RANGES)).alias(f"{c}_text") for c in CATEGORIES],
+        *[F.coalesce(F.when(noted[c], F.col(f"{c}_count")), F.lit(0)).alias(f"{c}_count") for c in CATEGORIES],
+        *[F.coalesce(F.when(noted[c], F.col(f"{c}_text")), F.lit(NO_RANGES)).alias(f"{c}_text") for c in CATEGORIES],
         F.when(F.col("valid_lines") == 0, 2).when(problem, 1).otherwise(0).alias("exit_code"),
     )
