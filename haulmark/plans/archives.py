@@ -74,9 +74,10 @@ def audit_one(path: str) -> tuple[str, int]:
 
 
 def _audit_tar(plain) -> tuple[str, int]:
+    """Read every entry to its end. Nothing is read ahead, so damage counts against the entry it hits."""
     entries = 0
     try:
-        with tarfile.open(fileobj=plain, mode="r|", bufsize=BLOCK) as tar:
+        with tarfile.open(fileobj=plain, mode="r|", bufsize=tarfile.BLOCKSIZE) as tar:
             for member in tar:
                 body = tar.extractfile(member)
                 if body is not None:

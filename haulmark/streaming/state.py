@@ -43,7 +43,8 @@ class WindowFold(StatefulProcessor):
             state, values = self.step(state, row)
             found.extend((*key, row.tick_s, *v) for v in values)
         self.current.update(state)
-        yield pd.DataFrame(found, columns=self.columns)
+        if found:
+            yield pd.DataFrame(found, columns=self.columns, dtype=object)
 
     def close(self) -> None:
         pass
@@ -174,8 +175,9 @@ class SilenceWatch(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "last_us long, reported boolean")
 
-    def _lost(self, key, moments: list[int]) -> pd.DataFrame:
-        return pd.DataFrame({self.key_name: [key[0]] * len(moments), "lost_us": moments})
+    def _lost(self, key, moments: list[int]) -> Iterator[pd.DataFrame]:
+        if moments:
+            yield pd.DataFrame({self.key_name: [key[0]] * len(moments), "lost_us": moments}, dtype=object)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last, reported = self.last.get() or (0, True)
@@ -194,12 +196,12 @@ class SilenceWatch(StatefulProcessor):
         else:
             self.handle.registerTimer(due_ms)
         self.last.update((last, reported))
-        yield self._lost(key, lost)
+        yield from self._lost(key, lost)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last, reported = self.last.get()
         self.last.update((last, True))
-        yield self._lost(key, [] if reported else [last + self.deadline_us])
+        yield from self._lost(key, [] if reported else [last + self.deadline_us])
 
     def close(self) -> None:
         pass
