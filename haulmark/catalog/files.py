@@ -23,9 +23,8 @@ DOCS_PER_ARCHIVE = 50
 
 @query("s1_scan_inventory")
 def scan_inventory(v: Views):
-    """The files of the tables themselves, with the directories above them."""
-    listed = listings.scan_inventory(v.spark, [v.sf_dir], excludes=["*.crc", "_*"])
-    return listed.select("rel_path", "entry_type", "size")
+    """The files of the tables themselves, and the folders that hold them."""
+    return listings.scan_inventory(v.spark, [v.sf_dir], ["*.crc"]).select("rel_path", "entry_type", "size")
 
 
 @query("s4_scan_backups", """

@@ -16,15 +16,16 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulmark.sources.listings import local_path, walk
+
 BLOCK = 1 << 20
 CODECS = {"gzip": "gzip", "zst": "zstd"}
 
 
 def open_file(path: str):
     """Open a file by path or address for reading, and tell its size."""
-    if path.startswith("file:/"):
-        path = "/" + path[len("file:/"):].lstrip("/")
-    system, name = (pafs.LocalFileSystem(), path) if path.startswith("/") else pafs.FileSystem.from_uri(path)
+    local = local_path(path)
+    system, name = (pafs.LocalFileSystem(), local) if local else pafs.FileSystem.from_uri(path)
     return system.open_input_stream(name, compression=None), system.get_file_info(name).size
 
 
@@ -115,5 +116,5 @@ def audit_archives(paths: DataFrame, partitions: int | None = None) -> DataFrame
 
 def audit_folder(spark: SparkSession, base_dir: str) -> DataFrame:
     """Verdicts on every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base_dir).select("path")
+    files = walk(spark, [base_dir], F.lit(False)).filter("entry_type = 'file'")
     return audit_archives(files)

@@ -295,12 +295,21 @@ def test_listings(spark, tmp_path):
         target.write_bytes(b"12345")
     found = listings.scan_backups(spark, str(tmp_path)).collect()
     assert [r["rel_path"] for r in found] == ["2026-03-01.tar.gz", "2026-03-02.tar.zst", "agent2/weekly/backup.tar.gz"]
-    entries = listings.scan_inventory(spark, [str(tmp_path)], ["chunks_*/"])
+    (tmp_path / "void").mkdir()
+    (tmp_path / "none.txt").write_bytes(b"")
+    (tmp_path / "link").symlink_to("notes.txt")
+    entries = listings.scan_inventory(spark, [str(tmp_path)], ["chunks_*/", "*.zst"])
     root = str(tmp_path).lstrip("/")
-    names = {r["rel_path"][len(root) + 1:] for r in entries.filter(F.col("rel_path").startswith(root + "/")).collect()}
-    assert {"notes.txt", "agent2/weekly", "agent2/weekly/backup.tar.gz"} <= names and not any("chunks_" in n for n in names)
-    total = inventory.prescan(entries.filter(F.col("rel_path").startswith(root + "/"))).first()
-    assert total["total_bytes"] % 5 == 0 and total["total_objects"] >= 5
+    names = {r["rel_path"][len(root):].lstrip("/"): r["entry_type"] for r in entries.collect()}
+    assert names == {
+        "": "dir", "2026-03-01.tar.gz": "file", "notes.txt": "file", "none.txt": "file", "link": "symlink",
+        "void": "dir", "agent2": "dir", "agent2/weekly": "dir", "agent2/weekly/backup.tar.gz": "file", ".tmp": "dir",
+        ".tmp/x": "file",
+    }
+    total = inventory.prescan(entries).first()
+    assert (total["total_objects"], total["total_bytes"]) == (11, 20)
+    both = listings.scan_inventory(spark, [str(tmp_path), str(tmp_path / "agent2"), str(tmp_path / "absent")])
+    assert both.filter(F.col("rel_path").endswith("backup.tar.gz")).count() == 2
 
 
 def test_status_words(spark):
