@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.session import prepare
@@ -16,6 +16,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def rounded(value, digits: int = 0) -> Column:
+    """Round the product with the power of ten, half away from zero, as the SQL side does for doubles."""
+    number = F.col(value) if isinstance(value, str) else value
+    scale = F.lit(float(10**digits))
+    return F.signum(number) * F.floor(F.abs(number) * scale + 0.5) / scale
+
+
 def query(name: str, sql: str | None = None):
     """Register a function of :class:`Views` under ``name``, with its SQL if there is one."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from haulmark.catalog.base import Views, query
+from haulmark.catalog.base import Views, query, rounded
 from haulmark.operators import mirroring, retention
 from haulmark.plans import mirror
 
@@ -103,7 +103,7 @@ def sync_result(v: Views):
                                  GROUP BY storage) b ON s.storage = b.storage""")
 def storage_usage(v: Views):
     usage = mirroring.storage_usage(v.backups(), v.storages())
-    return usage.withColumn("usage_percent", F.round("usage_percent", 4))
+    return usage.withColumn("usage_percent", rounded("usage_percent", 4))
 
 
 @query("a10_upload_summary", """

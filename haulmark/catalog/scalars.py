@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from haulmark.catalog.base import Views, query
+from haulmark.catalog.base import Views, query, rounded
 from haulmark.functions import network, paths, progress, sizes, status
 from haulmark.operators import inventory, mirroring
 
@@ -135,7 +135,7 @@ def eta_pessimistic(v: Views):
         F.col("total") * 1000, done_bytes, progress.speed(done_bytes, "elapsed_s"),
         "total", "done", progress.speed("done", "elapsed_s"),
     )
-    return v.progress().select("session_id", F.round(eta, 4).alias("eta_s"))
+    return v.progress().select("session_id", rounded(eta, 4).alias("eta_s"))
 
 
 @query("x12_eta_linear", """
@@ -156,14 +156,14 @@ def eta_linear(v: Views):
 def progress_pct(v: Views):
     twice = F.col("done") * 2
     return v.progress().select(
-        "session_id", F.round(progress.progress_pct(twice, "total"), 4).alias("pct"),
-        F.round(progress.progress_pct(twice, "total", cap=True), 4).alias("pct_ui"),
+        "session_id", rounded(progress.progress_pct(twice, "total"), 4).alias("pct"),
+        rounded(progress.progress_pct(twice, "total", cap=True), 4).alias("pct_ui"),
     )
 
 
 @query("x14_mbps", "SELECT event_id, round(bytes / 15 / 1048576, 6) AS mbps FROM v_ticks")
 def mbps(v: Views):
-    return v.ticks().select("event_id", F.round(progress.mbps("bytes", F.lit(15)), 6).alias("mbps"))
+    return v.ticks().select("event_id", rounded(progress.mbps("bytes", F.lit(15)), 6).alias("mbps"))
 
 
 @query("x15_basename_rel_path", """
@@ -221,7 +221,7 @@ def normalize_level(v: Views):
 
 @query("x22_server_load", "SELECT session_id, slot, round(least(1, ticks / 100), 4) AS load FROM v_streams")
 def server_load(v: Views):
-    return v.streams().select("session_id", "slot", F.round(progress.server_load("ticks"), 4).alias("load"))
+    return v.streams().select("session_id", "slot", rounded(progress.server_load("ticks"), 4).alias("load"))
 
 
 @query("x23_efficiency_gauge", """
@@ -287,7 +287,7 @@ def session_status(v: Views):
     now = F.lit("2024-01-31").cast("timestamp")
     idle = status.idle_seconds("last", now) / 3600
     as_of = F.timestamp_micros(F.unix_micros(now))
-    scaled = F.timestamp_micros((F.unix_micros(as_of) - F.round(idle * 1e6)).cast("long"))
+    scaled = F.timestamp_micros((F.unix_micros(as_of) - rounded(idle * 1e6)).cast("long"))
     return last.withColumn("closing", F.col("session_id") % 9 == 0).select(
         "session_id", status.session_status(scaled, as_of, "closing").alias("status")
     )
@@ -344,7 +344,7 @@ def bottleneck(v: Views):
 def flow_hint(v: Views):
     return v.rates().select(
         "agent", "hour_no", status.flow_hint("producer_bps", "drain_bps", F.col("hour_no") % 14).alias("hint"),
-        F.round(status.skew_percent("producer_bps", "drain_bps"), 4).alias("skew_pct"),
+        rounded(status.skew_percent("producer_bps", "drain_bps"), 4).alias("skew_pct"),
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from haulmark.catalog.base import Views, query
+from haulmark.catalog.base import Views, query, rounded
 from haulmark.catalog.files import EVENT_SQL, _event_rows
 from haulmark.schemas import EVENTS
 from haulmark.session import scratch_path
@@ -61,7 +61,7 @@ def stream_throughput(v: Views):
     ticks = windows.stream_throughput(_ticks(v), "1 hour")
     done = sinks.run_updates(ticks, scratch_path(v.spark, "throughput"), ["window", "session_id", "slot"])
     return done.select(
-        F.unix_micros("window.start").alias("tick_us"), "session_id", "slot", "bytes", F.round("mbps", 8).alias("mbps")
+        F.unix_micros("window.start").alias("tick_us"), "session_id", "slot", "bytes", rounded("mbps", 8).alias("mbps")
     )
 
 
@@ -169,7 +169,7 @@ def hysteresis_stream(v: Views):
     samples = windows.with_event_time(
         _stream(v, "events", ROCKSDB).select(
             (F.col("user_id") % 10).alias("agent"), (F.col("event_id") % 4).alias("slot"), "ts", "event_type",
-            F.round(F.col("value") * 100).cast("long").alias("cents"),
+            rounded(F.col("value") * 100).cast("long").alias("cents"),
         ), "ts", DELAY,
     )
     split = samples.withColumns({
@@ -188,7 +188,7 @@ def hysteresis_stream(v: Views):
 def ewma_stream(v: Views):
     daily = _ticks(v, ROCKSDB).groupBy(F.window("ts", "1 day"), "session_id").agg((F.sum("bytes") / 1048576).alias("mb"))
     done = _append(v, state.ewma_stream(daily, "session_id", "mb"), "ewma")
-    return done.withColumn("smoothed", F.round("smoothed", 5))
+    return done.withColumn("smoothed", rounded("smoothed", 5))
 
 
 @query("t8_rtt_stream", f"""WITH {WM_SQL},

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from haulmark.catalog.base import Views, query
+from haulmark.catalog.base import Views, query, rounded
 from haulmark.functions import progress, status
 from haulmark.operators import rollups, tails, timeline
 from haulmark.operators.slices import sequence_slice, time_slice
@@ -31,7 +31,7 @@ def day(column: str = "ts"):
            AS rate_mbps FROM p""")
 def counter_delta_rate(v: Views):
     rated = timeline.counter_delta_rate(v.ticks(), TICK_KEYS, TICK_ORDER, day(), "bytes", 2)
-    return rated.select("event_id", F.round("rate_mbps", 6).alias("rate_mbps"))
+    return rated.select("event_id", rounded("rate_mbps", 6).alias("rate_mbps"))
 
 
 @query("w8_ewma", """
@@ -41,7 +41,7 @@ def counter_delta_rate(v: Views):
 def ewma(v: Views):
     ticks = v.ticks().withColumn("mb", F.col("bytes") / timeline.MIB)
     smoothed = timeline.ewma(ticks, ["session_id"], TICK_ORDER, day(), "mb")
-    return smoothed.select("event_id", F.round("smoothed", 5).alias("smoothed"))
+    return smoothed.select("event_id", rounded("smoothed", 5).alias("smoothed"))
 
 
 BANDS_SQL = """b AS (SELECT *, CASE WHEN producer_bps / drain_bps > 1.0 THEN 'scale_up'
@@ -67,7 +67,7 @@ def hysteresis_events(v: Views):
     FROM t WHERE later IS NOT NULL""")
 def probe_gain(v: Views):
     gains = timeline.probe_gain(v.rates(), ["agent"], ["hour_no"], sequence_slice("hour_no", 24))
-    return gains.select("agent", "hour_no", F.round("gain", 5).alias("gain"), "keep")
+    return gains.select("agent", "hour_no", rounded("gain", 5).alias("gain"), "keep")
 
 
 SLOW_SQL = """t AS (SELECT session_id, slot, ts, event_id, bytes % 40 * 0.05 AS rate FROM v_ticks),
@@ -338,7 +338,7 @@ def session_detail(v: Views):
     streams = v.streams().withColumn("mbps", progress.mbps("offset", F.lit(15)))
     detail = rollups.session_detail(_sessions(v), streams, as_of()).drop("last_activity")
     text = F.transform("streams", lambda s: F.concat_ws(":", s["slot"], s["offset"], s["slot_status"]))
-    return detail.withColumns({"streams": F.array_join(text, ","), "total_mbps": F.round("total_mbps", 4)})
+    return detail.withColumns({"streams": F.array_join(text, ","), "total_mbps": rounded("total_mbps", 4)})
 
 
 JOB_SQL = f"""g AS (SELECT job, CASE WHEN bool_or(start_s <= {JOBS_AS_OF_S} AND start_s + duration_s > {JOBS_AS_OF_S})
@@ -363,13 +363,13 @@ def next_run(v: Views):
 @query("a17_compression_ratio", """
     SELECT session_id, CASE WHEN total > 0 AND done > 0 THEN round(done / total * 100, 4) END AS ratio FROM v_progress""")
 def compression_ratio(v: Views):
-    return v.progress().select("session_id", F.round(progress.compression_ratio("done", "total"), 4).alias("ratio"))
+    return v.progress().select("session_id", rounded(progress.compression_ratio("done", "total"), 4).alias("ratio"))
 
 
 @query("a18_upload_throughput", """
     SELECT session_id, bucket_name, round(bytes / duration_s / 1048576, 6) AS mbps FROM v_uploads""")
 def upload_throughput(v: Views):
-    return rollups.upload_throughput(v.uploads()).select("session_id", "bucket_name", F.round("mbps", 6).alias("mbps"))
+    return rollups.upload_throughput(v.uploads()).select("session_id", "bucket_name", rounded("mbps", 6).alias("mbps"))
 
 
 @query("a19_streams_slow_hint", """
@@ -445,7 +445,7 @@ def buffer_stats(v: Views):
     stats = timeline.buffer_stats(_buffer_events(v), "ts", "1 hour")
     return stats.select(
         F.unix_micros("window.start").alias("start_us"), "pushed", "drained", "fallbacks", "backpressure_events",
-        "pending", F.round("drain_rate_mbps", 8).alias("drain_rate_mbps"),
+        "pending", rounded("drain_rate_mbps", 8).alias("drain_rate_mbps"),
     )
 
 
@@ -454,7 +454,7 @@ def buffer_stats(v: Views):
     SELECT session_id, held AS in_flight_bytes, round(held * 100.0 / 1099511627776, 6) AS fill_percent FROM n""")
 def session_in_flight(v: Views):
     return timeline.session_in_flight(_buffer_events(v), 1 << 40).withColumn(
-        "fill_percent", F.round("fill_percent", 6)
+        "fill_percent", rounded("fill_percent", 6)
     )
 
 
@@ -518,4 +518,4 @@ def object_progress(v: Views):
     latest = v.progress().select("session_id", "walk_complete", "elapsed_s").join(totals, "session_id").select(
         "session_id", "walk_complete", "elapsed_s", sent.alias("objects_sent")
     )
-    return rollups.object_progress(totals, latest).withColumn("progress_pct", F.round("progress_pct", 4))
+    return rollups.object_progress(totals, latest).withColumn("progress_pct", rounded("progress_pct", 4))

@@ -110,23 +110,33 @@ def _digest_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield row()
 
 
-def session_digests(chunks: DataFrame, chunks_per_part: int = CHUNKS_PER_PART) -> DataFrame:
+def session_digests(
+    chunks: DataFrame, chunks_per_part: int = CHUNKS_PER_PART, ledger: DataFrame | None = None
+) -> DataFrame:
     """SHA-256 and size of each session's whole payload (one row per (session, sequence) comes in).
 
     Sessions of one part use the built-in digest. SHA-256 cannot be computed from pieces, so a longer
-    session streams through one task chunk by chunk, holding only the running digest.
+    session streams through one task chunk by chunk, holding only the running digest. Whether there are such
+    sessions is looked up in ``ledger``, a table with at least these sequence numbers that is cheap to read
+    (by default the chunks); without any, payloads are shuffled once.
     """
     key_type = chunks.schema["session_id"].dataType.simpleString()
-    lengths = chunks.groupBy("session_id").agg(F.max("global_seq").alias("_last"))
-    sized = chunks.join(lengths, "session_id")
-    short = concat_parts(sized.filter(F.col("_last") < chunks_per_part), chunks_per_part).select(
-        "session_id",
+    parts = concat_parts(chunks, chunks_per_part).select(
+        "session_id", "part_no",
         F.sha2("payload", 256).alias("sha256"),
-        F.octet_length("payload").cast("long").alias("total_bytes"),
+        F.octet_length("payload").cast("long").alias("part_bytes"),
+    )
+    sessions = parts.groupBy("session_id").agg(
+        F.count("*").alias("_parts"), F.max("sha256").alias("sha256"), F.sum("part_bytes").alias("total_bytes")
     )
+    short = sessions.filter(F.col("_parts") == 1).drop("_parts")
+    source = chunks if ledger is None else ledger
+    if source.filter(F.col("global_seq") >= chunks_per_part).isEmpty():
+        return short
+    several = sessions.filter(F.col("_parts") > 1).select("session_id")
     long = (
-        sized.filter(F.col("_last") >= chunks_per_part)
-        .select("session_id", "global_seq", "payload")
+        chunks.select("session_id", "global_seq", "payload")
+        .join(several, "session_id", "left_semi")
         .repartition("session_id")
         .sortWithinPartitions("session_id", "global_seq")
         .mapInPandas(_digest_in_order, f"session_id {key_type}, sha256 string, total_bytes long")

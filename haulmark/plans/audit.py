@@ -37,4 +37,4 @@ def audit_payloads(chunks: DataFrame, trailers: DataFrame, mode: str = "parallel
     """Verdict per session from the payload itself: gapless prefix, digest, comparison with the trailer."""
     firsts = dedupe_chunks(valid_chunks(chunks))
     prefix = contiguous_prefix(firsts).filter("assembled").select("session_id", "global_seq", "payload")
-    return verify_session(session_digests(prefix), trailers, mode)
+    return verify_session(session_digests(prefix, ledger=chunks), trailers, mode)
