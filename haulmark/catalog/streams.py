@@ -139,7 +139,33 @@ def first_arrivals_stream(v: Views):
     return _append(v, first, "first-arrivals").select("session_id", "global_seq")
 
 
-@query("t6_flow_rotation_alerts")
+ROTATION_SQL = f"""WITH RECURSIVE {WM_SQL},
+    t AS (SELECT session_id, event_id % 2 AS slot, CAST(floor(epoch(ts) / 259200) AS BIGINT) * 259200 AS tick,
+          CAST(sum(bytes) AS BIGINT) AS bytes FROM v_ticks GROUP BY ALL),
+    r AS (SELECT session_id, slot, tick, bytes, bytes / 259200 / 1048576 AS mbps,
+          row_number() OVER (PARTITION BY session_id ORDER BY tick, slot) AS n
+          FROM t, wm WHERE tick + 259200 <= epoch(wm)),
+    f AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS tick,
+                 CAST([-1, -1] AS BIGINT[]) AS since, CAST([-1, -1] AS BIGINT[]) AS reset,
+                 CAST([-1, -1] AS BIGINT[]) AS seen, CAST(-1 AS BIGINT) AS alerted, false AS fired,
+                 CAST(0 AS BIGINT) AS slow_s FROM r
+          UNION ALL
+          SELECT session_id, n, slot, tick,
+                 CASE WHEN slot = 0 THEN [next_since, since[2]] ELSE [since[1], next_since] END,
+                 CASE WHEN NOT fires THEN reset WHEN slot = 0 THEN [tick, reset[2]] ELSE [reset[1], tick] END,
+                 CASE WHEN slot = 0 THEN [tick, seen[2]] ELSE [seen[1], tick] END,
+                 CASE WHEN fires THEN tick ELSE alerted END, fires, tick - cur
+          FROM (SELECT *, CASE WHEN NOT slow OR fires THEN -1 WHEN cur < 0 THEN tick ELSE cur END AS next_since
+                FROM (SELECT *, slow AND cur >= 0 AND tick - cur >= 259200 AND alerted <> tick
+                             AND (reset[slot + 1] < 0 OR tick - reset[slot + 1] >= 777600) AS fires
+                      FROM (SELECT r.session_id, r.n, r.slot, r.tick, r.bytes > 0 AND r.mbps < 0.0005 AS slow, f.since,
+                                   f.reset, f.seen, f.alerted,
+                                   CASE WHEN f.seen[r.slot + 1] = r.tick - 259200 THEN f.since[r.slot + 1] ELSE -1 END AS cur
+                            FROM f JOIN r ON r.session_id = f.session_id AND r.n = f.n + 1))))
+    SELECT session_id, tick AS tick_s, slot, slow_s FROM f WHERE fired"""
+
+
+@query("t6_flow_rotation_alerts", ROTATION_SQL)
 def flow_rotation_alerts(v: Views):
     """Ticks of three days; slow is less than a typical tick carries."""
     ticks = _ticks(v, ROCKSDB).withColumn("slot", F.col("event_id") % 2)
@@ -147,7 +173,7 @@ def flow_rotation_alerts(v: Views):
     alerts = state.flow_rotation_alerts(
         throughput, tick_s=259_200, min_mbps=0.0005, eval_window_s=259_200, cooldown_s=777_600
     )
-    return _append(v, alerts, "rotation")
+    return _append(v, alerts, "rotation").drop("mbps")
 
 
 RATE_WINDOW_SQL = f"""{WM_SQL},

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from haulmark.catalog.base import Views, query, rounded
 from haulmark.functions import progress, status
-from haulmark.operators import rollups, tails, timeline
+from haulmark.operators import lookups, mirroring, rollups, tails, timeline
 from haulmark.operators.slices import sequence_slice, time_slice
 
 DAY = 86_400
@@ -249,14 +249,12 @@ def _addresses(v: Views):
     SELECT event_id FROM events WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey % 2 = 0
         AND n_nationkey = user_id % 30 AND (n_nationkey % 4 = 0 OR event_id % 256 < 64))""")
 def ip_range_semi(v: Views):
-    from haulmark.operators.lookups import ip_range_semi as semi
-
     key = F.col("n_nationkey")
     cidr = F.concat(
         F.lit("10."), key.cast("string"), F.lit(".0.0/"), F.when(key % 4 == 0, "16").otherwise("18")
     )
     ranges = v.table("nation").filter(key % 2 == 0).select(cidr.alias("cidr"))
-    return semi(_addresses(v), ranges).select("event_id")
+    return lookups.ip_range_semi(_addresses(v), ranges).select("event_id")
 
 
 def _sessions(v: Views):
@@ -422,7 +420,10 @@ BUFFER_SQL = """b AS (SELECT event_id, session_id, ts, bytes, CASE WHEN event_ty
         UNION ALL SELECT 'chunk_buffer_fill_ratio', '', sum(change) / 1099511627776.0, 'gauge' FROM b
         UNION ALL SELECT CASE kind WHEN 'push' THEN 'chunk_buffer_total_pushed_total'
             WHEN 'drain' THEN 'chunk_buffer_total_drained_total' WHEN 'fallback' THEN 'chunk_buffer_fallbacks_total'
-            ELSE 'chunk_buffer_backpressure_events_total' END, '', n, 'counter' FROM c)""")
+            ELSE 'chunk_buffer_backpressure_events_total' END, '', n, 'counter' FROM c
+        UNION ALL SELECT 'sync_files_uploaded_total', '', count(*) FILTER (success), 'gauge' FROM v_uploads
+        UNION ALL SELECT 'sync_files_skipped_total', '', 0, 'gauge'
+        UNION ALL SELECT 'sync_files_errors_total', '', count(*) FILTER (NOT success), 'gauge' FROM v_uploads)""")
 def prometheus_rows(v: Views):
     snapshot = rollups.metrics_snapshot(_moded(v), v.agents(), F.count("*") * 2)
     kind = F.col("kind")
@@ -433,7 +434,14 @@ def prometheus_rows(v: Views):
         F.count_if(kind == "drain").alias("drained"), F.count_if(kind == "fallback").alias("fallbacks"),
         F.count_if(kind == "backpressure").alias("backpressure_events"),
     )
-    return rollups.metric_rows(snapshot).unionByName(rollups.buffer_metric_rows(totals))
+    outcome = F.when(F.col("success"), "uploaded").otherwise("error")
+    synced = mirroring.sync_result(
+        v.uploads().select("storage", F.col("bucket_name").alias("bucket"), outcome.alias("outcome"))
+    ).filter(F.col("storage").isNull())
+    return (
+        rollups.metric_rows(snapshot).unionByName(rollups.buffer_metric_rows(totals))
+        .unionByName(rollups.sync_metric_rows(synced))
+    )
 
 
 @query("a21_buffer_stats", f"""WITH {BUFFER_SQL},

@@ -10,12 +10,16 @@ from haulmark.operators.slices import name_slice, running_by_slice
 
 
 def retention_candidates(backups: DataFrame, keep: str = "max_backups", directory: tuple[str, ...] = ("storage", "agent")) -> DataFrame:
-    """Archives beyond the newest ``keep`` by name of each directory; none where ``keep`` is zero or less."""
+    """Archives beyond the newest ``keep`` by name of each directory; none where ``keep`` is zero or less.
+
+    ``newest_removed`` marks one row per directory, the newest of those to go.
+    """
     ranked = running_by_slice(
         backups.filter(is_backup_file("file_name")),
         list(directory), ["file_name"], name_slice("file_name"), descending=True, sums={"_age": F.lit(1)},
     )
-    return ranked.filter((F.col(keep) > 0) & (F.col("_age") > F.col(keep))).drop("_age")
+    doomed = ranked.filter((F.col(keep) > 0) & (F.col("_age") > F.col(keep)))
+    return doomed.withColumn("newest_removed", F.col("_age") == F.col(keep) + 1).drop("_age")
 
 
 def bucket_retention(objects: DataFrame) -> DataFrame:

@@ -31,8 +31,8 @@ def plan_retention(backups: DataFrame, storages: DataFrame, buckets: DataFrame)
 def plan_post_commit(commits: DataFrame, rotated: DataFrame, buckets: DataFrame) -> DataFrame:
     """Actions after a commit, numbered per agent and bucket.
 
-    ``commits`` has storage, agent, file_name of the new archive; ``rotated`` the archives retention removed.
-    ``on_failure`` is ``stop`` where a failure ends the later steps of that bucket.
+    ``commits`` has storage, agent, file_name of the new archive; ``rotated`` the archives retention removed, of
+    which ``newest_removed`` marks one per agent. ``on_failure`` is ``stop`` where a failure ends the later steps of that bucket.
     """
     sides = buckets.select("storage", F.col("name").alias("bucket"), "prefix", "bmode", "sync_strategy", "retain")
     early_delete = F.coalesce(F.col("sync_strategy") == "space_efficient", F.lit(False))
@@ -58,21 +58,17 @@ def plan_post_commit(commits: DataFrame, rotated: DataFrame, buckets: DataFrame)
         ))
     )
     rotated_key = F.concat("prefix", "file_name")
+    archived = F.array_compact(F.array(
+        action(1, "upload_rotated", rotated_key, "continue"),
+        F.when(F.col("newest_removed"), action(2, "rotate_bucket", F.col("prefix"), "continue")),
+    ))
+    mirrored = F.array(action(F.when(early_delete, 1).otherwise(2), "delete_remote", rotated_key, "continue"))
     per_rotated = (
         rotated.join(sides.filter(F.col("bmode") != "offload"), "storage")
-        .withColumn("a", F.when(
-            F.col("bmode") == "archive", action(1, "upload_rotated", rotated_key, "continue")
-        ).otherwise(action(F.when(early_delete, 1).otherwise(2), "delete_remote", rotated_key, "continue")))
-    )
-    archive_rotations = (
-        rotated.select("storage", "agent").distinct().join(sides.filter(F.col("bmode") == "archive"), "storage")
-        .withColumn("a", action(2, "rotate_bucket", F.col("prefix"), "continue"))
+        .withColumn("a", F.explode(F.when(F.col("bmode") == "archive", archived).otherwise(mirrored)))
     )
     columns = ["storage", "agent", "bucket", "bmode", "a.step", "a.action", "a.key", "a.on_failure"]
-    return (
-        per_commit.select(*columns).unionByName(per_rotated.select(*columns))
-        .unionByName(archive_rotations.select(*columns))
-    )
+    return per_commit.select(*columns).unionByName(per_rotated.select(*columns))
 
 
 def plan_retro_sync(backups: DataFrame, buckets: DataFrame, remote: DataFrame, layout: str = "rel_path") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulmark.operators.tails import recent
+from haulmark.operators.tails import recent, trim_store
 from haulmark.schemas import STORE_TAIL
 
 # The columns of an exported event file.
@@ -53,6 +53,13 @@ def append_store(rows: DataFrame, path: str, ts: str = "timestamp") -> None:
     )
 
 
+def compact_store(
+    spark: SparkSession, path: str, target: str, schema: T.StructType | str, max_rows: int, order: list[str]
+) -> None:
+    """Write a trimmed copy of a store to another path; the store itself is never overwritten while it is read."""
+    append_store(trim_store(read_jsonl_tolerant(spark, path, schema), max_rows, order), target)
+
+
 def export_events(events: DataFrame, path: str, fmt: str = "json") -> None:
     """Write events as JSON lines, or as CSV of five columns with every value quoted and quotes doubled."""
     if fmt == "csv":

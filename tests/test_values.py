@@ -215,7 +215,8 @@ def test_post_commit_order(spark):
         bucket("eff", "sync", False, "space_efficient"), bucket("safe", "sync", False, "safe"),
         bucket("off", "offload", False, None, 3), bucket("arc", "archive", False, None, 3)], BUCKETS)
     commits = spark.createDataFrame([("s", "a", "new.tar.gz")], "storage string, agent string, file_name string")
-    rotated = spark.createDataFrame([("s", "a", "old.tar.gz")], "storage string, agent string, file_name string")
+    rotated = spark.createDataFrame(
+        [("s", "a", "old.tar.gz", True)], "storage string, agent string, file_name string, newest_removed boolean")
     plan = mirror.plan_post_commit(commits, rotated, buckets).orderBy("bucket", "step").collect()
     actions = {}
     for r in plan:
@@ -268,6 +269,11 @@ def test_stores(spark, tmp_path):
     fifty = spark.range(50).select("id")
     assert [r["id"] for r in tails.recent(fifty, 10, ["id"]).collect()] == list(range(40, 50))
     assert tails.recent(fifty, 0, ["id"]).count() == 50
+    appended = str(tmp_path / "store")
+    stores.append_store(read, appended)
+    stores.append_store(read, appended)
+    stores.compact_store(spark, appended, str(tmp_path / "trimmed"), EVENTS, 3, ["timestamp"])
+    assert [r["message"] for r in stores.read_jsonl_tolerant(spark, str(tmp_path / "trimmed"), EVENTS).collect()] == ["also ok"]
     assert tails.trim_store(fifty, 20, ["id"]).count() == 10 and tails.trim_store(fifty, 50, ["id"]).count() == 50
 
 
