@@ -28,11 +28,12 @@ def dedupe_chunks(chunks: DataFrame, keep: str = "first", arrival: str = "arriva
     """One row per (session, sequence): the first arrival, or the last with ``keep='last_pending'``.
 
     An aggregation, not a window: copies of a hot chunk are folded on the map side. ``copies`` counts them.
+    Equal arrivals are decided by the remaining columns, so the result never depends on the order of reading.
     """
-    pick = {"first": F.min_by, "last_pending": F.max_by}[keep]
+    pick = {"first": F.min, "last_pending": F.max}[keep]
     rest = [c for c in chunks.columns if c not in ("session_id", "global_seq", arrival)]
     first = chunks.groupBy("session_id", "global_seq").agg(
-        pick(F.struct(arrival, *rest), F.col(arrival)).alias("_row"), F.count("*").alias("copies")
+        pick(F.struct(arrival, *rest)).alias("_row"), F.count("*").alias("copies")
     )
     return first.select(
         "session_id", "global_seq", *[F.col(f"_row.{c}").alias(c) for c in (arrival, *rest)], "copies"
