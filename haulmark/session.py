@@ -25,10 +25,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (tests, a laptop) gets a temporary folder.
+    Only a ``local`` master (tests, a laptop) gets a temporary folder where the setting is missing; a cluster without it
+    is refused, because executors would write to their own disks and later reads would be incomplete.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is not set: on {master} it must name a folder all executors share")
         configured = tempfile.mkdtemp(prefix="haulmark-")
         spark.conf.set("spark.checkpoint.dir", configured)
         spark.sparkContext.setCheckpointDir(configured)
