@@ -35,12 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 QUALITY_RULES_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS win FROM w, unnest(range(1, len(ws) - 3)) AS u(i)),
 twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS times FROM windows),
 again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) AS r(k) WHERE times > 1 GROUP BY doc_id),
 c AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
-             CAST(coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS BIGINT) AS word_chars,
+             CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
              length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
              CAST(len(lines) AS BIGINT) AS n_lines,
              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
