@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from haulmark.llm.quality_classifier import quality_classifier
 from haulmark.llm.quality_rules import RULES, quality_rules
+from haulmark.llm.toxicity import toxicity
 from haulmark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +67,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; without SQL, as SQL cannot grow the trees."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_classifier(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; without SQL, as SQL cannot learn the lexicon."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
