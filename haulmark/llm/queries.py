@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from haulmark.llm.common import materialize
+from haulmark.llm.mixing import mix, word_count
 from haulmark.llm.quality_classifier import quality_classifier
 from haulmark.llm.quality_rules import RULES, quality_rules
 from haulmark.llm.toxicity import toxicity
@@ -74,3 +77,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; without SQL, as SQL cannot learn the lexicon."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@query("op10_mixing")
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix by weights 1, 2, 3 takes of every document; without SQL, as the draw is a sequence of moves."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("words"))
+    mixed = mix(materialize(docs, "mix-words"), F.col("words"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
