@@ -135,7 +135,7 @@ def balanced(units: DataFrame, block: int = BLOCK) -> DataFrame:
             sizes, numbers = group["size"].tolist(), group["count"].tolist()
             before = group["chance"].tolist()
             chance = fly(sizes, numbers, before, sorted(range(len(group)), key=draws.__getitem__))
-            if rounds == 1:
+            if group["parts"].iloc[0] == 1:  # nothing of this source flies elsewhere
                 chance = land(sizes, numbers, chance, sum(s * p for s, p in zip(sizes, before)))
             return group[["unit", "source", "size", "count"]].assign(chance=chance)
 
