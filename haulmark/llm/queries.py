@@ -12,6 +12,7 @@ from haulmark.llm.mixing import mix, word_count
 from haulmark.llm.quality_classifier import quality_classifier
 from haulmark.llm.quality_rules import RULES, quality_rules
 from haulmark.llm.toxicity import toxicity
+from haulmark.llm.url_filter import host_of, url_filter
 from haulmark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +86,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("words"))
     mixed = mix(materialize(docs, "mix-words"), F.col("words"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+# Fixed values of the URL contract: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+             ("block", "com", "/de/")]
+#: Host labels whose pages make up the list of unwanted URLs.
+UNWANTED = r"(^|\.)(ads-track|spam-farm|casino-win|adult-x|cheap-pills|free-bets)\."
+
+URL_FILTER_SQL = r"""
+WITH h AS (SELECT page_id, url,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
+        lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]*|ref|fbclid|gclid)(=|$)'))) AS query FROM pages),
+c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') ||
+        regexp_replace(path, '/+$', '') || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS key FROM h),
+listed AS (SELECT DISTINCT key FROM c WHERE key IS NOT NULL AND regexp_matches(host, '""" + UNWANTED + r"""')),
+rules AS (SELECT * FROM (VALUES """ + ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES) + r""") AS r(kind, rule_host, rule_path)),
+fit AS (SELECT page_id, rule_host || rule_path AS rule, kind, row_number() OVER (PARTITION BY page_id
+        ORDER BY length(rule_host || rule_path) DESC, rule_host || rule_path) AS place
+    FROM c JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT c.page_id, host, path, fit.rule, CASE WHEN fit.rule IS NOT NULL THEN fit.kind WHEN listed.key IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM c LEFT JOIN fit ON c.page_id = fit.page_id AND fit.place = 1 LEFT JOIN listed ON c.key = listed.key"""
+
+
+@query("op9_url_filter", URL_FILTER_SQL)
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page URL: the contract's rules, then the list of URLs seen on unwanted hosts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter(pages, URL_RULES, pages.filter(host_of(F.col("url")).rlike(UNWANTED))).drop("url")
