@@ -13,6 +13,7 @@ from haulmark.llm.quality_classifier import quality_classifier
 from haulmark.llm.quality_rules import RULES, quality_rules
 from haulmark.llm.toxicity import toxicity
 from haulmark.llm.url_filter import host_of, url_filter
+from haulmark.llm.warc import archive_round_trip
 from haulmark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +117,22 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page URL: the contract's rules, then the list of URLs seen on unwanted hosts."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter(pages, URL_RULES, pages.filter(host_of(F.col("url")).rlike(UNWANTED))).drop("url")
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (SELECT *, list_transform(range(32), lambda k: (CAST('0x' || substr(hex, k * 5 // 4 + 1, 1) AS INTEGER) * 16
+    + CAST('0x' || coalesce(nullif(substr(hex, k * 5 // 4 + 2, 1), ''), '0') AS INTEGER))) AS pair FROM p),
+d AS (SELECT page_id, payload_bytes, list_reduce(list_transform(range(32),
+    lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((pair[k + 1] >> CAST(3 - (k * 5) % 4 AS INTEGER)) & 31) + 1, 1)),
+    lambda a, b: a || b) AS payload_digest FROM bits),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM m"""
+
+
+@query("op3_warc", WARC_SQL)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back from them."""
+    return archive_round_trip(table(spark, sf_dir, "pages"))
