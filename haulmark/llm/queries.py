@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from haulmark.llm.common import materialize
 from haulmark.llm.mixing import mix, word_count
+from haulmark.llm.packing import pack
 from haulmark.llm.quality_classifier import quality_classifier
 from haulmark.llm.quality_rules import RULES, quality_rules
 from haulmark.llm.toxicity import toxicity
@@ -34,6 +35,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's file, the same on every machine that has the vocabulary package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -136,3 +144,9 @@ FROM m"""
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back from them."""
     return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens; without SQL, as SQL cannot tokenise."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
