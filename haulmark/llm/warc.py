@@ -54,8 +54,12 @@ def roles(records: DataFrame, least: int = 0) -> DataFrame:
         F.when(repeated, F.col("first")).alias("refers_to")).distinct()
 
 
+def _text(key: Column) -> Column:
+    return F.coalesce(key.cast("string"), F.lit("null"))
+
+
 def _urn(*parts: Column | str) -> Column:
-    return F.concat(F.lit("<urn:page:"), *[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("null")) for p in parts], F.lit(">"))
+    return F.concat(F.lit("<urn:page:"), *[F.lit(p) if isinstance(p, str) else _text(p) for p in parts], F.lit(">"))
 
 
 def write_archives(records: DataFrame, path: str, least: int = 0, chunk: int = CHUNK) -> None:
@@ -65,16 +69,16 @@ def write_archives(records: DataFrame, path: str, least: int = 0, chunk: int = C
     ``chunk`` bytes.
     """
     rows = records.select("key", F.translate(F.coalesce("uri", F.lit("")), "\r\n", "").alias("uri"), F.coalesce("payload", F.lit(b"")).alias("payload"))
-    role = materialize(roles(rows, least), "warc-roles").withColumnsRenamed({"key": "k", "digest": "d"})
+    role = materialize(roles(rows, least), "warc-roles").select(
+        _text(F.col("key")).alias("rid"), "digest", "payload_bytes", "record_type", "refers_to")
     size = F.octet_length("payload")
     chunks = (
-        rows.withColumns({"row": F.monotonically_increasing_id(), "digest": base32_sha1(F.col("payload")), "pieces": F.greatest(F.ceil(size / chunk), F.lit(1))})
+        rows.withColumns({"row": F.monotonically_increasing_id(), "rid": _text(F.col("key")), "digest": base32_sha1(F.col("payload")), "pieces": F.greatest(F.ceil(size / chunk), F.lit(1))})
         .withColumn("no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
         .withColumn("data", F.substring("payload", (F.col("no") * chunk + 1).cast("int"), F.lit(chunk))).drop("payload")
-        .repartition("key", "digest")
-        .join(role, F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")))
+        .repartition("rid", "digest").join(role, ["rid", "digest"])
         .filter((F.col("record_type") == "response") | (F.col("no") == 0))
-        .sortWithinPartitions("key", "digest", "row", "no")
+        .sortWithinPartitions("rid", "digest", "row", "no")
     )
     visit = F.col("record_type") == "revisit"
     data = F.when(visit, F.lit(b"")).otherwise(F.col("data"))
