@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from haulmark.llm.common import materialize
 from haulmark.llm.mixing import mix, word_count
+from haulmark.llm.ngram_join import ngram_join
 from haulmark.llm.packing import pack
 from haulmark.llm.quality_classifier import quality_classifier
 from haulmark.llm.quality_rules import RULES, quality_rules
@@ -127,6 +128,18 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, URL_RULES, pages.filter(host_of(F.col("url")).rlike(UNWANTED))).drop("url")
 
 
+NGRAM_JOIN_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS gram
+      FROM w, unnest(range(1, greatest(len(ws) - 1, least(len(ws), 1) + 1))) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * common >= 90 * (nx.n + ny.n - common)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON m.x = documents.doc_id"""
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
 bits AS (SELECT *, list_transform(range(32), lambda k: (CAST('0x' || substr(hex, k * 5 // 4 + 1, 1) AS INTEGER) * 16
@@ -150,3 +163,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens; without SQL, as SQL cannot tokenise."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op5_ngram_join", NGRAM_JOIN_SQL)
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by word 3-grams with a similarity of 0.9 or more."""
+    return ngram_join(table(spark, sf_dir, "documents"), 3, 90, 100)
