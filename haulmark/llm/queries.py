@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.llm.common import materialize
+from haulmark.llm.hamming import sign_code, top_k
 from haulmark.llm.mixing import mix, word_count
 from haulmark.llm.ngram_join import ngram_join
 from haulmark.llm.packing import pack
@@ -169,3 +170,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by word 3-grams with a similarity of 0.9 or more."""
     return ngram_join(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+HAMMING_SQL = """
+WITH c AS (SELECT vec_id, list_transform(range(64), lambda k: coalesce(embedding[k + 1] > 0, false)) AS code
+           FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, len(list_filter(range(64), lambda k: q.code[k + 1] <> c.code[k + 1])) AS distance FROM c q JOIN c ON q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(distance AS INTEGER) AS distance FROM r WHERE rank <= 10"""
+
+
+@query("op8_hamming_search", HAMMING_SQL)
+def op8_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes to that of every 50th vector, among those of all vectors."""
+    codes = materialize(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code")), "hamming-signs")
+    found = top_k(codes, codes.filter("id % 50 = 0").withColumnRenamed("id", "qid"))
+    return found.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("vec_id"), "distance")
