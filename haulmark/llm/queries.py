@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulmark.llm.chat import Field, link_tool_calls
 from haulmark.llm.common import materialize
 from haulmark.llm.hamming import sign_code, top_k
 from haulmark.llm.mixing import mix, word_count
@@ -186,3 +187,51 @@ def op8_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = materialize(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code")), "hamming-signs")
     found = top_k(codes, codes.filter("id % 50 = 0").withColumnRenamed("id", "qid"))
     return found.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("vec_id"), "distance")
+
+
+#: Tools of the conversations: a user turn asks one of them, the next assistant turn answers.
+TOOLS = {
+    "answer": [Field("chars", "integer"), Field("text", "string"), Field("turn", "integer")],
+    "note": [Field("chars", "integer", False), Field("text", "string"), Field("turn", "integer", False)],
+}
+
+CHAT_SQL = """
+WITH RECURSIVE t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+c AS (SELECT conv_id, conv_id || '-' || turn AS call_id, CASE WHEN turn % 4 = 1 THEN 'note' ELSE 'answer' END AS name, text, turn,
+             CASE WHEN turn >= 2 THEN conv_id || '-' || (turn - 2) END AS parent_id FROM t WHERE role = 'user'),
+r AS (SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, min(text) AS content FROM t WHERE role = 'assistant' GROUP BY ALL),
+p AS (SELECT c.*, q.call_id AS known FROM c LEFT JOIN c q ON c.parent_id = q.call_id),
+chain AS (SELECT call_id, CAST(0 AS BIGINT) AS depth FROM p WHERE known IS NULL
+    UNION ALL SELECT p.call_id, chain.depth + 1 FROM chain JOIN p ON p.known = chain.call_id),
+j AS (SELECT p.*, chain.depth, r.content, r.call_id IS NOT NULL AS has_result,
+    CASE WHEN length(text) % 7 = 3 THEN 'null' WHEN turn % 8 = 6 THEN to_json(CAST(turn AS VARCHAR)) ELSE to_json(turn) END AS turn_json
+    FROM p JOIN chain ON p.call_id = chain.call_id LEFT JOIN r ON p.call_id = r.call_id)
+SELECT conv_id, call_id, depth, has_result,
+    array_to_string(list_filter([
+        CASE WHEN length(text) % 7 = 3 THEN CASE WHEN name = 'answer' THEN 'missing turn' END WHEN turn % 8 = 6 THEN 'turn is no integer' END,
+        CASE WHEN parent_id IS NOT NULL AND known IS NULL THEN 'unknown parent' END,
+        CASE WHEN NOT has_result THEN 'no result' END], lambda e: e IS NOT NULL), '; ') AS errors,
+    '{"arguments":{"chars":' || length(text) || ',"text":' || to_json(text) || CASE WHEN turn_json = 'null' THEN '' ELSE ',"turn":' || turn_json END
+    || '},"id":' || to_json(call_id) || ',"name":' || to_json(name) || CASE WHEN parent_id IS NULL THEN '' ELSE ',"parent":' || to_json(parent_id) END
+    || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content) END || '}' AS json
+FROM j
+UNION ALL
+SELECT conv_id, call_id, NULL, true, 'no call', '{"id":' || to_json(call_id) || ',"result":' || to_json(content) || '}'
+FROM r WHERE call_id NOT IN (SELECT call_id FROM c)"""
+
+
+@query("op6_chat_formatting", CHAT_SQL)
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as tool calls (each builds on the one before), assistant turns as their results, linked and serialised."""
+    turns = table(spark, sf_dir, "conversations")
+    name = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - back).cast("string"))
+    text, turn = F.col("text"), F.col("turn")
+    # Some arguments lack the turn and some give it as a string, so that the schemas have something to find.
+    number = F.when(F.length(text) % 7 == 3, None).otherwise(turn)
+    plain = F.to_json(F.struct(number.alias("turn"), text.alias("text"), F.length(text).alias("chars")))
+    quoted = F.to_json(F.struct(number.cast("string").alias("turn"), text.alias("text"), F.length(text).alias("chars")))
+    calls = turns.filter("role = 'user'").select(
+        "conv_id", name(0).alias("call_id"), F.when(turn % 4 == 1, "note").otherwise("answer").alias("name"),
+        F.when(turn % 8 == 6, quoted).otherwise(plain).alias("arguments"), F.when(turn >= 2, name(2)).alias("parent_id"))
+    results = turns.filter("role = 'assistant'").select("conv_id", name(1).alias("call_id"), text.alias("content"))
+    return link_tool_calls(calls, results, TOOLS)
