@@ -31,6 +31,7 @@ STATS_SQL = """
            total_bytes - assembled_bytes AS pending_bytes, gap_ranges, gap_chunks,
            received_chunks = next_expected_seq AS assembled,
            CASE WHEN received_chunks <> next_expected_seq THEN next_expected_seq END AS first_missing_seq,
+           CAST(0 AS BIGINT) AS rejected_chunks,
            CASE WHEN total_bytes = 0 THEN 'write_error' WHEN received_chunks <> next_expected_seq
                 THEN 'missing_chunks' ELSE 'ok' END AS verdict
     FROM s JOIN n USING (session_id)""")
@@ -38,6 +39,26 @@ def audit_transfer(v: Views):
     return audit.audit_transfer(v.chunks())
 
 
+@query("k12_audit_transfer_eager", """
+    WITH c AS (SELECT session_id, global_seq, length * CASE WHEN session_id % 7 = 3 THEN 34000000 ELSE 800000 END AS length, l_shipdate,
+                      l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax FROM v_chunks),
+         f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, global_seq ORDER BY l_shipdate, l_partkey,
+               l_suppkey, l_extendedprice, l_discount, l_tax, length) AS rn FROM c WHERE length BETWEEN 1 AND 33554432) WHERE rn = 1),
+         p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY global_seq) AS rk FROM f),
+         s AS (SELECT session_id, CAST(sum(length) AS BIGINT) AS total_bytes,
+               CAST(sum(CASE WHEN global_seq = rk - 1 THEN length ELSE 0 END) AS BIGINT) AS written,
+               count(*) FILTER (global_seq = rk - 1) AS next_expected_seq FROM p GROUP BY session_id),
+         r AS (SELECT session_id, count(*) FILTER (length NOT BETWEEN 1 AND 33554432) AS rejected_chunks FROM c GROUP BY session_id)
+    SELECT r.session_id, coalesce(total_bytes, 0) AS total_bytes, coalesce(next_expected_seq, 0) AS next_expected_seq, rejected_chunks,
+           CASE WHEN coalesce(written, 0) = 0 THEN 'write_error' ELSE 'ok' END AS verdict
+    FROM r LEFT JOIN s ON r.session_id = s.session_id""")
+def audit_transfer_eager(v: Views):
+    """Some sessions have only chunks that are too long; many lack their first chunk."""
+    factor = F.when(F.col("session_id") % 7 == 3, 34_000_000).otherwise(800_000)
+    audited = audit.audit_transfer(v.chunks().withColumn("length", F.col("length") * factor), "eager")
+    return audited.select("session_id", "total_bytes", "next_expected_seq", "rejected_chunks", "verdict")
+
+
 @query("k12_audit_payloads", """
     SELECT session_id, CAST(sum(octet_length(encode(payload))) AS BIGINT) AS total_bytes,
            CASE session_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'checksum_mismatch' ELSE 'write_error' END AS result
@@ -49,6 +70,29 @@ def audit_payloads(v: Views):
     return audit.audit_payloads(chunks, _trailers(v))
 
 
+@query("k12_audit_payloads_damaged", """
+    WITH k AS (SELECT session_id, global_seq, payload FROM v_conv
+               WHERE NOT (session_id % 5 = 1 AND global_seq = 1) AND NOT (session_id % 5 = 2 AND global_seq = 2)),
+         p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY global_seq) AS rk FROM k),
+         d AS (SELECT session_id, CAST(sum(octet_length(encode(payload))) AS BIGINT) AS total_bytes,
+                      sha256(string_agg(payload, '' ORDER BY global_seq)) AS digest FROM p WHERE global_seq = rk - 1 GROUP BY session_id),
+         t AS (SELECT session_id, CAST(sum(octet_length(encode(payload))) AS BIGINT) AS size,
+                      sha256(string_agg(payload, '' ORDER BY global_seq)) AS sha256 FROM v_conv GROUP BY session_id)
+    SELECT t.session_id, coalesce(total_bytes, 0) AS total_bytes, CASE WHEN coalesce(total_bytes, 0) = 0 THEN 'write_error'
+           WHEN digest <> sha256 THEN 'checksum_mismatch' WHEN total_bytes <> size THEN 'write_error' ELSE 'ok' END AS result
+    FROM t LEFT JOIN d ON t.session_id = d.session_id""")
+def audit_payloads_damaged(v: Views):
+    """Lost chunks, chunks damaged on the way, and later copies with other payloads."""
+    sent = v.conv().withColumns({"crc32": F.crc32("payload"), "length": F.octet_length("payload").cast("long"), "arrival": F.col("global_seq")})
+    copies = sent.withColumns({"payload": F.encode(F.lit("a later copy"), "UTF-8"), "arrival": F.col("arrival") + 1000}).withColumns(
+        {"crc32": F.crc32("payload"), "length": F.octet_length("payload").cast("long")})
+    lost = (F.col("session_id") % 5 == 1) & (F.col("global_seq") == 1)
+    hit = (F.col("session_id") % 5 == 2) & (F.col("global_seq") == 2)
+    arrived = sent.filter(~lost).withColumn("payload", F.when(hit, F.encode(F.lit("damaged"), "UTF-8")).otherwise(F.col("payload")))
+    trailers = reassembly.session_digests(v.conv()).withColumnRenamed("total_bytes", "size")
+    return audit.audit_payloads(arrived.unionByName(copies.filter(~lost & ~hit)), trailers)
+
+
 def _trailers(v: Views):
     """Trailers for conversations: a third right, a third with a wrong digest, a third with a wrong size."""
     whole = reassembly.session_digests(v.conv())
@@ -140,8 +184,20 @@ def late_and_duplicate_chunks(v: Views):
     return sequences.late_and_duplicate_chunks(v.chunks()).select("session_id", "global_seq", "length", "slot_id")
 
 
+@query("t5_late_ties", """
+    WITH c AS (SELECT session_id, global_seq, CAST(l_shipdate AS DATE) AS day, length % 3 AS length FROM v_chunks),
+         d AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE session_id % 2 = 0)
+    SELECT session_id, global_seq, length FROM (SELECT *, row_number() OVER (PARTITION BY session_id, global_seq ORDER BY day, length) AS rn
+        FROM d) WHERE rn > 1""")
+def late_ties(v: Views):
+    """Arrivals known to the day only, and rows that repeat as a whole."""
+    coarse = v.chunks().select("session_id", "global_seq", F.col("arrival.ts").cast("date").alias("arrival"), (F.col("length") % 3).alias("length"))
+    both = coarse.unionByName(coarse.filter("session_id % 2 = 0"))
+    return sequences.late_and_duplicate_chunks(both).select("session_id", "global_seq", "length")
+
+
 @query("a3_reassemble", """
-    SELECT session_id, CAST(global_seq // 32 AS BIGINT) AS part_no, count(*) AS chunks,
+    SELECT session_id, CAST(global_seq // 4 AS BIGINT) AS part_no, count(*) AS chunks,
            CAST(sum(octet_length(encode(payload))) AS BIGINT) AS bytes,
            sha256(string_agg(payload, '' ORDER BY global_seq)) AS sha256
     FROM v_conv GROUP BY ALL""")
@@ -155,7 +211,7 @@ def reassemble(v: Views):
 @query("a3_reassemble_lazy", """
     WITH kept AS (SELECT * FROM v_conv WHERE NOT (session_id % 4 = 0 AND global_seq = 1)),
          good AS (SELECT session_id FROM kept GROUP BY session_id HAVING count(*) = max(global_seq) + 1)
-    SELECT session_id, CAST(global_seq // 32 AS BIGINT) AS part_no,
+    SELECT session_id, CAST(global_seq // 4 AS BIGINT) AS part_no,
            sha256(string_agg(payload, '' ORDER BY global_seq)) AS sha256
     FROM kept JOIN good USING (session_id) GROUP BY ALL""")
 def reassemble_lazy(v: Views):

@@ -251,6 +251,13 @@ def glob_exclude(v: Views):
     return inventory.glob_exclude(v.files(), EXCLUDES).select("doc_id", "rel_path")
 
 
+@query("f1_glob_nested", """
+    SELECT doc_id, rel_path FROM v_files WHERE NOT regexp_matches(rel_path, '(^|/)fr(/|$)')""")
+def glob_nested(v: Views):
+    """Forms for one component that hold a slash match nothing: only ``fr/**`` excludes."""
+    return inventory.glob_exclude(v.files(), ["src1/de/**", "src2/en/", "*/src3/en/", "fr/**"]).select("doc_id", "rel_path")
+
+
 @query("f2_prune_excluded_dirs", """
     SELECT doc_id, rel_path FROM v_files
     WHERE NOT regexp_matches(rel_path, '\\.log$') AND NOT regexp_matches(rel_path, '^src1/[^/]*/doc-[^/]\\.txt$')
@@ -395,6 +402,14 @@ def ip_allowed(v: Views):
     return _addresses(v).select("event_id", network.ip_allowed("addr", acl).alias("allowed"))
 
 
+@query("f13_ip_allowed_mapped", """
+    SELECT event_id, event_id % 300 <= 255 AND user_id % 30 IN (3, 12, 13, 14, 15) AS allowed FROM events""")
+def ip_allowed_mapped(v: Views):
+    """IPv4 addresses written as IPv6 count as what they are."""
+    plain = _addresses(v).withColumn("addr", F.concat(F.lit("::ffff:"), F.regexp_extract("addr", "^[0-9.]+", 0)))
+    return plain.select("event_id", network.ip_allowed("addr", ["10.3.0.0/16", "10.12.0.0/14"]).alias("allowed"))
+
+
 @query("f13_ip_allowed_v6", """
     SELECT user_id, user_id BETWEEN 16 AND 31 AS allowed, count(*) AS n FROM events GROUP BY ALL""")
 def ip_allowed_v6(v: Views):

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from haulmark.functions.sizes import _col
 
+# An IPv4 address written as IPv6 (``::ffff:10.0.0.1``, also in brackets with a port) counts as that IPv4 address.
+_MAPPED = r"(?i)^\[?::ffff:((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:\](?::[^:]*)?)?$"
 _IPV4 = r"^((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?::[^:]*)?$"
 
 
 def ipv4_number(addr) -> Column:
-    """Number of an IPv4 address with or without port; null for anything else."""
-    octets = F.split(F.regexp_extract(_col(addr), _IPV4, 1), r"\.")
+    """Number of an IPv4 address with or without port, or of one mapped into IPv6; null for anything else."""
+    plain = F.regexp_replace(_col(addr), _MAPPED, "$1")
+    octets = F.split(F.regexp_extract(plain, _IPV4, 1), r"\.")
     valid = (F.size(octets) == 4) & F.forall(
         octets, lambda o: o.rlike("^(0|[1-9][0-9]{0,2})$") & (o.try_cast("int") <= 255)
     )

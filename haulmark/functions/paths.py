@@ -115,11 +115,14 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def _rule(pattern: str) -> tuple[str, str | None]:
-    """Kind of an exclusion pattern and the regular expression of its glob."""
-    if pattern.endswith("/"):
-        return "dir_name", glob_to_regex(pattern[:-1].removeprefix("*/"))
-    if pattern.endswith("/**"):
-        return "component", glob_to_regex(pattern[:-3])
+    """Kind of an exclusion pattern and the regular expression of its glob.
+
+    ``x/`` and ``x/**`` are compared with single components, so an ``x`` that holds a slash matches nothing.
+    """
+    if pattern.endswith(("/", "/**")):
+        directory = pattern.endswith("/")
+        name = pattern[:-1].removeprefix("*/") if directory else pattern[:-3]
+        return ("dir_name" if directory else "component"), (None if "/" in name else glob_to_regex(name))
     return "path", glob_to_regex(pattern)
 
 

@@ -37,7 +37,6 @@ def _with_unit(b: Column, units: tuple[str, ...], digits: int, half_even: bool)
 def parse_byte_size(s) -> Column:
     """Bytes of ``256mb``, ``1gb``, ``17``; null where the text is no size or the result does not fit."""
     text = F.trim(F.lower(_col(s)))
-    number = F.expr("try_cast(null as bigint)")
     pattern = r"^([+-]?[0-9]+)(gb|mb|kb|b)?$"
     suffix = F.regexp_extract(text, pattern, 2)
     factor = F.lit(1).cast("long")
@@ -114,23 +113,20 @@ def go_duration(seconds) -> Column:
     )
 
 
+# Seconds of the units of a duration.
+_DURATION_UNITS = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 1e-3, "us": 1e-6, "µs": 1e-6, "μs": 1e-6, "ns": 1e-9}
+_DURATION_PART = r"([0-9]+\.?[0-9]*|\.[0-9]+)(ms|us|µs|μs|ns|h|m|s)"
+
+
 def parse_go_duration(text) -> Column:
-    """Seconds of ``1h23m45.6s`` or ``300ms``; null where a part of the text is no duration."""
+    """Seconds of ``1h23m45.6s``, ``300ms`` or ``.5s``; units may repeat. Null where a part of the text is no duration."""
     value = _col(text)
-    parts = {
-        r"([0-9]+(?:\.[0-9]+)?)h": 3600.0,
-        r"([0-9]+(?:\.[0-9]+)?)m(?!s)": 60.0,
-        r"([0-9]+(?:\.[0-9]+)?)s": 1.0,
-        r"([0-9]+(?:\.[0-9]+)?)ms": 1e-3,
-        r"([0-9]+(?:\.[0-9]+)?)(?:us|µs)": 1e-6,
-        r"([0-9]+(?:\.[0-9]+)?)ns": 1e-9,
-    }
-    total = F.lit(0.0)
-    for pattern, factor in parts.items():
-        number = F.nullif(F.regexp_extract(value, pattern, 1), F.lit(""))
-        total = total + F.coalesce(number.cast("double"), F.lit(0.0)) * F.lit(factor)
-    whole = value.rlike(r"^-?([0-9]+(\.[0-9]+)?(h|ms|us|µs|ns|m|s))+$")
-    return F.when(whole, F.when(value.startswith("-"), -total).otherwise(total)).when(value == "0", F.lit(0.0))
+    numbers, units = (F.regexp_extract_all(value, F.lit(_DURATION_PART), F.lit(k)) for k in (1, 2))
+    factor = F.create_map(*[F.lit(x) for pair in _DURATION_UNITS.items() for x in pair])
+    parts = F.zip_with(numbers, units, lambda number, unit: number.try_cast("double") * factor[unit])
+    total = F.aggregate(parts, F.lit(0.0), lambda sum_, part: sum_ + part)
+    whole = value.rlike(f"^[-+]?({_DURATION_PART})+$")
+    return F.when(whole, F.when(value.startswith("-"), -total).otherwise(total)).when(value.rlike("^[-+]?0$"), F.lit(0.0))
 
 
 def format_uptime(text) -> Column:

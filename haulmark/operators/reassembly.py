@@ -5,15 +5,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.operators.sequences import contiguous_prefix
 
-# A part holds at most this many chunks; at the largest accepted chunk of 32 MiB a part stays at 1 GiB, below
-# the size limit of one value.
-CHUNKS_PER_PART = 32
+# A part holds at most this many chunks; at the largest accepted chunk of 32 MiB a part stays at 128 MiB.
+CHUNKS_PER_PART = 4
 
 # Bytes of the header in front of each chunk, and where a mismatch is narrowed down.
 CHUNK_HEADER_BYTES = 13
@@ -49,18 +48,25 @@ def crc32_ok(payload: str = "payload", crc: str = "crc32") -> Column:
     return F.crc32(F.col(payload)) == F.col(crc)
 
 
-def assembly_status(chunks: DataFrame, mode: str = "eager") -> DataFrame:
-    """Per session of distinct chunks: may it be assembled, and the first sequence that is missing.
+def frontiers(ledger: DataFrame) -> DataFrame:
+    """Per session the first missing sequence (``frontier``) and ``last_seq``, from sequence numbers alone.
 
-    Eager assembly takes the gapless prefix and always succeeds; lazy assembly fails on the first gap.
+    Copies are allowed; no payload is read where the ledger holds none.
     """
-    marked = contiguous_prefix(chunks.withColumn("length", F.octet_length("payload").cast("long")))
-    frontier = marked.groupBy("session_id").agg(
+    numbers = ledger.select("session_id", "global_seq").distinct().withColumn("length", F.lit(0).cast("long"))
+    return contiguous_prefix(numbers).groupBy("session_id").agg(
         F.coalesce(F.max(F.when(F.col("assembled"), F.col("global_seq") + 1)), F.lit(0)).alias("frontier"),
         F.max("global_seq").alias("last_seq"),
     )
+
+
+def assembly_status(chunks: DataFrame, mode: str = "eager") -> DataFrame:
+    """Per session of distinct chunks: may it be assembled, and the first sequence that is missing.
+
+    Eager assembly takes the gapless prefix and always succeeds; lazy assembly fails on the first gap.
+    """
     whole = F.col("frontier") == F.col("last_seq") + 1
-    return frontier.select(
+    return frontiers(chunks).select(
         "session_id",
         (whole if mode == "lazy" else F.lit(True)).alias("can_assemble"),
         F.when(~whole, F.col("frontier")).alias("first_missing_seq"),
@@ -72,76 +78,87 @@ def reassemble(chunks: DataFrame, mode: str = "eager", chunks_per_part: int = CH
 
     ``chunks`` holds one row per (session, sequence). A session of up to ``chunks_per_part`` chunks is one
     part. Lazy sessions with a gap give no part; see :func:`assembly_status` for the sequence they lack.
+    What may be taken is decided on sequence numbers and joined as one row per part, by the key the parts
+    are grouped by: payloads are shuffled once.
     """
-    marked = contiguous_prefix(chunks.withColumn("length", F.octet_length("payload").cast("long")))
+    taken = frontiers(chunks)
     if mode == "lazy":
-        broken = marked.filter(~F.col("assembled")).select("session_id").distinct()
-        taken = marked.join(broken, "session_id", "left_anti")
-    else:
-        taken = marked.filter("assembled")
-    return concat_parts(taken, chunks_per_part)
+        taken = taken.filter(F.col("frontier") == F.col("last_seq") + 1)
+    parts = taken.filter("frontier > 0").select(
+        "session_id", F.col("frontier").alias("_until"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("frontier") - 1) / chunks_per_part).cast("long"))).alias("part_no"),
+    )
+    numbered = chunks.select("session_id", "global_seq", "payload", _part(chunks_per_part).alias("part_no"))
+    return _concat(numbered.join(parts, ["session_id", "part_no"]).filter(F.col("global_seq") < F.col("_until")))
 
 
-def concat_parts(chunks: DataFrame, chunks_per_part: int = CHUNKS_PER_PART) -> DataFrame:
-    """Concatenate runs of ``chunks_per_part`` consecutive sequence numbers."""
-    part = F.floor(F.col("global_seq") / chunks_per_part).cast("long")
-    return chunks.groupBy("session_id", part.alias("part_no")).agg(
+def _part(chunks_per_part: int) -> Column:
+    return F.floor(F.col("global_seq") / chunks_per_part).cast("long")
+
+
+def _concat(numbered: DataFrame) -> DataFrame:
+    return numbered.groupBy("session_id", "part_no").agg(
         F.expr("listagg(payload, X'') WITHIN GROUP (ORDER BY global_seq)").alias("payload"),
         F.count("*").alias("chunks"),
     )
 
 
-def _digest_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """SHA-256 over rows that arrive ordered by (session, sequence); holds one running digest."""
-    current, digest, size = None, None, 0
+def concat_parts(chunks: DataFrame, chunks_per_part: int = CHUNKS_PER_PART) -> DataFrame:
+    """Concatenate runs of ``chunks_per_part`` consecutive sequence numbers."""
+    return _concat(chunks.withColumn("part_no", _part(chunks_per_part)))
+
+
+def _digest_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 over rows that arrive ordered by (session, sequence); of a sequence that repeats the first row counts.
 
-    def row():
-        return pd.DataFrame({"session_id": [current], "sha256": [digest.hexdigest()], "total_bytes": [size]})
+    Holds one running digest.
+    """
+    current, digest, size, last = None, None, 0, None
+    done: list[tuple] = []
+    kind = None
+
+    def pack() -> pa.RecordBatch:
+        columns = list(zip(*done)) or [[], [], []]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], kind), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())],
+            ["session_id", "sha256", "total_bytes"],
+        )
 
     for batch in batches:
-        for session, payload in zip(batch["session_id"], batch["payload"]):
+        kind = batch.column("session_id").type
+        rows = zip(*(batch.column(c).to_pylist() for c in ("session_id", "global_seq", "payload")))
+        for session, sequence, payload in rows:
             if digest is None or session != current:
                 if digest is not None:
-                    yield row()
-                current, digest, size = session, hashlib.sha256(), 0
-            digest.update(payload)
-            size += len(payload)
+                    done.append((current, digest.hexdigest(), size))
+                current, digest, size, last = session, hashlib.sha256(), 0, None
+            if sequence == last:
+                continue
+            last = sequence
+            digest.update(payload or b"")
+            size += len(payload or b"")
+        yield pack()
+        done.clear()
     if digest is not None:
-        yield row()
+        done.append((current, digest.hexdigest(), size))
+        yield pack()
 
 
-def session_digests(
-    chunks: DataFrame, chunks_per_part: int = CHUNKS_PER_PART, ledger: DataFrame | None = None
-) -> DataFrame:
-    """SHA-256 and size of each session's whole payload (one row per (session, sequence) comes in).
+def session_digests(chunks: DataFrame, frontier: DataFrame | None = None, tie: list[str] | None = None) -> DataFrame:
+    """SHA-256 and size of each session's payload, shuffled once.
 
-    Sessions of one part use the built-in digest. SHA-256 cannot be computed from pieces, so a longer
-    session streams through one task chunk by chunk, holding only the running digest. Whether there are such
-    sessions is looked up in ``ledger``, a table with at least these sequence numbers that is cheap to read
-    (by default the chunks); without any, payloads are shuffled once.
+    SHA-256 cannot be computed from pieces, so a session streams through one task chunk by chunk, holding only
+    the running digest. With ``frontier`` (``session_id``, ``frontier``) only sequences below it count; of the
+    copies of a sequence the first by ``tie`` does.
     """
     key_type = chunks.schema["session_id"].dataType.simpleString()
-    parts = concat_parts(chunks, chunks_per_part).select(
-        "session_id", "part_no",
-        F.sha2("payload", 256).alias("sha256"),
-        F.octet_length("payload").cast("long").alias("part_bytes"),
-    )
-    sessions = parts.groupBy("session_id").agg(
-        F.count("*").alias("_parts"), F.max("sha256").alias("sha256"), F.sum("part_bytes").alias("total_bytes")
-    )
-    short = sessions.filter(F.col("_parts") == 1).drop("_parts")
-    source = chunks if ledger is None else ledger
-    if source.filter(F.col("global_seq") >= chunks_per_part).isEmpty():
-        return short
-    several = sessions.filter(F.col("_parts") > 1).select("session_id")
-    long = (
-        chunks.select("session_id", "global_seq", "payload")
-        .join(several, "session_id", "left_semi")
-        .repartition("session_id")
-        .sortWithinPartitions("session_id", "global_seq")
-        .mapInPandas(_digest_in_order, f"session_id {key_type}, sha256 string, total_bytes long")
+    spread = chunks.select("session_id", "global_seq", "payload", *(tie or [])).repartition("session_id")
+    if frontier is not None:
+        spread = spread.join(frontier, "session_id").filter(F.col("global_seq") < F.col("frontier"))
+    ordered = spread.sortWithinPartitions("session_id", "global_seq", *(tie or []))
+    return ordered.select("session_id", "global_seq", "payload").mapInArrow(
+        _digest_in_order, f"session_id {key_type}, sha256 string, total_bytes long"
     )
-    return short.unionByName(long)
 
 
 def verify_session(digests: DataFrame, trailers: DataFrame, mode: str = "parallel") -> DataFrame:

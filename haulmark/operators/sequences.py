@@ -41,12 +41,18 @@ def dedupe_chunks(chunks: DataFrame, keep: str = "first", arrival: str = "arriva
 
 
 def late_and_duplicate_chunks(chunks: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """Arrivals the lazy ledger ignores: everything but the first of each (session, sequence)."""
-    firsts = chunks.groupBy("session_id", "global_seq").agg(F.min(arrival).alias("_first"))
+    """Arrivals the lazy ledger ignores: everything but the one of each (session, sequence) that :func:`dedupe_chunks` keeps.
+
+    Equal arrivals are decided by the remaining columns, as there; of rows equal in all columns one is kept.
+    """
+    keys, columns = ["session_id", "global_seq"], chunks.columns
+    row = F.struct(arrival, *[c for c in columns if c not in (*keys, arrival)])
+    counted = chunks.groupBy(*columns).agg(F.count("*").alias("_copies"))
+    firsts = counted.groupBy(*keys).agg(F.min(row).alias("_first"))
+    late = F.col("_copies") - row.eqNullSafe(F.col("_first")).cast("int")
     return (
-        chunks.join(firsts, ["session_id", "global_seq"])
-        .filter(F.col(arrival) > F.col("_first"))
-        .drop("_first")
+        counted.join(firsts, keys).withColumn("_late", late).filter(F.col("_late") > 0)
+        .withColumn("_late", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_late")))).select(*columns)
     )
 
 

@@ -40,7 +40,8 @@ def _local_entry(path: str, info: os.stat_result) -> tuple:
 
 
 def _children(address: str) -> Iterator[tuple]:
-    """Entries of one directory; what cannot be read is skipped."""
+    """Entries of one directory. Only local entries that may not be read, or are gone meanwhile, are skipped; any other
+    failure, and every one of a remote store, fails the task, so that no listing is silently incomplete."""
     path = local_path(address)
     if path is not None:
         try:
@@ -48,19 +49,16 @@ def _children(address: str) -> Iterator[tuple]:
                 for entry in entries:
                     try:
                         yield _local_entry(entry.path, entry.stat(follow_symlinks=False))
-                    except OSError:
+                    except (PermissionError, FileNotFoundError):
                         continue
-        except OSError:
+        except (PermissionError, FileNotFoundError):
             return
         return
     system, name = pafs.FileSystem.from_uri(address)
     scheme = address.split("://")[0]
-    try:
-        for info in system.get_file_info(pafs.FileSelector(name, allow_not_found=True)):
-            kind = "dir" if info.type == pafs.FileType.Directory else "file"
-            yield f"{scheme}://{info.path}", kind, info.size or 0, (info.mtime_ns or 0) // 1000
-    except OSError:
-        return
+    for info in system.get_file_info(pafs.FileSelector(name, allow_not_found=True)):
+        kind = "dir" if info.type == pafs.FileType.Directory else "file"
+        yield f"{scheme}://{info.path}", kind, info.size or 0, (info.mtime_ns or 0) // 1000
 
 
 def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +83,7 @@ def _describe_roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             try:
                 rows.append((root_no, *_local_entry(os.path.normpath(path), os.lstat(path))))
-            except OSError:
+            except (PermissionError, FileNotFoundError):
                 continue
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
@@ -119,7 +117,7 @@ def scan_backups(spark: SparkSession, base_dir: str) -> DataFrame:
     unfinished = (F.col("entry_type") == "dir") & basename("path").startswith("chunks_")
     found = walk(spark, [base_dir], unfinished).filter("entry_type <> 'dir'")
     base = local_path(base_dir) or base_dir
-    inside = F.substring(F.col("path"), len(base.rstrip("/")) + 2, 1 << 20)
+    inside = F.substr(F.col("path"), F.lit(len(base.rstrip("/")) + 2))
     return list_backups(found.withColumn("rel_path", inside))
 
 

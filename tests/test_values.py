@@ -37,6 +37,7 @@ def test_durations(spark):
     assert many(spark, [0.4, 59.5, 61.0, 3661.0], "double", sizes.format_duration) == ["0:00", "1:00", "1:01", "1:01:01"]
     assert many(spark, [5, 65, 3600, 90061], "long", sizes.format_elapsed) == ["5s", "1m 5s", "1h 0s", "25h 1m 1s"]
     assert many(spark, [5, 65, 3605], "long", sizes.go_duration) == ["5s", "1m5s", "1h0m5s"]
+    assert many(spark, ["1h1h", ".5s", "1.s", "-1m", "+0", "."], "string", sizes.parse_go_duration) == [7200.0, 0.5, 1.0, -60.0, 0.0, None]
     assert many(spark, ["1h23m45.678s", "300ms", "45s", "2m", "x", None], "string", sizes.parse_go_duration) == [
         pytest.approx(5025.678), pytest.approx(0.3), 45.0, 120.0, None, None]
     assert many(spark, ["1h23m45.678s", "0.2s", "", None, "2h0m0s"], "string", sizes.format_uptime) == [
@@ -87,6 +88,8 @@ def test_exclusion(spark):
     assert left(inventory.glob_exclude, "sub/") == everything - {"sub"}
     assert left(inventory.prune_excluded_dirs, "*/sub/") == everything - {"sub", "sub/file3.txt"}
     assert left(inventory.prune_excluded_dirs, "s?b") == everything - {"sub", "sub/file3.txt"}
+    for nested in ("sub/file3.txt/**", "sub/file3.txt/", "*/sub/deep/", ".git/config/**"):
+        assert left(inventory.glob_exclude, nested) == left(inventory.prune_excluded_dirs, nested) == everything
     assert left(inventory.glob_exclude, "sub/deep/**", "file[^1].txt") == everything - {"file2.txt", "sub/file3.txt"}
 
 
@@ -133,9 +136,34 @@ def test_digests_stream_long_sessions(spark):
 
     chunks = chunk_table(spark, [(i, f"{i:03d}") for i in reversed(range(100))])
     want = hashlib.sha256(b"".join(b"%03d" % i for i in range(100))).hexdigest()
-    for per_part in (7, 200):
-        row = reassembly.session_digests(chunks, per_part).first()
-        assert (row["sha256"], row["total_bytes"]) == (want, 300)
+    row = reassembly.session_digests(chunks).first()
+    assert (row["sha256"], row["total_bytes"]) == (want, 300)
+    prefix = spark.createDataFrame([("s", 4)], "session_id string, frontier long")
+    copied = chunks.unionByName(chunks.withColumns({"arrival": F.col("arrival") + 1000, "payload": F.lit(b"late")}))
+    row = reassembly.session_digests(copied, prefix, ["arrival"]).first()
+    assert (row["sha256"], row["total_bytes"]) == (hashlib.sha256(b"000001002003").hexdigest(), 12)
+
+
+def test_no_sort_aggregate_over_payloads(spark):
+    chunks = chunk_table(spark, [(i, f"{i:03d}") for i in range(9)]).withColumn("length", F.lit(3).cast("long"))
+    trailers = spark.createDataFrame([("s", "x", 27)], "session_id string, sha256 string, size long")
+    for result in (audit.audit_payloads(chunks, trailers), reassembly.reassemble(chunks)):
+        assert "SortAggregate" not in result._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_rejected_and_headless_sessions(spark):
+    rows = [("all bad", 0, 0), ("all bad", 1, 40_000_000), ("headless", 1, 10), ("fine", 0, 5), ("fine", 0, 5)]
+    chunks = spark.createDataFrame([(*r, 1) for r in rows], "session_id string, global_seq long, length long, arrival long")
+    eager = {r.session_id: (r.verdict, r.total_bytes, r.rejected_chunks) for r in audit.audit_transfer(chunks, "eager").collect()}
+    assert eager == {"all bad": ("write_error", 0, 2), "headless": ("write_error", 10, 0), "fine": ("ok", 5, 0)}
+    lazy = {r.session_id: r.verdict for r in audit.audit_transfer(chunks).collect()}
+    assert lazy == {"all bad": "write_error", "headless": "missing_chunks", "fine": "ok"}
+
+
+def test_late_arrivals_with_ties(spark):
+    rows = [("s", 0, 5, "a"), ("s", 0, 5, "b"), ("s", 0, 5, "b"), ("s", 1, 1, "c"), ("s", 2, 1, "d"), ("s", 2, 1, "d")]
+    late = sequences.late_and_duplicate_chunks(spark.createDataFrame(rows, "session_id string, global_seq long, arrival long, v string"))
+    assert sorted((r.global_seq, r.v) for r in late.collect()) == [(0, "b"), (0, "b"), (2, "d")]
 
 
 def test_verdicts(spark):
