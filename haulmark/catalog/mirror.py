@@ -144,6 +144,33 @@ def plan_post_commit(v: Views):
     return mirror.plan_post_commit(commits, retention.retention_candidates(_limited(v)), v.buckets())
 
 
+@query("k5_plan_retention_gated", f"""WITH {DOOMED}, passed AS (SELECT * FROM doomed WHERE agent % 4 <> 1)
+    SELECT d.storage, d.agent, 1 AS step, 'archive_upload' AS action, k.name AS bucket, k.prefix || d.file_name AS target
+    FROM passed d JOIN v_buckets k ON d.storage = k.storage AND k.bmode = 'archive'
+    UNION ALL SELECT storage, agent, 2, 'delete_local', NULL, file_name FROM passed""")
+def plan_retention_gated(v: Views):
+    """A quarter of the agents have an archive that did not pass its check."""
+    failed = v.backups().filter("agent % 4 = 1").select("storage", "agent").distinct()
+    return mirror.plan_retention(v.backups(), v.storages(), v.buckets(), failed)
+
+
+@query("k6_plan_post_commit_gated", f"""WITH {DOOMED},
+    c AS (SELECT storage, agent, max(file_name) AS file_name FROM v_backups WHERE agent % 4 <> 1 GROUP BY storage, agent),
+    cb AS (SELECT c.*, k.name AS bucket, k.prefix, k.bmode, k.sync_strategy FROM c JOIN v_buckets k ON c.storage = k.storage),
+    db AS (SELECT d.storage, d.agent, d.file_name, k.name AS bucket, k.prefix, k.bmode FROM doomed d JOIN v_buckets k
+           ON d.storage = k.storage WHERE d.agent % 4 <> 1)
+    SELECT agent, bucket, action, count(*) AS n FROM (
+        SELECT agent, bucket, 'upload' AS action FROM cb WHERE bmode <> 'archive'
+        UNION ALL SELECT agent, bucket, unnest(['delete_local', 'rotate_bucket']) FROM cb WHERE bmode = 'offload'
+        UNION ALL SELECT agent, bucket, CASE bmode WHEN 'sync' THEN 'delete_remote' ELSE 'upload_rotated' END FROM db WHERE bmode <> 'offload'
+        UNION ALL SELECT DISTINCT agent, bucket, 'rotate_bucket' FROM db WHERE bmode = 'archive') GROUP BY ALL""")
+def plan_post_commit_gated(v: Views):
+    """Actions per agent and bucket, where archives of a quarter of the agents did not pass."""
+    commits = v.backups().groupBy("storage", "agent").agg(F.max("file_name").alias("file_name")).withColumn("integrity_ok", F.col("agent") % 4 != 1)
+    plan = mirror.plan_post_commit(commits, retention.retention_candidates(_limited(v)), v.buckets())
+    return plan.groupBy("agent", "bucket", "action").agg(F.count("*").alias("n"))
+
+
 @query("k7_plan_retro_sync", f"""WITH {EXPANDED}
     SELECT ex.storage, ex.bucket, ex.key, CASE WHEN r.key IS NULL THEN 'upload' ELSE 'skip' END AS action
     FROM ex LEFT JOIN v_remote r ON ex.storage = r.storage AND ex.bucket = r.bucket AND ex.key = r.key""")

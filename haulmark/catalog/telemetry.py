@@ -266,19 +266,28 @@ def _sessions(v: Views):
         (key % 7 * 100).alias("objects_sent"), F.lit(500).alias("total_objects"),
         (key % 3 != 0).alias("walk_complete"), (key + 10).alias("elapsed_s"), (key % 11 == 0).alias("closing"),
         F.when(key % 5 == 0, "assembling").otherwise("receiving").alias("phase"),
+        (key * 1000).alias("bytes_received"), F.timestamp_micros(F.unix_micros(as_of()) - key * 1_000_000).alias("last_activity"),
     )
 
 
+def _parallel_streams(v: Views):
+    """Streams of the parallel sessions; every fifth of these has none yet."""
+    return v.streams().filter("session_id % 2 = 0 AND session_id % 10 <> 0")
+
+
 SESSION_SQL = f"""s AS (SELECT DISTINCT session_id, session_id % 7 * 100 AS sent, session_id % 3 <> 0 AS walked,
         session_id + 10 AS elapsed_s, session_id % 11 = 0 AS closing,
-        CASE WHEN session_id % 5 = 0 THEN 'assembling' ELSE 'receiving' END AS phase FROM v_ticks),
+        CASE WHEN session_id % 5 = 0 THEN 'assembling' ELSE 'receiving' END AS phase, session_id % 2 = 1 AS single,
+        epoch_us(TIMESTAMP '{AS_OF}') - session_id * 1000000 AS own_last FROM v_ticks),
+    ps AS (SELECT * FROM v_streams WHERE session_id % 2 = 0 AND session_id % 10 <> 0),
     g AS (SELECT session_id, CAST(sum("offset") AS BIGINT) AS bytes_received, count(*) FILTER (slot_status = 'receiving')
-          AS active_streams, max(last_activity) AS last FROM v_streams GROUP BY session_id),
-    e AS (SELECT s.*, g.bytes_received, g.active_streams,
-          (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(g.last)) / 1000000.0 AS idle,
+          AS active_streams, max(last_activity) AS last FROM ps GROUP BY session_id),
+    e AS (SELECT s.*, CASE WHEN single THEN s.session_id * 1000 ELSE coalesce(g.bytes_received, 0) END AS bytes_received,
+          CASE WHEN single THEN 1 ELSE coalesce(g.active_streams, 0) END AS active_streams,
+          (epoch_us(TIMESTAMP '{AS_OF}') - coalesce(epoch_us(g.last), own_last)) / 1000000.0 AS idle,
           CASE WHEN walked AND sent >= 500 THEN 0 WHEN walked AND sent > 0
                THEN CAST(floor((500 - sent) / (sent / elapsed_s)) AS BIGINT) END AS eta_s
-          FROM s JOIN g ON s.session_id = g.session_id),
+          FROM s LEFT JOIN g ON s.session_id = g.session_id),
     summary AS (SELECT session_id, bytes_received, active_streams, phase,
           CASE WHEN closing THEN 'finalizing' WHEN idle < 10 THEN 'running' WHEN idle < 60 THEN 'idle'
                ELSE 'degraded' END AS status,
@@ -325,15 +334,15 @@ def prune_inactive_keys(v: Views):
 
 @query("a7_session_summary", f"WITH {SESSION_SQL} SELECT * FROM summary")
 def session_summary(v: Views):
-    return rollups.session_summary(_sessions(v), v.streams(), as_of()).drop("last_activity")
+    return rollups.session_summary(_sessions(v), _parallel_streams(v), as_of()).drop("last_activity")
 
 
 @query("a8_session_detail", f"""WITH {SESSION_SQL},
     n AS (SELECT session_id, string_agg(slot || ':' || "offset" || ':' || slot_status, ',' ORDER BY slot) AS streams,
-          round(sum("offset" / 15 / 1048576), 4) AS total_mbps FROM v_streams GROUP BY session_id)
-    SELECT * FROM summary JOIN n USING (session_id)""")
+          round(sum("offset" / 15 / 1048576), 4) AS total_mbps FROM ps GROUP BY session_id)
+    SELECT * FROM summary LEFT JOIN n USING (session_id)""")
 def session_detail(v: Views):
-    streams = v.streams().withColumn("mbps", progress.mbps("offset", F.lit(15)))
+    streams = _parallel_streams(v).withColumn("mbps", progress.mbps("offset", F.lit(15)))
     detail = rollups.session_detail(_sessions(v), streams, as_of()).drop("last_activity")
     text = F.transform("streams", lambda s: F.concat_ws(":", s["slot"], s["offset"], s["slot_status"]))
     return detail.withColumns({"streams": F.array_join(text, ","), "total_mbps": rounded("total_mbps", 4)})
@@ -479,9 +488,11 @@ def buffer_pressure(v: Views):
 @query("t10_missed_heartbeats", """
     WITH g AS (SELECT session_id, ts, lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS prev FROM v_ticks)
     SELECT session_id, epoch_us(prev) + 4500000000 AS lost_us, epoch_us(ts) AS back_us
-    FROM g WHERE epoch_us(ts) - epoch_us(prev) > 4500000000""")
+    FROM g WHERE epoch_us(ts) - epoch_us(prev) > 4500000000
+    UNION ALL SELECT session_id, epoch_us(max(ts)) + 4500000000, NULL FROM v_ticks GROUP BY session_id
+    HAVING epoch_us(TIMESTAMP '""" + AS_OF + """') - epoch_us(max(ts)) > 4500000000""")
 def missed_heartbeats(v: Views):
-    lost = timeline.missed_heartbeats(v.ticks(), ["session_id"], TICK_ORDER, day(), "ts", 1800)
+    lost = timeline.missed_heartbeats(v.ticks(), ["session_id"], TICK_ORDER, day(), "ts", 1800, as_of=as_of())
     return lost.select("session_id", F.unix_micros("lost_at").alias("lost_us"), F.unix_micros("back_at").alias("back_us"))
 
 
@@ -513,17 +524,18 @@ def event_counts(v: Views):
 
 @query("k10_object_progress", """
     WITH t AS (SELECT o_custkey AS session_id, count(*) AS total_objects FROM orders GROUP BY o_custkey)
-    SELECT t.session_id, total_objects, total_objects * (p.session_id % 11) // 10 AS objects_sent,
-           round((total_objects * (p.session_id % 11) // 10) * 100.0 / total_objects, 4) AS progress_pct,
+    SELECT t.session_id, total_objects, coalesce(total_objects * (p.session_id % 11) // 10, 0) AS objects_sent,
+           round(coalesce(total_objects * (p.session_id % 11) // 10, 0) * 100.0 / total_objects, 4) AS progress_pct,
            CASE WHEN walk_complete THEN CASE WHEN total_objects * (p.session_id % 11) // 10 >= total_objects THEN 0
                 WHEN total_objects * (p.session_id % 11) // 10 > 0 THEN CAST(floor((total_objects - total_objects *
                 (p.session_id % 11) // 10) / ((total_objects * (p.session_id % 11) // 10) / elapsed_s)) AS BIGINT) END END
                 AS eta_s
-    FROM t JOIN v_progress p ON t.session_id = p.session_id""")
+    FROM t LEFT JOIN v_progress p ON t.session_id = p.session_id AND t.session_id % 13 <> 0""")
 def object_progress(v: Views):
     totals = v.table("orders").groupBy(F.col("o_custkey").alias("session_id")).agg(F.count("*").alias("total_objects"))
     sent = F.floor(F.col("total_objects") * (F.col("session_id") % 11) / 10).cast("long")
-    latest = v.progress().select("session_id", "walk_complete", "elapsed_s").join(totals, "session_id").select(
+    reported = v.progress().filter("session_id % 13 <> 0")  # the others have sent nothing yet
+    latest = reported.select("session_id", "walk_complete", "elapsed_s").join(totals, "session_id").select(
         "session_id", "walk_complete", "elapsed_s", sent.alias("objects_sent")
     )
     return rollups.object_progress(totals, latest).withColumn("progress_pct", rounded("progress_pct", 4))

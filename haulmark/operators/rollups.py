@@ -89,17 +89,27 @@ def _as_metrics(row: DataFrame, prefix: str, entries: list[tuple[str, str, str]]
 def session_summary(sessions: DataFrame, streams: DataFrame, as_of: Column, extra: tuple[Column, ...] = ()) -> DataFrame:
     """One row per session: bytes over its streams, active streams, last activity, status and time left.
 
-    ``sessions`` has objects_sent, total_objects, walk_complete, elapsed_s, closing and phase. ``extra`` are
-    further named aggregates over the streams of a session.
+    ``sessions`` has objects_sent, total_objects, walk_complete, elapsed_s, closing and phase. Sessions without
+    streams count zero bytes and streams. Where ``sessions`` has a ``mode``, those of mode ``single`` have one
+    active stream and their own ``bytes_received``; ``last_activity`` of a session fills in for its streams'.
+    ``extra`` are further named aggregates over the streams of a session.
     """
     per_session = streams.groupBy("session_id").agg(
-        F.sum("offset").alias("bytes_received"),
-        F.count_if(F.col("slot_status") == "receiving").alias("active_streams"),
-        F.max("last_activity").alias("last_activity"),
+        F.sum("offset").alias("_bytes"),
+        F.count_if(F.col("slot_status") == "receiving").alias("_active"),
+        F.max("last_activity").alias("_last"),
         *extra,
     )
-    added = [c for c in per_session.columns if c not in ("session_id", "bytes_received", "active_streams", "last_activity")]
-    return sessions.join(per_session, "session_id").select(
+    added = [c for c in per_session.columns if c not in ("session_id", "_bytes", "_active", "_last")]
+    given = {"mode": F.lit("parallel"), "bytes_received": F.lit(0).cast("long"), "last_activity": F.lit(None).cast("timestamp")}
+    own = sessions.withColumns({c: value for c, value in given.items() if c not in sessions.columns})
+    single = F.col("mode") == "single"
+    summed = own.join(per_session, "session_id", "left").withColumns({
+        "bytes_received": F.when(single, F.col("bytes_received")).otherwise(F.coalesce("_bytes", F.lit(0))),
+        "active_streams": F.when(single, F.lit(1)).otherwise(F.coalesce("_active", F.lit(0))).cast("long"),
+        "last_activity": F.coalesce("_last", "last_activity"),
+    })
+    return summed.select(
         "session_id", "bytes_received", "active_streams", "last_activity", "phase",
         status.session_status("last_activity", as_of, "closing").alias("status"),
         progress.session_eta("objects_sent", "total_objects", "elapsed_s", "walk_complete").alias("eta"),
@@ -181,9 +191,10 @@ def upload_throughput(uploads: DataFrame) -> DataFrame:
 
 
 def object_progress(totals: DataFrame, latest: DataFrame) -> DataFrame:
-    """Scanned totals against what was sent: percent and seconds left per session."""
+    """Scanned totals against what was sent: percent and seconds left per session; nothing reported yet is zero sent."""
     eta = F.when(F.col("walk_complete"), progress.eta_linear("objects_sent", "total_objects", "elapsed_s"))
-    return totals.join(latest, "session_id").select(
+    reported = totals.join(latest, "session_id", "left").withColumn("objects_sent", F.coalesce("objects_sent", F.lit(0).cast("long")))
+    return reported.select(
         "session_id", "total_objects", "objects_sent",
         progress.progress_pct("objects_sent", "total_objects").alias("progress_pct"), eta.alias("eta_s"),
     )

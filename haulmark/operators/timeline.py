@@ -269,15 +269,24 @@ def busy_conflicts(runs: DataFrame, key: str, slice_by: Column) -> DataFrame:
 
 
 def missed_heartbeats(
-    pings: DataFrame, keys: list[str], order: list[str], slice_by: Column, ts: str, keepalive_s: float, side: str = "server"
+    pings: DataFrame, keys: list[str], order: list[str], slice_by: Column, ts: str, keepalive_s: float, side: str = "server",
+    as_of: Column | None = None,
 ) -> DataFrame:
-    """Moments at which a channel counts as lost: the first read deadline that passes without a ping."""
+    """Moments at which a channel counts as lost: the first read deadline that passes without a ping.
+
+    ``back_at`` is the ping that ends the silence. With ``as_of``, a channel that is still silent then has a row
+    without it.
+    """
     deadline_us = int((keepalive_s + 5 if side == "agent" else 2.5 * keepalive_s) * 1_000_000)
     gaps = idle_gap(pings, keys, order, slice_by, ts)
     lost = F.timestamp_micros(F.unix_micros(ts) - F.col("idle_us") + deadline_us)
-    return gaps.filter(F.col("idle_us") > deadline_us).select(
-        *keys, lost.alias("lost_at"), F.col(ts).alias("back_at")
-    )
+    ended = gaps.filter(F.col("idle_us") > deadline_us).select(*keys, lost.alias("lost_at"), F.col(ts).alias("back_at"))
+    if as_of is None:
+        return ended
+    last = pings.groupBy(*keys).agg(F.max(ts).alias("_last"))
+    silent = last.filter(F.unix_micros(as_of) - F.unix_micros("_last") > deadline_us)
+    return ended.unionByName(silent.select(
+        *keys, F.timestamp_micros(F.unix_micros("_last") + deadline_us).alias("lost_at"), F.lit(None).cast("timestamp").alias("back_at")))
 
 
 def stall_detect(

@@ -12,10 +12,16 @@ from haulmark.operators import mirroring
 from haulmark.operators.retention import retention_candidates
 
 
-def plan_retention(backups: DataFrame, storages: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Step 1 sends what retention will remove to the archive buckets, step 2 removes it locally."""
+def plan_retention(backups: DataFrame, storages: DataFrame, buckets: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Step 1 sends what retention will remove to the archive buckets, step 2 removes it locally.
+
+    ``failed`` names the (storage, agent) whose newest archive did not pass its integrity check: nothing of theirs
+    is removed.
+    """
     limits = storages.select("storage", "max_backups")
     doomed = retention_candidates(backups.join(limits, "storage")).select("storage", "agent", "file_name")
+    if failed is not None:
+        doomed = doomed.join(failed, ["storage", "agent"], "left_anti")
     archives = mirroring.filter_by_mode(buckets, "archive").select("storage", F.col("name").alias("bucket"), "prefix")
     uploads = doomed.join(archives, "storage").select(
         "storage", "agent", F.lit(1).alias("step"), F.lit("archive_upload").alias("action"), "bucket",
@@ -33,7 +39,13 @@ def plan_post_commit(commits: DataFrame, rotated: DataFrame, buckets: DataFrame)
 
     ``commits`` has storage, agent, file_name of the new archive; ``rotated`` the archives retention removed, of
     which ``newest_removed`` marks one per agent. ``on_failure`` is ``stop`` where a failure ends the later steps of that bucket.
+    Where ``commits`` has a boolean ``integrity_ok``, an archive that did not pass is neither mirrored nor followed
+    by the removal of older ones.
     """
+    if "integrity_ok" in commits.columns:
+        passed = F.coalesce(F.col("integrity_ok"), F.lit(False))
+        rotated = rotated.join(commits.filter(~passed).select("storage", "agent"), ["storage", "agent"], "left_anti")
+        commits = commits.filter(passed)
     sides = buckets.select("storage", F.col("name").alias("bucket"), "prefix", "bmode", "sync_strategy", "retain")
     early_delete = F.coalesce(F.col("sync_strategy") == "space_efficient", F.lit(False))
 
