@@ -23,15 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulmark.llm.common import components, materialize, texts
 
-#: Cells of the frequency sketch (two bytes each) and bits of the filter of rows that are in blocks, as powers of two.
-SKETCH_BITS, FILTER_BITS, PART = 21, 23, 4096
-#: Most rows and n-grams of a tile; most words whose hashes a task remembers.
-TILE_ROWS, TILE_GRAMS, MEMORY = 128, 200_000, 1_000_000
+#: Cells of the frequency sketch and bits of the filter of rows that are in blocks, as powers of two. A task counts a cell up
+#: to 255 (one byte), the sum up to 65535 (two bytes): frequent n-grams stay last, which is all that the order needs.
+SKETCH_BITS, FILTER_BITS, PART = 23, 23, 16384
+#: Most rows and n-grams of a tile.
+TILE_ROWS, TILE_GRAMS = 512, 1_000_000
 
 
 class Grams:
@@ -41,22 +42,13 @@ class Grams:
     def __init__(self, n: int):
         import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
-
-        class Words(dict):
-            def __missing__(self, word: bytes) -> int:
-                if len(self) >= MEMORY:
-                    self.clear()
-                value = self[word] = digest(word)
-                return value
-
-        self.n, self.words = n, Words()
+        self.n, self.digest = n, xxhash.xxh3_64_intdigest
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.lower().split()  # of bytes: A-Z only
         if not words:
             return np.zeros(0, np.uint64)
-        hashes = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        hashes = np.fromiter(map(self.digest, words), np.uint64, len(words))
         n = min(self.n, len(words))
         count = len(words) - n + 1
         mixed = np.full(count, n, np.uint64)
@@ -96,13 +88,23 @@ def _set_id(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def _key(sid: bytes) -> int:
+    """Half of a set's identity, enough to find candidates by: two sets under one key are compared, not confused."""
+    return int.from_bytes(sid[:7], "big")
+
+
+def _key_of(sid: Column) -> Column:
+    return F.conv(F.hex(F.substring(sid, 1, 7)), 16, 10).cast("long")
+
+
 def _merged(spark: SparkSession, parts: DataFrame, bits: bool) -> np.ndarray:
-    """Sum (saturating) or union of the sketches of tasks, cut into parts: 2 MiB of cells or 1 MiB of bits at the driver."""
+    """Sum (saturating) or union of the sketches of tasks, cut into parts: 16 MiB of cells or 1 MiB of bits at the driver."""
     def fold(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for row in rows:
             for part, cells in zip(row.column("part").to_pylist(), row.column("cells").to_pylist()):
-                new = np.frombuffer(cells, np.uint8) if bits else np.frombuffer(cells, np.uint16).astype(np.uint32)
+                new = np.frombuffer(cells, np.uint8)
+                new = new if bits else new.astype(np.uint32)
                 if part in held:
                     held[part] = held[part] | new if bits else np.minimum(held[part] + new, 65535)
                 else:
@@ -136,7 +138,7 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())],
                 ["doc_id", "n_shingles", "sid", "part", "cells"])
         if key_type is not None:
-            small = np.minimum(cells, 65535).astype(np.uint16).reshape(-1, PART)
+            small = np.minimum(cells, 255).astype(np.uint8).reshape(-1, PART)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(len(small), key_type), pa.nulls(len(small), pa.int64()), pa.nulls(len(small), pa.binary()),
                  pa.array(range(len(small)), pa.int32()), pa.array([p.tobytes() for p in small], pa.binary())],
@@ -146,61 +148,66 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, n: int, bounds: Bounds, sketch) -> DataFrame:
-    """First n-grams, rare ones first, of each set that a task meets."""
+    """Entries ``gram``, ``key``, ``least``: the first n-grams, rare ones first, of each set that a task meets."""
+    schema = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("least", pa.int32())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_of, seen, cells = Grams(n), set(), sketch.value
         for batch in batches:
-            sets, firsts = [], []
+            keys, least, firsts = [], [], [np.zeros(0, np.int64)]
             for text in texts(batch):
                 grams = grams_of(text)
-                sid = _set_id(grams)
-                if len(grams) and sid not in seen:
-                    seen.add(sid)
+                key = _key(_set_id(grams))
+                if len(grams) and key not in seen:
+                    seen.add(key)
                     often = cells[grams >> np.uint64(64 - SKETCH_BITS)]
-                    sets.append(sid)
+                    keys.append(key)
+                    least.append(bounds.least(len(grams)))
                     firsts.append(grams[np.argsort(often, kind="stable")[:bounds.prefix(len(grams))]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["sid", "grams"])
+            sizes = [len(f) for f in firsts[1:]]
+            columns = (np.concatenate(firsts), np.repeat(np.array(keys, np.int64), sizes), np.repeat(np.array(least, np.int32), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
-    return docs.mapInArrow(run, "sid binary, grams array<long>").groupBy("sid").agg(F.first("grams").alias("grams"))
+    return docs.mapInArrow(run, "gram long, key long, least int")
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """Entries (``gram``, ``node``) whose n-gram stands in two rows or more, with ``head``, the first of these rows.
+    """Entries whose n-gram stands in two sets or more, each once, with ``head``, the first of these sets.
 
-    Runs of one n-gram stream through a task; of a run only its first row is held.
+    Runs of one n-gram stream through a task; of a run only its last entry and its first set are held.
     """
+    names = ["gram", "key", "least"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, node, head, with_before = None, 0, 0, False  # the last entry so far
+        last, head, joined = None, 0, False  # the last entry so far, the first set of its run, and whether it is another
         for batch in batches:
-            if not batch.num_rows:
+            g, k, least = (batch.column(c).to_numpy() for c in names)
+            if last is not None:
+                g, k, least = (np.append(x, y) for x, y in zip(last, (g, k, least)))
+            if not len(g):
                 continue
-            g, v = batch.column("gram").to_numpy(), batch.column("node").to_numpy()
-            if gram is not None:
-                g, v = np.append(gram, g), np.append(node, v)
+            fresh = np.append(True, (g[1:] != g[:-1]) | (k[1:] != k[:-1]))  # copies of a set that other tasks met
+            g, k, least = g[fresh], k[fresh], least[fresh]
             starts = np.append(True, g[1:] != g[:-1])
-            heads = v[np.maximum.accumulate(np.where(starts, np.arange(len(g)), 0))]
+            heads = k[np.maximum.accumulate(np.where(starts, np.arange(len(g)), 0))]
             before = ~starts
-            if gram is not None:
-                heads[g == gram] = head
-                before[0] = with_before
+            if last is not None:
+                heads[g == g[0]] = head
+                before[0] = joined
             keep = before[:-1] | ~starts[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(g[:-1][keep]), pa.array(v[:-1][keep]), pa.array(heads[:-1][keep])], ["gram", "node", "head"])
-            gram, node, head, with_before = g[-1], v[-1], heads[-1], bool(before[-1])
-        if gram is not None and with_before:
-            yield pa.RecordBatch.from_arrays([pa.array([gram]), pa.array([node]), pa.array([head])], ["gram", "node", "head"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (g, k, least, heads)], [*names, "head"])
+            last, head, joined = (g[-1:], k[-1:], least[-1:]), heads[-1], bool(before[-1])
+        if last is not None and joined:
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in last), pa.array([head])], [*names, "head"])
 
-    ordered = entries.select("gram", "node").repartition("gram").sortWithinPartitions("gram", "node")
-    return ordered.mapInArrow(run, "gram long, node long, head long")
+    ordered = entries.select(names).repartition("gram").sortWithinPartitions("gram", "key")
+    return ordered.mapInArrow(run, "gram long, key long, least int, head long")
 
 
-def _survivors(shared: DataFrame, nodes: DataFrame, bounds: Bounds) -> DataFrame:
-    """Rows that share enough of their first n-grams with others."""
-    counts = shared.groupBy("node").agg(F.count("*").alias("times")).join(nodes.select("node", "n"), "node")
-    num, den = bounds.num, bounds.den
-    partner = F.expr(f"-((-{num} * n) div {den})")  # rounds towards zero, so this is the floor of the bound
-    partner = F.when(F.expr(f"({num} * n) % {den} = 0"), partner).otherwise(partner + 1)
-    missing = partner - F.ceil(partner * num / F.lit(den) - 1e-9).cast("long")
-    return counts.filter(F.col("times") >= F.floor(missing / 2) + 1).select("node")
+def _survivors(shared: DataFrame) -> DataFrame:
+    """Entries of the sets that share enough of their first n-grams with others; a set has no more entries than that."""
+    own = Window.partitionBy("key")
+    return shared.withColumn("times", F.count("*").over(own)).filter(F.col("times") >= F.col("least")).drop("times")
 
 
 def _tiles(members: DataFrame, bounds: Bounds) -> DataFrame:
@@ -285,13 +292,16 @@ def _sets(docs: DataFrame, n: int, chosen) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_of, seen, bits = Grams(n), set(), chosen.value
         for batch in batches:
+            sets, whole = [], []
             for text in texts(batch):
                 grams = grams_of(text)
                 sid = _set_id(grams)
                 at = np.frombuffer(sid, np.uint32)[:2] & mask
                 if len(grams) and sid not in seen and (bits[at >> 3] >> (at & 7) & 1).all():
                     seen.add(sid)
-                    yield pa.RecordBatch.from_arrays([pa.array([sid], pa.binary()), pa.array([grams.tobytes()], pa.binary())], ["sid", "grams"])
+                    sets.append(sid)
+                    whole.append(grams.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(whole, pa.binary())], ["sid", "grams"])
 
     return docs.mapInArrow(run, "sid binary, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
 
@@ -311,15 +321,12 @@ def _filter_parts(members: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, nodes: DataFrame, sketch, n: int, bounds: Bounds) -> DataFrame:
     """Edges ``a``, ``b`` between the nodes that link, enough to connect all that are connected."""
     spark = docs.sparkSession
-    index = _prefixes(docs, n, bounds, sketch).join(nodes.select("sid", "node"), "sid").select("node", F.explode("grams").alias("gram"))
-    shared = materialize(_shared(index), "ngram-shared")
-    shared = _shared(shared.join(_survivors(shared, nodes, bounds), "node", "left_semi"))
-    shared = materialize(shared, "ngram-shared")
-    near = shared.join(_survivors(shared, nodes, bounds), "node", "left_semi").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    blocks = components(near, "ngram-blocks")
-    members = materialize(blocks.join(nodes.select("node", "n", "sid"), "node"), "ngram-members")
+    shared = _shared(_survivors(_shared(_prefixes(docs, n, bounds, sketch))))
+    near = materialize(_survivors(shared).select(F.col("key").alias("a"), F.col("head").alias("b")).distinct(), "ngram-near")
+    blocks = components(near, "ngram-blocks").withColumnRenamed("node", "key")
+    members = materialize(blocks.join(nodes.select("key", "node", "n", "sid"), "key"), "ngram-members")
     chosen = spark.sparkContext.broadcast(_merged(spark, _filter_parts(members), bits=True))
-    sets = _sets(docs, n, chosen).join(members.select("sid", "node"), "sid").select("node", "grams")
+    tiles = materialize(_tiles(members.select("node", "n", "root"), bounds).join(members.select("node", "sid"), "node"), "ngram-tiles")
 
     def multiply(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("node", ignore_index=True)
@@ -327,7 +334,7 @@ def _links(docs: DataFrame, nodes: DataFrame, sketch, n: int, bounds: Bounds) ->
         found = product_links([np.frombuffer(g, np.uint64) for g in block["grams"]], block["side"].to_numpy(), bounds)
         return pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[j] for _, j in found]}, dtype="int64")
 
-    return _tiles(members.select("node", "n", "root"), bounds).join(sets, "node").groupBy("tile").applyInPandas(multiply, "a long, b long")
+    return tiles.join(_sets(docs, n, chosen), "sid").groupBy("tile").applyInPandas(multiply, "a long, b long")
 
 
 def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -345,7 +352,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> Da
     rows = summed.filter("part IS NULL").select("doc_id", "n_shingles", "sid")
     nodes = materialize(
         rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("first"))
-        .withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")
+        .withColumns({"node": F.monotonically_increasing_id(), "key": _key_of(F.col("sid"))}), "ngram-nodes")
     sketch = spark.sparkContext.broadcast(_merged(spark, summed.filter("part IS NOT NULL"), bits=False))
     roots = components(_links(docs, nodes, sketch, n, bounds), "ngram-links")
     grouped = nodes.join(roots, "node", "left").select("sid", "first", F.coalesce("root", "node").alias("root"))
