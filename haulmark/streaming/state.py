@@ -24,16 +24,22 @@ from haulmark.operators.timeline import (
 # How long a stream must be slow, and rest between alerts, in seconds.
 EVAL_WINDOW_S = 3600
 COOLDOWN_S = 900
+# State of a key that has had no window for so long, in event time, is given up.
+WINDOW_TTL_S = 90 * 86_400
 
 
 class WindowFold(StatefulProcessor):
-    """Fold the windows of a key in order: ``step(state, row)`` gives the next state and the output rows."""
+    """Fold the windows of a key in order: ``step(state, row)`` gives the next state and the output rows.
 
-    def __init__(self, step: Callable, start: tuple, state_schema: str, order: list[str], columns: list[str]):
+    A key starts anew once the watermark is ``ttl_s`` past its last window.
+    """
+
+    def __init__(self, step: Callable, start: tuple, state_schema: str, order: list[str], columns: list[str], ttl_s: int = WINDOW_TTL_S):
         self.step, self.start, self.state_schema = step, start, state_schema
-        self.order, self.columns = order, columns
+        self.order, self.columns, self.ttl_s = order, columns, ttl_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.current = handle.getValueState("current", self.state_schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -42,10 +48,18 @@ class WindowFold(StatefulProcessor):
         for row in pd.concat(list(rows)).sort_values(self.order).itertuples(index=False):
             state, values = self.step(state, row)
             found.extend((*key, row.tick_s, *v) for v in values)
+            last = row.tick_s
         self.current.update(state)
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max((int(last) + self.ttl_s) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
         if found:
             yield pd.DataFrame(found, columns=self.columns, dtype=object)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.current.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
@@ -60,7 +74,7 @@ def _fold_windows(
     names = [field.split()[0] for field in output.split(", ")]
     processor = WindowFold(step, start, state, order, [*keys, "tick_s", *names])
     return rows.groupBy(*keys).transformWithStateInPandas(
-        processor, f"{key_fields}, tick_s long, {output}", "Append", "None"
+        processor, f"{key_fields}, tick_s long, {output}", "Append", "EventTime"
     )
 
 
@@ -192,15 +206,15 @@ class SilenceWatch(StatefulProcessor):
         due_ms = ((last + self.deadline_us) // self.width_us + 1) * self.width_us // 1000
         if due_ms <= timerValues.getCurrentWatermarkInMs():
             lost.append(last + self.deadline_us)
-            reported = True
+            self.last.clear()  # a key without state has nothing to report, as one that is reported
         else:
             self.handle.registerTimer(due_ms)
-        self.last.update((last, reported))
+            self.last.update((last, reported))
         yield from self._lost(key, lost)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, reported = self.last.get()
-        self.last.update((last, True))
+        last, reported = self.last.get() or (0, True)
+        self.last.clear()
         yield from self._lost(key, [] if reported else [last + self.deadline_us])
 
     def close(self) -> None:
