@@ -35,8 +35,10 @@ def _segments(segments: int, width: int, code: Column) -> Column:
     return F.array(*[F.struct(F.lit(j).alias("seg"), _segment(code, j, width).alias("value")) for j in range(segments)])
 
 
-def _masks(width: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
+def _masks(width: int, radius: int) -> Column:
+    """All masks with ``radius`` of ``width`` bits, as one literal."""
+    masks = (sum(1 << b for b in bits) for bits in combinations(range(width), radius))
+    return F.split(F.lit(",".join(map(str, masks))), ",").cast("array<long>")
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = SEGMENTS, bits: int = BITS) -> DataFrame:
@@ -66,8 +68,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = SEG
     found = done = None
     for radius in range(width + 1):
         probes = open_.select("qid", "asked", F.explode(_segments(segments, width, F.col("asked"))).alias("s")).select(
-            "qid", "asked", "s.seg", F.explode(F.transform(F.array(*map(F.lit, _masks(width, radius))), lambda mask: F.col("s.value").bitwiseXOR(mask.cast("long")))).alias("value"))
-        met = probes.join(index, ["seg", "value"]).select("qid", "asked", "code", "first").distinct()
+            "qid", "asked", "s.seg", F.explode(F.transform(_masks(width, radius), lambda mask: F.col("s.value").bitwiseXOR(mask))).alias("value"))
+        # Merged, not broadcast: probes are far more than the size of the table they are made from tells.
+        met = probes.join(index.hint("merge"), ["seg", "value"]).select("qid", "asked", "code", "first").distinct()
         met = met.withColumn("distance", F.bit_count(F.col("asked").bitwiseXOR(F.col("code"))))
         if found is not None:
             met = met.unionByName(found).distinct()
