@@ -136,13 +136,18 @@ def export_events_json(v: Views):
     SELECT 'gzip' AS codec, count(*) AS total_rows, true AS has_digests FROM orders UNION ALL
     SELECT 'zst', count(*), true FROM orders""")
 def snapshot_dataset(v: Views):
-    """Snapshots in both codecs; every written file has a size and a digest."""
+    """Snapshots in both codecs; size and digest of every file are those of its bytes read again."""
     parts = []
     for codec in ("gzip", "zst"):
-        manifest = archives.snapshot_dataset(v.table("orders"), scratch_path(v.spark, f"snapshot-{codec}"), codec)
-        parts.append(manifest.agg(
+        path = scratch_path(v.spark, f"snapshot-{codec}")
+        manifest = archives.snapshot_dataset(v.table("orders"), path, codec)
+        files = v.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(
+            F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.sha2("content", 256).alias("digest"), "length")
+        named = manifest.withColumn("name", F.regexp_extract("path", "[^/]+$", 0)).join(files, "name", "full")
+        same = (F.col("sha256") == F.col("digest")) & (F.col("bytes") == F.col("length"))
+        parts.append(named.agg(
             F.lit(codec).alias("codec"), F.sum("rows").alias("total_rows"),
-            F.bool_and((F.length("sha256") == 64) & (F.col("bytes") > 0)).alias("has_digests"),
+            F.bool_and(F.coalesce(same, F.lit(False))).alias("has_digests"),
         ))
     return parts[0].unionByName(parts[1])
 

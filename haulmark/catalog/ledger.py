@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from haulmark.catalog.base import Views, query
@@ -299,11 +300,19 @@ def last_offset(v: Views):
 
 
 @query("k3_reassemble_to_files", """
-    SELECT session_id, count(*) AS chunks, sha256(string_agg(payload, '' ORDER BY global_seq)) AS sha256
+    SELECT session_id, count(*) AS chunks, sha256(string_agg(payload, '' ORDER BY global_seq)) AS sha256, true AS in_order
     FROM v_conv GROUP BY session_id""")
 def reassemble_to_files(v: Views):
+    """``in_order``: within a file no chunk stands before a smaller one, and files hold ranges that do not overlap."""
     path = scratch_path(v.spark, "ordered-chunks")
     reassembly.write_ordered_chunks(v.conv(), path)
     written = v.spark.read.parquet(path)
-    counts = written.groupBy("session_id").agg(F.count("*").alias("chunks"))
+    place = F.struct("session_id", "global_seq")
+    placed = written.select(place.alias("place"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    before = F.lag("place").over(Window.partitionBy("file").orderBy("row"))
+    files = placed.withColumn("ok", F.coalesce(before < F.col("place"), F.lit(True))).groupBy("file").agg(
+        F.min("place").alias("low"), F.max("place").alias("high"), F.bool_and("ok").alias("ok"))
+    highest = F.max("high").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
+    ordered = files.withColumn("ok", F.col("ok") & F.coalesce(highest < F.col("low"), F.lit(True))).agg(F.bool_and("ok").alias("in_order"))
+    counts = written.groupBy("session_id").agg(F.count("*").alias("chunks")).withColumn("in_order", ordered.scalar())
     return reassembly.session_digests(written).join(counts, "session_id").drop("total_bytes")
