@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.functions.paths import is_backup_file
-from haulmark.operators.slices import name_slice, running_by_slice
+from haulmark.operators.slices import ROWS_PER_SLICE, name_slice, running_by_slice, with_prefix_slices
 
 
 def retention_candidates(backups: DataFrame, keep: str = "max_backups", directory: tuple[str, ...] = ("storage", "agent")) -> DataFrame:
@@ -22,14 +22,16 @@ def retention_candidates(backups: DataFrame, keep: str = "max_backups", director
     return doomed.withColumn("newest_removed", F.col("_age") == F.col(keep) + 1).drop("_age")
 
 
-def bucket_retention(objects: DataFrame) -> DataFrame:
+def bucket_retention(objects: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Keys beyond the newest ``retain`` under the prefix of each bucket, over all agents together.
 
-    ``objects`` carries ``prefix`` and ``retain`` of its bucket on every row.
+    ``objects`` carries ``prefix`` and ``retain`` of its bucket on every row. Any ``rows_per_slice`` gives the same
+    result.
     """
     under = objects.filter(F.startswith(F.col("key"), F.col("prefix")))
-    after_prefix = F.substr(F.col("key"), F.length("prefix") + 1, F.lit(10))
+    after_prefix = F.substr(F.col("key"), F.length("prefix") + 1)
+    sliced = with_prefix_slices(under, ["storage", "bucket"], after_prefix, limit=rows_per_slice)
     ranked = running_by_slice(
-        under, ["storage", "bucket"], ["key"], after_prefix, descending=True, sums={"_age": F.lit(1)}
+        sliced, ["storage", "bucket"], ["key"], F.col("_prefix"), descending=True, sums={"_age": F.lit(1)}
     )
-    return ranked.filter(F.col("_age") > F.col("retain")).drop("_age")
+    return ranked.filter(F.col("_age") > F.col("retain")).drop("_age", "_prefix")

@@ -175,3 +175,13 @@ def test_retention_and_tail(spark):
     assert {(r["agent"], r["file_name"]) for r in got.collect()} == expected
     tail = timeline.recent_per_key(df, ["agent"], ["file_name"], name_slice("file_name", 4), 30)
     assert tail.filter("agent = 0").count() == 30
+
+
+def test_bucket_retention_of_names_with_a_long_common_beginning(spark):
+    from haulmark.operators.retention import bucket_retention
+
+    keys = [f"p/production-database-01/{k:04d}.tar.gz" for k in range(120)] + ["p/a.tar.gz", "p/production", "other"]
+    objects = spark.createDataFrame([(1, "b", key, "p/", 7) for key in keys], "storage int, bucket string, key string, prefix string, retain int")
+    want = sorted(sorted(key for key in keys if key.startswith("p/"))[:-7])
+    for rows in (5, 1_000_000):
+        assert sorted(r.key for r in bucket_retention(objects, rows).collect()) == want
