@@ -42,23 +42,33 @@ class WordTokenizer:
         # Functions travel by value, so what shall outlive a task hangs on an installed module.
         held = tokenizers.__dict__.setdefault("_word_memory", {})
         if path not in held:
-            held[path] = (tokenizers.Tokenizer.from_file(path), {}, [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)])
-        self.tokenizer, self.words, self.store = held[path]
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Numbers of words in the store, after encoding the new ones."""
-        if len(self.words) + len(words) > MEMORY:
-            self.words.clear()
-            self.store[:] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)]
-        new = [w for w in words if w not in self.words]
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+            held[path] = (tokenizers.Tokenizer.from_file(path), {})
+            self._forget(held[path][1])
+        self.tokenizer, self.memory = held[path]
+
+    @staticmethod
+    def _forget(memory: dict) -> None:
+        """``words`` known, and of each the place and number of its ids in ``ids``: arrays, 40 bytes a word."""
+        memory.update(words=pa.array([], pa.string()), starts=np.zeros(0, np.int64), lengths=np.zeros(0, np.int64), ids=np.zeros(0, np.uint32))
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Numbers of words in the memory, after encoding the new ones."""
+        memory = self.memory
+        if len(memory["words"]) + len(words) > MEMORY:
+            self._forget(memory)
+        number = pc.index_in(words, value_set=memory["words"])
+        new = words.filter(pc.is_null(number))
+        if len(new):
+            ids = [e.ids for e in self.tokenizer.encode_batch(new.to_pylist(), add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-            starts = len(self.store[2]) + np.cumsum(lengths) - lengths
-            self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-            self.store[:] = [np.concatenate(pair) for pair in zip(self.store, (starts, lengths, flat))]
-        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            starts = len(memory["ids"]) + np.cumsum(lengths) - lengths
+            number = number.to_numpy(zero_copy_only=False)
+            number[np.isnan(number)] = np.arange(len(memory["words"]), len(memory["words"]) + len(new))
+            memory.update(words=pa.concat_arrays([memory["words"], new]), starts=np.concatenate([memory["starts"], starts]),
+                          lengths=np.concatenate([memory["lengths"], lengths]), ids=np.concatenate([memory["ids"], flat]))
+            return number.astype(np.int64)
+        return number.to_numpy().astype(np.int64)
 
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, in order; null counts as empty."""
@@ -67,8 +77,8 @@ class WordTokenizer:
         plain = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
         split = pc.split_pattern(pc.replace_substring_regex(plain, r"([a-z])([.,])( |$)", r"\1 \2\3"), " ")
         coded = split.flatten().dictionary_encode()
-        number = self._numbers(coded.dictionary.to_pylist())
-        starts, lengths, flat = self.store
+        number = self._numbers(coded.dictionary)
+        starts, lengths, flat = (self.memory[name] for name in ("starts", "lengths", "ids"))
         word = number[coded.indices.to_numpy()]
         long = lengths[word]
         ends = np.cumsum(long)
