@@ -21,10 +21,22 @@ from haulmark.sources import listings, stores
 DOCS_PER_ARCHIVE = 50
 
 
-@query("s1_scan_inventory")
+@query("s1_scan_inventory", """
+    SELECT CASE WHEN lang IS NULL THEN NULL ELSE 'source=' || source || '/lang=' || lang END AS folder, 'file' AS entry_type,
+           CAST(1 AS BIGINT) AS entries, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source, lang
+    UNION ALL SELECT 'source=' || source, 'dir', count(DISTINCT lang), NULL FROM documents GROUP BY source
+    UNION ALL SELECT '', 'dir', count(DISTINCT source), NULL FROM documents""")
 def scan_inventory(v: Views):
-    """The files of the tables themselves, and the folders that hold them."""
-    return listings.scan_inventory(v.spark, [v.sf_dir], ["*.crc"]).select("rel_path", "entry_type", "size")
+    """A tree of folders and text files written from the documents, as the walk finds it; side files are excluded."""
+    path = scratch_path(v.spark, "tree")
+    docs = v.table("documents").select("source", "lang", "text").repartition("source", "lang")
+    docs.write.partitionBy("source", "lang").text(path)
+    found = listings.scan_inventory(v.spark, [path], ["*.crc", "_SUCCESS", ".*"])
+    inside = F.regexp_extract("path", r"/tree-[0-9a-f]+/?(.*)$", 1)
+    folder = F.regexp_replace(inside, "/?[^/]*$", "")
+    placed = found.select(inside.alias("inside"), folder.alias("folder"), "entry_type", "size").filter("inside <> ''")
+    return placed.groupBy("folder", "entry_type").agg(
+        F.count("*").alias("entries"), F.sum(F.when(F.col("entry_type") == "file", F.col("size"))).alias("bytes"))
 
 
 @query("s4_scan_backups", """
@@ -37,6 +49,27 @@ def scan_backups(v: Views):
     return listings.list_backups(listing).select("doc_id", "rel_path")
 
 
+@query("s4_scan_backups_walk", f"""
+    WITH a AS (SELECT CAST(doc_id // {DOCS_PER_ARCHIVE} AS BIGINT) AS archive_no FROM documents GROUP BY ALL)
+    SELECT archive_no, CASE archive_no % 3 WHEN 0 THEN 'agent-0' ELSE 'agent-1/daily' END AS folder
+    FROM a WHERE archive_no % 6 <> 3 AND archive_no % 5 <> 0""")
+def scan_backups_walk(v: Views):
+    """Archives written into folders of agents, some of them unfinished, as the walk finds them."""
+    folder = scratch_path(v.spark, "backups").removeprefix("file://")
+    docs = v.table("documents").select(F.floor(F.col("doc_id") / DOCS_PER_ARCHIVE).alias("archive_no"), "doc_id", "text")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        number = int(pdf["archive_no"].iloc[0])
+        agent = "agent-0" if number % 3 == 0 else "agent-1/daily"
+        return _build_archive(pdf, f"{folder}/{agent}" + ("/chunks_x" if number % 5 == 0 else ""))
+
+    docs.groupBy("archive_no").applyInPandas(build, "path string, archive_no long").write.parquet(scratch_path(v.spark, "built"))
+    found = listings.scan_backups(v.spark, folder)
+    return found.select(
+        F.regexp_extract("rel_path", "archive-([0-9]+)", 1).cast("long").alias("archive_no"),
+        F.regexp_replace("rel_path", "/[^/]*$", "").alias("folder"))
+
+
 @query("s5_scan_remote_listing", "SELECT storage, bucket, key, size FROM v_remote WHERE key LIKE 'nation_1%' ORDER BY key")
 def scan_remote_listing(v: Views):
     return listings.scan_remote_listing(v.remote(), "nation_1").select("storage", "bucket", "key", "size")
