@@ -38,13 +38,13 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = materialize(ngram_join(docs, 5, 4, 5), "pipeline-groups")
     keys = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max((F.col("n_shingles") == 0) | (F.col("component_id") == F.col("doc_id"))).alias("stays"), F.count("*").alias("rows"))
-    keys = materialize(keys, "pipeline-keys")
-    kept = docs.join(keys.filter("NOT stays").select("doc_id"), "doc_id", "left_anti")
-    repeated = keys.filter("stays AND rows > 1").select("doc_id")  # rare, and only these are compared as a whole
-    single = kept.join(repeated, "doc_id", "left_anti")
-    several = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(several).select(docs.columns)
+        F.max((F.col("n_shingles") == 0) | (F.col("component_id") == F.col("doc_id"))).alias("__stays"), F.count("*").alias("__rows"))
+    # Only keys that go, or repeat, are joined to the texts; their own table tells Spark how few they are.
+    special = materialize(keys.filter("NOT __stays OR __rows > 1"), "pipeline-special")
+    kept = docs.join(special, "doc_id", "left").filter("__stays IS NULL OR __stays")
+    single = kept.filter("__rows IS NULL").select(docs.columns)
+    several = kept.filter("__rows IS NOT NULL").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return single.unionByName(several)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
