@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,17 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def pieces(parts: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of whole rows of about ``most`` bytes of text, so that a task holds little at a time."""
+    for part in parts:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(part.column("text")), 0), np.int64))
+        at = 0
+        while at < part.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield part.slice(at, to - at)
+            at = to
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Rows that no model may learn labels from; rows without a key are none of them."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import components, materialize, texts
+from haulmark.llm.common import components, materialize, pieces, texts
 
 #: Cells of the frequency sketch and bits of the filter of rows that are in blocks, as powers of two. A task counts a cell up
 #: to 255 (one byte), the sum up to 65535 (two bytes): frequent n-grams stay last, which is all that the order needs.
@@ -125,7 +125,7 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_of, cells = Grams(n), np.zeros(1 << SKETCH_BITS, np.uint32)
         key_type = None
-        for batch in batches:
+        for batch in pieces(batches):
             key_type = batch.column("doc_id").type
             sizes, sets = [], []
             for text in texts(batch):
@@ -153,7 +153,7 @@ def _prefixes(docs: DataFrame, n: int, bounds: Bounds, sketch) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_of, seen, cells = Grams(n), set(), sketch.value
-        for batch in batches:
+        for batch in pieces(batches):
             keys, least, firsts = [], [], [np.zeros(0, np.int64)]
             for text in texts(batch):
                 grams = grams_of(text)
@@ -291,7 +291,7 @@ def _sets(docs: DataFrame, n: int, chosen) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_of, seen, bits = Grams(n), set(), chosen.value
-        for batch in batches:
+        for batch in pieces(batches):
             sets, whole = [], []
             for text in texts(batch):
                 grams = grams_of(text)

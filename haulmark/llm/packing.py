@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 SEQUENCE, SEGMENTS, END_ID = 2048, 128, 1
 #: Waiting documents a task chooses among, text bytes it tokenises at once, and words it remembers.
-WINDOW, SLICE_BYTES, MEMORY = 512, 8 << 20, 1_000_000
+WINDOW, SLICE_BYTES, MEMORY = 512, 4 << 20, 1_000_000
 MARK = "<|"
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -59,7 +59,9 @@ class WordTokenizer:
         number = pc.index_in(words, value_set=memory["words"])
         new = words.filter(pc.is_null(number))
         if len(new):
-            ids = [e.ids for e in self.tokenizer.encode_batch(new.to_pylist(), add_special_tokens=False)]
+            # A few at a time: what the tokenizer returns is large, and only the ids are kept.
+            ids = [e.ids for k in range(0, len(new), 4096)
+                   for e in self.tokenizer.encode_batch(new.slice(k, 4096).to_pylist(), add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
             starts = len(memory["ids"]) + np.cumsum(lengths) - lengths

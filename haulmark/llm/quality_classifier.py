@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulmark.llm.common import duplicate_lines, held_out, labelled, repeated_words, texts
+from haulmark.llm.common import duplicate_lines, held_out, labelled, pieces, repeated_words, texts
 
 #: Most labelled rows that the trees are fitted on.
 TRAIN_ROWS = 20_000
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("stats", pa.list_(pa.float64()))])
 
     def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in pieces(parts):
             stats = pa.array([statistics(t) for t in texts(part)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("label").cast(pa.int32()), stats], schema=schema)
 
@@ -141,7 +141,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROW
     docs = docs.drop(*[c for c in docs.columns if c.lower() in results])
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in pieces(parts):
             found = model.score(np.array([statistics(t) for t in texts(part)]).reshape(-1, len(STATISTICS)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], [*part.schema.names, "score"])
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulmark.llm.common import duplicate_lines, repeated_words, texts
+from haulmark.llm.common import duplicate_lines, pieces, repeated_words, texts
 
 SYMBOLS = b"#*$%&|<>"
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -80,7 +80,7 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE
     schema = pa.schema([("rule", pa.string()), ("seconds", pa.float64()), ("seen", pa.int64()), ("rejected", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in pieces(parts):
             sample = [d for d in map(Document, texts(part)) if not d.base_failed]
             out = []
             for rule in rules:
@@ -119,7 +119,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     docs = docs.drop(*[c for c in docs.columns if c.lower() in results])
 
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in pieces(parts):
             counts: dict[str, list] = {name: [] for name, _ in kinds}
             for text in texts(part):
                 doc = Document(text)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulmark.llm.common import held_out, labelled, materialize, texts
+from haulmark.llm.common import held_out, labelled, materialize, pieces, texts
 
 #: Most labelled rows that terms are learned from, and most terms kept (those with the most evidence).
 TRAIN_ROWS, MOST_TERMS = 20_000, 5_000
@@ -193,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, exceptions
         return words_of(text.decode("utf-8", "replace"), fold)
 
     def sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in pieces(parts):
             found = [_sketch(words(t)) for t in texts(part)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "sketch"])
 
@@ -201,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, exceptions
     family = _families({r.doc_id: r.sketch for r in toxic.mapInArrow(sketch, "doc_id long, sketch array<long>").collect()})
 
     def in_toxic(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in pieces(parts):
             out = {(term, family[key]) for key, t in zip(part.column("doc_id").to_pylist(), texts(part)) for term in _terms(words(t))}
             yield pa.RecordBatch.from_pylist([{"term": term, "family": number} for term, number in out], SEEN)
 
@@ -213,7 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, exceptions
 
     def in_clean(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
-        for part in parts:
+        for part in pieces(parts):
             for t in texts(part):
                 for term in _terms(words(t)) & a.keys():
                     seen[term] = seen.get(term, 0) + 1
@@ -236,7 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, exceptions
     lexicon = Lexicon(weights, tuple(fold(p) for p in exceptions))
 
     def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in pieces(parts):
             values = [lexicon.normalised(t.decode("utf-8", "replace"), fold) for t in texts(part)]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.float64()), part.column("label").cast(pa.int32())], ["value", "label"])
 
@@ -261,7 +261,7 @@ def toxicity(
     docs = docs.drop(*[c for c in docs.columns if c.lower() in results])
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in pieces(parts):
             found = [lexicon.score(lexicon.normalised(t.decode("utf-8", "replace"), fold)) for t in texts(part)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*part.schema.names, "score"])
 
