@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from haulmark.llm.common import materialize
 from haulmark.llm.mixing import mix, word_count
-from haulmark.llm.ngram_join import ngram_join
+from haulmark.llm.ngram_join import set_decisions, with_set
 from haulmark.llm.packing import pack
 from haulmark.llm.quality_classifier import quality_classifier
 from haulmark.llm.quality_rules import quality_rules
@@ -33,26 +33,37 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: word 5-grams, Jaccard similarity of 0.8 or more.
 
-    The one with the smallest ``doc_id`` stays. Rows with that key and one text are one document; a key that repeats with
-    different texts stays if any of them does. Documents without a key, or without words (which link with nothing), stay.
+    The one with the smallest ``doc_id``, null last, stays; under one key (null is one) each set of n-grams is decided for
+    itself, and of rows alike in both the smallest text stays. Documents without words link with nothing and stay; those
+    that repeat a key and text are one.
     """
-    groups = materialize(ngram_join(docs, 5, 4, 5), "pipeline-groups")
-    keys = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max((F.col("n_shingles") == 0) | (F.col("component_id") == F.col("doc_id"))).alias("__stays"), F.count("*").alias("__rows"))
+    rows = materialize(set_decisions(docs, 5, 4, 5), "pipeline-groups")
+    keys = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("stays").alias("__stays"), F.count("*").alias("__rows"))
     # Only keys that go, or repeat, are joined to the texts; their own table tells Spark how few they are.
     special = materialize(keys.filter("NOT __stays OR __rows > 1"), "pipeline-special")
-    kept = docs.join(special, "doc_id", "left").filter("__stays IS NULL OR __stays")
-    single = kept.filter("__rows IS NULL").select(docs.columns)
-    several = kept.filter("__rows IS NOT NULL").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return single.unionByName(several)
+    keyed = docs.filter("doc_id IS NOT NULL").join(special, "doc_id", "left").filter("__stays IS NULL OR __stays")
+    single = keyed.filter("__rows IS NULL").select(docs.columns)
+    # One row of each key and set, before its shuffle, so that copies of a hot key or of null fold in the tasks.
+    several = with_set(keyed.filter("__rows IS NOT NULL").select(docs.columns).unionByName(docs.filter("doc_id IS NULL")), 5, "__set")
+    row = F.struct("text", *[c for c in docs.columns if c != "text"])
+    folded = several.filter("__set IS NOT NULL").groupBy("doc_id", "__set").agg(F.min(row).alias("__row"))
+    stay = rows.filter("stays AND sid IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("sid").alias("__sid")).distinct()
+    one = folded.join(stay, (F.col("__set") == F.col("__sid")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    empty = several.filter("__set IS NULL").select(docs.columns)
+    empty = empty.filter("doc_id IS NULL").unionByName(empty.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
+    return single.unionByName(one.select(*[F.col(f"__row.{c}").alias(c) for c in docs.columns])).unionByName(empty)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, each as often as it takes it."""
+    """The documents the mix takes, each as often as it takes it.
+
+    Key, source and words are what the mix draws by, so they are what its copies are joined back by.
+    """
     sizes = materialize(docs.select("doc_id", "source", word_count().alias("words")), "pipeline-words")
-    taken = mix(sizes, F.col("words")).groupBy("doc_id", "source").agg(F.max("copies").cast("int").alias("__copies")).filter("__copies > 0")
-    taken = taken.withColumnsRenamed({"doc_id": "__id", "source": "__source"})
-    mixed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
+    taken = mix(sizes, F.col("words")).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.first("copies").cast("int").alias("__copies"))
+    taken = taken.withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__size"})
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    mixed = docs.withColumn("__words", word_count()).join(taken, same)
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 

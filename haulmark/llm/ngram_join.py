@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from haulmark.llm.common import components, materialize, pieces, texts
 
@@ -337,15 +338,9 @@ def _links(docs: DataFrame, nodes: DataFrame, sketch, n: int, bounds: Bounds) ->
     return tiles.join(_sets(docs, n, chosen), "sid").groupBy("tile").applyInPandas(multiply, "a long, b long")
 
 
-def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs`` (``doc_id``, ``text``).
-
-    Two rows link when ``den`` times their common word n-grams are at least ``num`` times the union; ``component_id`` is the
-    smallest ``doc_id`` reachable by links. Letters A-Z count as lower case. A text with fewer than ``n`` words is one
-    n-gram; null texts and texts without words have none and link with nothing. Repeated rows link with each other. Null
-    keys are not a smallest id; a group that has only these has a null component. An empty table gives no rows. Other
-    columns are not read. N-grams are compared by 64-bit hashes, sets by 128-bit hashes.
-    """
+def _grouped(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (``doc_id``, ``n_shingles``, ``sid``: the set, null without words) and sets (``sid``, ``first``: the smallest key of
+    its rows, ``root``: its group)."""
     spark, bounds = docs.sparkSession, Bounds(num, den)
     docs = docs.select("doc_id", "text")
     summed = materialize(_summaries(docs, n), "ngram-sets")
@@ -356,8 +351,45 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> Da
     sketch = spark.sparkContext.broadcast(_merged(spark, summed.filter("part IS NOT NULL"), bits=False))
     roots = components(_links(docs, nodes, sketch, n, bounds), "ngram-links")
     grouped = nodes.join(roots, "node", "left").select("sid", "first", F.coalesce("root", "node").alias("root"))
-    grouped = materialize(grouped, "ngram-groups")
+    return rows, materialize(grouped, "ngram-groups")
+
+
+def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs`` (``doc_id``, ``text``).
+
+    Two rows link when ``den`` times their common word n-grams are at least ``num`` times the union; ``component_id`` is the
+    smallest ``doc_id`` reachable by links. Letters A-Z count as lower case. A text with fewer than ``n`` words is one
+    n-gram; null texts and texts without words have none and link with nothing. Repeated rows link with each other. Null
+    keys are not a smallest id; a group that has only these has a null component. An empty table gives no rows. Other
+    columns are not read. N-grams are compared by 64-bit hashes, sets by 128-bit hashes.
+    """
+    rows, grouped = _grouped(docs, n, num, den)
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     known = grouped.select("sid", "root").join(least, "root").select("sid", "component_id")
     linked = rows.filter("sid IS NOT NULL").join(known, "sid").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(rows.filter("sid IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def set_decisions(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``doc_id``, ``sid``, ``stays`` of every row of ``docs``: whether its key and set of n-grams are those its group keeps.
+
+    A group keeps the smallest key, null last, and of the sets under that key the smallest. Rows without words have no set
+    and stay. Groups are those of ``ngram_join``.
+    """
+    rows, grouped = _grouped(docs, n, num, den)
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("unknown"), "first", "sid")).alias("best"))
+    kept = best.select(F.col("best.sid").alias("sid"), F.col("best.first").alias("first"), F.lit(True).alias("kept"))
+    decided = rows.filter("sid IS NOT NULL").join(kept, "sid", "left").select(
+        "doc_id", "sid", (F.coalesce("kept", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("first"))).alias("stays"))
+    return decided.unionByName(rows.filter("sid IS NULL").select("doc_id", "sid", F.lit(True).alias("stays")))
+
+
+def with_set(docs: DataFrame, n: int, name: str = "sid") -> DataFrame:
+    """Each row of ``docs`` (with ``text``) and, as ``name``, its set of n-grams; null without words."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams_of = Grams(n)
+        for part in pieces(parts):
+            sets = [_set_id(grams) if len(grams) else None for grams in map(grams_of, texts(part))]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets, pa.binary())], [*part.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
