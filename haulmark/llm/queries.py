@@ -222,9 +222,13 @@ FROM r WHERE call_id NOT IN (SELECT call_id FROM c)"""
 
 @query("op6_chat_formatting", CHAT_SQL)
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns as tool calls (each builds on the one before), assistant turns as their results, linked and serialised."""
+    """User turns as tool calls (each builds on the one before), assistant turns as their results, linked and serialised.
+
+    A null conversation is one conversation; calls and results without a turn have no identifier and are rows with that error.
+    Turns of other roles (system) are neither calls nor results and give no row, as in the SQL.
+    """
     turns = table(spark, sf_dir, "conversations")
-    name = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - back).cast("string"))
+    name = lambda back: F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit("-"), (F.col("turn") - back).cast("string"))
     text, turn = F.col("text"), F.col("turn")
     # Some arguments lack the turn and some give it as a string, so that the schemas have something to find.
     number = F.when(F.length(text) % 7 == 3, None).otherwise(turn)
@@ -234,4 +238,8 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", name(0).alias("call_id"), F.when(turn % 4 == 1, "note").otherwise("answer").alias("name"),
         F.when(turn % 8 == 6, quoted).otherwise(plain).alias("arguments"), F.when(turn >= 2, name(2)).alias("parent_id"))
     results = turns.filter("role = 'assistant'").select("conv_id", name(1).alias("call_id"), text.alias("content"))
-    return link_tool_calls(calls, results, TOOLS)
+    asks = F.col("role") == "user"
+    unnamed = turns.filter("turn IS NULL AND role IN ('user', 'assistant')").select(
+        "conv_id", F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("long").alias("depth"), (~asks).alias("has_result"), F.lit("no identifier").alias("errors"),
+        F.to_json(F.struct(F.when(asks, F.try_parse_json(plain)).alias("arguments"), F.when(asks, "answer").alias("name"), F.when(~asks, text).alias("result"))).alias("json"))
+    return link_tool_calls(calls, results, TOOLS).unionByName(unnamed)
