@@ -84,8 +84,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     """At most ``most`` learnable rows: every column of ``docs`` named in it, and ``label`` as 0 or 1.
 
     Held-out documents never take part. Repeated labels of a document count by their mean; null labels and keys are left
-    out. The sample is the rows with the smallest hash of the key, so it is the same in each run. Only its keys, at most
-    ``most`` numbers, are broadcast; texts are not shuffled.
+    out. The sample is the keys with the smallest hash, so it is the same in each run; they, at most ``most`` numbers, are
+    broadcast. A key that repeats in ``docs`` gives one row, of the text with the smallest hash: only texts of the sample
+    are shuffled, after each task has folded its own.
     """
     keys = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -93,7 +94,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     chosen = docs.select("doc_id", "text")
-    return chosen.join(F.broadcast(keys), "doc_id").select("doc_id", "text", F.col("__label").alias("label"))
+    folded = chosen.join(F.broadcast(keys), "doc_id").groupBy("doc_id", "__label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("__least"))
+    return folded.select("doc_id", F.col("__least.text").alias("text"), F.col("__label").alias("label"))
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
