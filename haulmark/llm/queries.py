@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from haulmark.llm.chat import Field, link_tool_calls
 from haulmark.llm.common import materialize
+from haulmark.llm.filter_audit import filter_audit
 from haulmark.llm.hamming import sign_code, top_k
 from haulmark.llm.mixing import mix, word_count
 from haulmark.llm.ngram_join import ngram_join
@@ -243,3 +244,35 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("long").alias("depth"), (~asks).alias("has_result"), F.lit("no identifier").alias("errors"),
         F.to_json(F.struct(F.when(asks, F.try_parse_json(plain)).alias("arguments"), F.when(asks, "answer").alias("name"), F.when(~asks, text).alias("result"))).alias("json"))
     return link_tool_calls(calls, results, TOOLS).unionByName(unnamed)
+
+
+FILTER_AUDIT_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+e AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, len(ws) < 100 AS A, 100 * len(list_distinct(ws)) < 80 * len(ws) AS B,
+        100 * (length(w.t) - length(regexp_replace(w.t, '[A-Z]', '', 'g'))) > 10 * length(w.t) AS C,
+        regexp_matches(w.t, '[#$%&*|]') AS D, coalesce(w.doc_id > e.least, false) AS E, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+      FROM w JOIN e ON w.t = e.t LEFT JOIN l ON w.doc_id = l.doc_id),
+g AS (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda f, i: [A, B, C, D, E][i]) AS fails, count(*) AS n, count(*) FILTER (good) AS good,
+        count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+o AS (SELECT '' AS p UNION ALL SELECT p || f FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS u(f) WHERE length(p) < 5 AND NOT contains(p, f)),
+s AS (SELECT p AS filter_order, k AS step, substr(p, k, 1) AS f, string_split(substr(p, 1, k - 1), '') AS earlier FROM o, range(1, 6) AS r(k) WHERE length(p) = 5),
+x AS (SELECT part, filter_order, step, f,
+        CAST(coalesce(sum(n) FILTER (NOT list_has_any(fails, earlier) AND NOT list_contains(fails, f)), 0) AS BIGINT) AS kept,
+        CAST(coalesce(sum(n) FILTER (NOT list_has_any(fails, earlier) AND list_contains(fails, f)), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (list_has_any(fails, earlier) AND list_contains(fails, f)), 0) AS BIGINT) AS redundant,
+        CAST(coalesce(sum(n) FILTER (fails = [f]), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(good) FILTER (NOT list_has_any(fails, earlier) AND list_contains(fails, f)), 0) AS BIGINT) AS good_lost,
+        CAST(coalesce(sum(toxic) FILTER (NOT list_has_any(fails, earlier) AND list_contains(fails, f)), 0) AS BIGINT) AS toxic_lost
+      FROM g, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM x"""
+
+
+@query("op13_filter_audit", FILTER_AUDIT_SQL)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders over every document, by language."""
+    return filter_audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
