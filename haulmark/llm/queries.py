@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulmark.llm.centroids import cluster
 from haulmark.llm.chat import Field, link_tool_calls
 from haulmark.llm.common import materialize
 from haulmark.llm.filter_audit import filter_audit
@@ -276,3 +277,30 @@ FROM x"""
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters in all 120 orders over every document, by language."""
     return filter_audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """The rounds of the clustering: assignment a<n> and centroids c<n> of each."""
+    whole = "SELECT vec_id, n, k, d FROM (SELECT v.vec_id, v.n, c.k, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.w[i] - c.w[i]) * (v.w[i] - c.w[i]))) AS BIGINT) AS d, v.w FROM v, c{0} c)"
+    assign = "a{0} AS MATERIALIZED (SELECT n, arg_min(k, (d, k)) AS k, min(d) AS d FROM (" + whole + ") GROUP BY n)"
+    move = """c{1} AS MATERIALIZED (SELECT c.k, coalesce(m.w, c.w) AS w FROM c{0} c LEFT JOIN (SELECT k, list(x ORDER BY i) AS w FROM
+        (SELECT k, i, CAST((sum(v.w[i]) - ((sum(v.w[i]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+         FROM v JOIN a{0} a ON v.n = a.n, range(1, 65) AS r(i) GROUP BY k, i) GROUP BY k) m ON c.k = m.k)"""
+    return ",\n".join(part.format(i, i + 1) for i in range(rounds) for part in (assign, move)) + ",\n" + assign.format(rounds)
+
+
+CENTROIDS_SQL = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+      FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, w) - 1 AS INTEGER) AS k, w FROM (SELECT sha256('3:' || vec_id) AS h, w FROM v WHERE vec_id IS NOT NULL ORDER BY h, w LIMIT 8)),
+""" + _rounds_sql(10) + """,
+f AS (SELECT v.vec_id, a.k, a.d, sum(a.d) OVER (PARTITION BY a.k) AS own, sum(a.d) OVER () AS whole FROM v JOIN a10 a ON v.n = a.n)
+SELECT f.vec_id, f.k AS cluster, f.d AS distance, CAST(own AS BIGINT) AS cluster_inertia, CAST(whole AS BIGINT) AS inertia,
+       sha256(array_to_string(c.w, ',')) AS centroid_sha256
+FROM f JOIN c10 c ON f.k = c.k"""
+
+
+@query("op11_centroids", CENTROIDS_SQL)
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors after ten rounds."""
+    return cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 64)
