@@ -15,6 +15,7 @@ from haulmark.llm.hamming import sign_code, top_k
 from haulmark.llm.mixing import mix, word_count
 from haulmark.llm.ngram_join import ngram_join
 from haulmark.llm.packing import pack
+from haulmark.llm.pii import digest_columns, personal_data
 from haulmark.llm.quality_classifier import quality_classifier
 from haulmark.llm.quality_rules import RULES, quality_rules
 from haulmark.llm.toxicity import toxicity
@@ -304,3 +305,9 @@ FROM f JOIN c10 c ON f.k = c.k"""
 def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight clusters of all vectors after ten rounds."""
     return cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 64)
+
+
+@query("op12_pii")
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document; without SQL, as SQL has neither positions of matches nor the added kinds."""
+    return digest_columns(personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text", "found")
