@@ -84,12 +84,12 @@ def prescan(v: Views):
 
 
 @query("u2_multi_root_union", """
-    SELECT 0 AS root_no, count(*) AS entries FROM v_files WHERE doc_id % 2 = 0 UNION ALL
-    SELECT 1, count(*) FROM v_files WHERE doc_id % 3 = 0""")
+    SELECT 0 AS root_no, count(*) AS entries, count(DISTINCT rel_path) AS paths FROM v_files UNION ALL
+    SELECT 1, count(*), count(DISTINCT rel_path) FROM v_files WHERE rel_path LIKE 'src1/%'""")
 def multi_root_union(v: Views):
-    """Two roots that overlap: shared files count twice."""
-    roots = [v.files().filter(F.col("doc_id") % 2 == 0), v.files().filter(F.col("doc_id") % 3 == 0)]
-    return inventory.multi_root_union(roots).groupBy("root_no").agg(F.count("*").alias("entries"))
+    """The whole tree, and one folder in it as a root of its own: its files are listed twice."""
+    roots = [v.files(), v.files().filter(F.startswith("rel_path", F.lit("src1/")))]
+    return inventory.multi_root_union(roots).groupBy("root_no").agg(F.count("*").alias("entries"), F.countDistinct("rel_path").alias("paths"))
 
 
 def _event_rows(v: Views):

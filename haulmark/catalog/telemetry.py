@@ -182,15 +182,13 @@ def filter_session(v: Views):
 
 @query("j4_agents_with_session", """
     WITH a AS (SELECT s_suppkey AS agent, client_version FROM v_agents),
-         s AS (SELECT agent, min(session_id) AS sid FROM v_history WHERE session_id % 3 = 0 GROUP BY agent)
+         s AS (SELECT agent, min(session_id) AS sid FROM v_history GROUP BY agent)
     SELECT a.agent, s.sid IS NOT NULL AS has_session, CASE WHEN s.sid % 2 = 0 THEN 'v5.' || s.sid % 10
            ELSE a.client_version END AS client_version FROM a LEFT JOIN s ON a.agent = s.agent""")
 def agents_with_session(v: Views):
     agents = v.agents().select(F.col("s_suppkey").alias("agent"), "client_version")
     own = F.when(F.col("session_id") % 2 == 0, F.concat(F.lit("v5."), (F.col("session_id") % 10).cast("string")))
-    sessions = v.history().filter(F.col("session_id") % 3 == 0).withColumn(
-        "client_version", F.coalesce(own, F.lit(""))
-    )
+    sessions = v.history().withColumn("client_version", F.coalesce(own, F.lit("")))
     return rollups.agents_with_session(agents, sessions)
 
 
@@ -270,18 +268,12 @@ def _sessions(v: Views):
     )
 
 
-def _parallel_streams(v: Views):
-    """Streams of the parallel sessions; every fifth of these has none yet."""
-    return v.streams().filter("session_id % 2 = 0 AND session_id % 10 <> 0")
-
-
 SESSION_SQL = f"""s AS (SELECT DISTINCT session_id, session_id % 7 * 100 AS sent, session_id % 3 <> 0 AS walked,
         session_id + 10 AS elapsed_s, session_id % 11 = 0 AS closing,
         CASE WHEN session_id % 5 = 0 THEN 'assembling' ELSE 'receiving' END AS phase, session_id % 2 = 1 AS single,
         epoch_us(TIMESTAMP '{AS_OF}') - session_id * 1000000 AS own_last FROM v_ticks),
-    ps AS (SELECT * FROM v_streams WHERE session_id % 2 = 0 AND session_id % 10 <> 0),
     g AS (SELECT session_id, CAST(sum("offset") AS BIGINT) AS bytes_received, count(*) FILTER (slot_status = 'receiving')
-          AS active_streams, max(last_activity) AS last FROM ps GROUP BY session_id),
+          AS active_streams, max(last_activity) AS last FROM v_streams GROUP BY session_id),
     e AS (SELECT s.*, CASE WHEN single THEN s.session_id * 1000 ELSE coalesce(g.bytes_received, 0) END AS bytes_received,
           CASE WHEN single THEN 1 ELSE coalesce(g.active_streams, 0) END AS active_streams,
           (epoch_us(TIMESTAMP '{AS_OF}') - coalesce(epoch_us(g.last), own_last)) / 1000000.0 AS idle,
@@ -334,15 +326,15 @@ def prune_inactive_keys(v: Views):
 
 @query("a7_session_summary", f"WITH {SESSION_SQL} SELECT * FROM summary")
 def session_summary(v: Views):
-    return rollups.session_summary(_sessions(v), _parallel_streams(v), as_of()).drop("last_activity")
+    return rollups.session_summary(_sessions(v), v.streams(), as_of()).drop("last_activity")
 
 
 @query("a8_session_detail", f"""WITH {SESSION_SQL},
     n AS (SELECT session_id, string_agg(slot || ':' || "offset" || ':' || slot_status, ',' ORDER BY slot) AS streams,
-          round(sum("offset" / 15 / 1048576), 4) AS total_mbps FROM ps GROUP BY session_id)
+          round(sum("offset" / 15 / 1048576), 4) AS total_mbps FROM v_streams GROUP BY session_id)
     SELECT * FROM summary LEFT JOIN n USING (session_id)""")
 def session_detail(v: Views):
-    streams = _parallel_streams(v).withColumn("mbps", progress.mbps("offset", F.lit(15)))
+    streams = v.streams().withColumn("mbps", progress.mbps("offset", F.lit(15)))
     detail = rollups.session_detail(_sessions(v), streams, as_of()).drop("last_activity")
     text = F.transform("streams", lambda s: F.concat_ws(":", s["slot"], s["offset"], s["slot_status"]))
     return detail.withColumns({"streams": F.array_join(text, ","), "total_mbps": rounded("total_mbps", 4)})

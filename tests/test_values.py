@@ -380,3 +380,17 @@ def test_stall_reasons(spark):
     df = spark.createDataFrame(rows, "k string, s long, b long").withColumn("ts", F.timestamp_seconds("s"))
     found = timeline.stall_detect(df, ["k"], ["ts"], F.floor(F.col("s") / 20), "ts", F.col("b"), 30, 1800)
     assert {(r["s"], r["reason"]) for r in found.collect()} == {(45, "stalled"), (2000, "timeout")}
+
+
+def test_summary_of_sessions_without_streams(spark):
+    """Every session is a row: without streams it counts nothing; a single one keeps its own bytes and has no stream list."""
+    now = F.lit("2024-01-01 00:10:00").cast("timestamp")
+    fields = "session_id long, mode string, objects_sent long, total_objects long, walk_complete boolean, elapsed_s long, closing boolean, phase string, bytes_received long"
+    sessions = spark.createDataFrame([(1, "single", 0, 0, False, 1, False, "receiving", 5), (2, "parallel", 0, 0, False, 1, False, "receiving", 7),
+                                      (3, "parallel", 0, 0, False, 1, False, "receiving", 9)], fields)
+    streams = spark.createDataFrame([(2, 0, 40, "receiving", 1.5), (2, 1, 2, "idle", 0.5), (1, 0, 99, "receiving", 1.0)],
+                                    "session_id long, slot long, offset long, slot_status string, mbps double")
+    streams = streams.withColumn("last_activity", F.lit("2024-01-01 00:09:58").cast("timestamp"))
+    rows = {r.session_id: r for r in rollups.session_detail(sessions, streams, now).collect()}
+    assert {k: (r.bytes_received, r.active_streams) for k, r in rows.items()} == {1: (5, 1), 2: (42, 1), 3: (0, 0)}
+    assert len(rows[2].streams) == 2 and rows[3].streams is None and rows[3].last_activity is None
