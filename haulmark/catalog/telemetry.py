@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from haulmark.catalog.base import Views, query, rounded
 from haulmark.functions import progress, status
-from haulmark.operators import lookups, mirroring, rollups, tails, timeline
+from haulmark.operators import locks, lookups, mirroring, rollups, tails, timeline
 from haulmark.operators.slices import sequence_slice, time_slice
 
 DAY = 86_400
@@ -233,7 +233,7 @@ def grace_recovery(v: Views):
     SELECT job, run_id, start_s FROM f WHERE busy""")
 def busy_conflicts(v: Views):
     runs = v.jobs().withColumn("end_s", F.col("start_s") + 400 * F.col("duration_s"))
-    return timeline.busy_conflicts(runs, "job", sequence_slice("start_s", 30 * DAY))
+    return locks.busy_conflicts(runs, "job", sequence_slice("start_s", 30 * DAY))
 
 
 def _addresses(v: Views):

@@ -7,9 +7,7 @@ Every function takes ``slice_by``, an expression that cuts the time of a key int
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -232,42 +230,6 @@ def grace_recovery(
     )
 
 
-def busy_conflicts(runs: DataFrame, key: str, slice_by: Column) -> DataFrame:
-    """Starts rejected because an accepted run of the same key is still going; rejected runs extend nothing.
-
-    ``runs`` has run_id, start_s and end_s. Where a run starts after everything before it has ended, the lock
-    is free whatever was accepted, so the runs fall into independent groups. Each group is decided in start
-    order by a pass that holds one lock time and reads its rows batch by batch.
-    """
-    order = ["start_s", "run_id"]
-    spans = running_by_slice(
-        runs.select(key, "run_id", "start_s", "end_s"), [key], order, slice_by,
-        maxes_before={"_busy_until": F.col("end_s")},
-    )
-    fresh = F.coalesce(F.col("start_s") >= F.col("_busy_until"), F.lit(True)).cast("int")
-    groups = running_by_slice(spans, [key], order, slice_by, sums={"_group": fresh})
-    key_type = runs.schema[key].dataType.simpleString()
-
-    def reject(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, lock = None, None
-        for batch in batches:
-            keep = []
-            for k, g, start, end in zip(batch[key], batch["_group"], batch["start_s"], batch["end_s"]):
-                if (k, g) != group:
-                    group, lock = (k, g), None
-                busy = lock is not None and start < lock
-                keep.append(busy)
-                if not busy:
-                    lock = end
-            yield batch.loc[keep, [key, "run_id", "start_s"]]
-
-    return (
-        groups.repartition(key, "_group")
-        .sortWithinPartitions(key, "_group", *order)
-        .mapInPandas(reject, f"{key} {key_type}, run_id long, start_s long")
-    )
-
-
 def missed_heartbeats(
     pings: DataFrame, keys: list[str], order: list[str], slice_by: Column, ts: str, keepalive_s: float, side: str = "server",
     as_of: Column | None = None,

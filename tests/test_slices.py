@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from haulmark.operators import retention, sequences, timeline
+from haulmark.operators import locks, retention, sequences, timeline
 from haulmark.operators.slices import name_slice, running_by_slice, sequence_slice, time_slice
 
 
@@ -94,23 +95,74 @@ def test_ewma_blocks(spark, alpha):
         assert r["smoothed"] == pytest.approx(expected[r["k"], r["seq"]], rel=1e-9, abs=1e-9)
 
 
-def test_busy_conflicts(spark):
-    rng = random.Random(7)
-    runs = []
-    for run_id in range(800):
-        job = 0 if rng.random() < 0.6 else rng.randrange(1, 5)
-        start = rng.randrange(20_000)
-        runs.append((job, run_id, start, start + rng.choice([1, 5, 40, 300])))
-    expected = set()
-    locks = {}
+def conflicts(runs):
+    """The rule run by run."""
+    expected, held = set(), {}
     for job, run_id, start, end in sorted(runs, key=lambda r: (r[0], r[2], r[1])):
-        if start < locks.get(job, -1):
+        if job in held and (held[job] is None or start < held[job]):
             expected.add(run_id)
         else:
-            locks[job] = end
-    df = spark.createDataFrame(runs, "job long, run_id long, start_s long, end_s long")
-    got = timeline.busy_conflicts(df, "job", sequence_slice("start_s", 500))
-    assert {r["run_id"] for r in got.collect()} == expected
+            held[job] = end
+    return expected
+
+
+RUNS = "job long, run_id long, start_s long, end_s long"
+
+
+@pytest.mark.parametrize("width,block", [(500, 4), (7, 2), (100_000, 256), (40, 1000)])
+def test_busy_conflicts(spark, width, block):
+    rng = random.Random(width)
+    runs = []
+    for run_id in range(1500):
+        job = 0 if rng.random() < 0.6 else rng.randrange(1, 40)
+        start = rng.randrange(-2_000, 20_000)
+        runs.append((job, run_id, start, start + rng.choice([0, 1, 5, 40, 300, 3000, -2])))
+    runs += [(50, 5000 + i, i * 10, i * 10 + 10) for i in range(300)]  # one chain of accepted runs without a gap
+    runs += [(51, 6000 + i, i, 100_000 - i) for i in range(300)]  # every run would hold to the end
+    df = spark.createDataFrame(runs, RUNS)
+    got = [r["run_id"] for r in locks.busy_conflicts(df, "job", sequence_slice("start_s", width), block).collect()]
+    assert len(got) == len(set(got)) and set(got) == conflicts(runs)
+
+
+def test_busy_conflicts_of_open_ends_and_empty_tables(spark):
+    runs = [(1, 1, 0, 10), (1, 2, 10, None), (1, 3, 10**12, 10**12 + 1), (2, 4, 5, 6), (2, 5, 6, 7)]
+    df = spark.createDataFrame([*runs, (None, 6, 1, 2), (1, 7, None, 2)], RUNS)
+    assert {r["run_id"] for r in locks.busy_conflicts(df, "job", sequence_slice("start_s", 4)).collect()} == conflicts(runs) == {3}
+    assert locks.busy_conflicts(df.limit(0), "job", sequence_slice("start_s", 4)).count() == 0
+
+
+def test_one_busy_job(spark):
+    """All runs under one key: 200 slices, none of which sees more than its own runs."""
+    rng = random.Random(3)
+    runs = [("only", i, s, s + rng.randrange(1, 4_000)) for i, s in enumerate(sorted(rng.randrange(1_000_000) for _ in range(40_000)))]
+    df = spark.createDataFrame(runs, RUNS.replace("job long", "job string"))
+    got = {r["run_id"] for r in locks.busy_conflicts(df, "job", sequence_slice("start_s", 5_000), 16).collect()}
+    assert got == conflicts(runs)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_step_functions(seed):
+    """A composed function says where the lock ends for every time it may begin with."""
+    rng = random.Random(seed)
+    starts = sorted(rng.randrange(60) for _ in range(30))
+    runs = [(s, s + rng.choice([0, 1, 3, 10, 50])) for s in starts]
+    cuts = sorted({0, 30, *rng.sample(range(30), 4)})
+    cuts = [c for c in cuts if c in (0, 30) or starts[c] != starts[c - 1]]
+    tables = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        s, e = (np.array(x) for x in zip(*runs[a:b]))
+        entries, lock = locks.step_table(np.array([0]), s, e)
+        tables.append((s[entries], lock[entries]))
+    upto, lock = locks.composed(tables)
+    s, e = (np.array(x) for x in zip(*runs))
+    for begin in range(-1, 75):
+        held, took = begin, []
+        for start, end in runs:
+            took.append(start >= held)
+            held = end if start >= held else held
+        place = int(np.searchsorted(upto, begin, side="left"))
+        assert (int(lock[place]) if place < len(upto) else begin) == held
+        assert locks.accepted(np.array([0]), s, e, np.array([begin])).tolist() == took
 
 
 def test_hysteresis_and_probe(spark):
