@@ -13,7 +13,7 @@ from haulmark.catalog.files import EVENT_SQL, _event_rows
 from haulmark.schemas import EVENTS
 from haulmark.session import scratch_path
 from haulmark.sources import feeds, stores
-from haulmark.streaming import sinks, state, windows
+from haulmark.streaming import grace, sinks, state, windows
 
 HDFS_BACKED = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -278,7 +278,7 @@ def control_loss_grace(v: Views):
     events = _ticks(v).filter(F.col("event_type").isin("error", "signup")).select(
         F.col("session_id").alias("agent"), "event_id", "ts", (F.col("event_type") == "error").alias("lost")
     )
-    return _append(v, windows.control_loss_grace(events, "agent", 3600), "grace")
+    return grace.control_loss_grace(events, scratch_path(v.spark, "grace"), "agent", 3600, delay_s=600)
 
 
 @query("t13_progress_state", """

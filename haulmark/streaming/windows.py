@@ -105,28 +105,3 @@ def rate_windows(samples: DataFrame, interval: str) -> DataFrame:
 def ping_windows(pings: DataFrame, key: str, width: str) -> DataFrame:
     """First and last ping of each interval: all that a gap longer than the interval depends on."""
     return pings.groupBy(F.window("ts", width), key).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-
-
-def control_loss_grace(events: DataFrame, key: str, grace_s: int) -> DataFrame:
-    """Each loss with its nearest recovery within the grace, or ``control_lost``, once that is certain.
-
-    ``events`` has the key, event_id, ts and lost (true for a loss). Windows of two graces start every grace;
-    each decides the losses of its first half, so a busy key is spread over its windows and nothing but the
-    moments of one window is gathered.
-    """
-    placed = events.select(
-        key, "event_id", "lost", F.unix_micros("ts").alias("us"),
-        F.window("ts", f"{2 * grace_s} seconds", f"{grace_s} seconds").alias("window"),
-    )
-    own = F.col("lost") & (F.col("us") < F.unix_micros("window.start") + grace_s * 1_000_000)
-    gathered = placed.groupBy("window", key).agg(
-        F.collect_list(F.when(own, F.struct("event_id", "us"))).alias("losses"),
-        F.array_sort(F.collect_set(F.when(~F.col("lost"), F.col("us")))).alias("back"),
-    )
-    each = gathered.select(key, "back", F.explode("losses").alias("loss"))
-    following = F.array_min(
-        F.filter("back", lambda us: us.between(F.col("loss.us"), F.col("loss.us") + grace_s * 1_000_000))
-    )
-    return each.select(key, F.col("loss.event_id").alias("event_id"), following.alias("recovered_us")).withColumn(
-        "outcome", F.when(F.col("recovered_us").isNotNull(), "recovered").otherwise("control_lost")
-    )

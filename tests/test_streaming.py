@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haulmark.operators import sequences
 from haulmark.sources import feeds
-from haulmark.streaming import sinks, state, windows
+from haulmark.streaming import grace, sinks, state, windows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -143,3 +143,52 @@ def test_fan_out_repeats_safely(spark, tmp_path):
     assert spark.read.parquet(history).count() == 3
     assert {(r["level"], r["message"]) for r in spark.read.parquet(events).collect()} == {
         ("info", "session 1: ok"), ("error", "session 2: expired"), ("info", "session 3: ok")}
+
+
+def grace_expected(rows, grace, until):
+    """Losses decided by then, each against all recoveries."""
+    found = {}
+    for key, event_id, s, lost in rows:
+        if lost and (s // grace + 2) * grace <= until:
+            back = [t for k, _, t, other in rows if k == key and not other and s <= t <= s + grace]
+            found[event_id] = (key, min(back, default=None))
+    return found
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_control_loss_grace(spark, tmp_path, files):
+    rng = random.Random(files)
+    rows = [(rng.choice("abc"), i, s, rng.random() < 0.5) for i, s in enumerate(sorted(rng.randrange(3000) for _ in range(400)))]
+    rows += [("a", 400, 3060, True), ("a", 401, 3120, False), ("b", 402, 3060, True), ("b", 403, 3121, False)]  # exactly the grace, and one over
+    rows.append(("z", 404, 4000, False))
+    feed = as_feed(spark, tmp_path, rows, "agent string, event_id long, s long, lost boolean", files).withColumn("ts", F.timestamp_seconds("s"))
+    got = grace.control_loss_grace(feed, str(tmp_path / "out"), "agent", 60, delay_s=30).collect()
+    expected = grace_expected(rows, 60, 3970)
+    assert {r.event_id: (r.agent, r.recovered_us and r.recovered_us // 1_000_000) for r in got} == expected
+    assert len(got) == len(expected) and expected[400] == ("a", 3120) and expected[402] == ("b", None)
+    still_open = spark.read.parquet(str(tmp_path / "out" / "open" / str((files - 1) % 2)))
+    assert files == 1 or still_open.count() < 100  # settled slices have left the table
+    assert all((r.outcome == "recovered") == (r.recovered_us is not None) for r in got)
+
+
+def test_many_losses_of_one_key_take_one_pass(spark, tmp_path):
+    """200,000 losses and 100,000 recoveries of one key in one slice."""
+    rows = spark.range(300_000).select(
+        F.lit("hot").alias("agent"), F.col("id").alias("event_id"), F.timestamp_micros(F.lit(600_000_000) + F.col("id") * 100).alias("ts"),
+        (F.col("id") % 3 != 2).alias("lost"))
+    last = spark.createDataFrame([("end", -1)], "agent string, event_id long").select("agent", "event_id", F.timestamp_seconds(F.lit(5000)).alias("ts"), F.lit(False).alias("lost"))
+    path = str(tmp_path / "feed")
+    rows.union(last).write.parquet(path)
+    feed = feeds.read_chunk_stream(spark, path, rows.schema)
+    got = grace.control_loss_grace(feed, str(tmp_path / "out"), "agent", 300, delay_s=1)
+    waits = got.select(F.col("event_id"), (F.col("recovered_us") - 600_000_000 - F.col("event_id") * 100).alias("wait"))
+    assert {(r["event_id"], r["wait"]) for r in waits.groupBy((F.col("event_id") % 3).alias("event_id"), "wait").count().collect()} == {(0, 200), (1, 100)}
+    assert got.count() == 200_000
+
+
+def test_events_of_settled_slices_come_too_late(spark, tmp_path):
+    rows = [("a", 1, 10, True), ("b", 2, 500, False)] + [("a", 3, 12, False), ("a", 4, 20, True), (None, 5, 480, True), ("b", 6, 480, True), ("z", 7, 900, False), (None, 8, 1, False)]
+    feed = as_feed(spark, tmp_path, rows[:2], "agent string, event_id long, s long, lost boolean", 1)
+    spark.createDataFrame(rows[2:], "agent string, event_id long, s long, lost boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    got = grace.control_loss_grace(feed.withColumn("ts", F.timestamp_seconds("s")), str(tmp_path / "out"), "agent", 60, delay_s=30).collect()
+    assert {(r.event_id, r.outcome, r.recovered_us) for r in got} == {(1, "control_lost", None), (6, "recovered", 500_000_000)}
