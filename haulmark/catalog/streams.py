@@ -13,7 +13,7 @@ from haulmark.catalog.files import EVENT_SQL, _event_rows
 from haulmark.schemas import EVENTS
 from haulmark.session import scratch_path
 from haulmark.sources import feeds, stores
-from haulmark.streaming import grace, sinks, state, windows
+from haulmark.streaming import assembly, grace, sinks, state, windows
 
 HDFS_BACKED = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -105,21 +105,20 @@ def expire_sessions(v: Views):
           FROM (SELECT session_id, global_seq, min(global_seq + session_id % 5 + 1) AS length FROM v_chunks GROUP BY ALL))
     GROUP BY session_id""")
 def assemble_stream(v: Views):
+    waiting = F.col("note").cast("long")
     done = _assembled(v).filter("kind = 'progress'").groupBy("session_id").agg(
-        F.max_by(F.struct("num_bytes", "note"), "global_seq").alias("p"), F.max("global_seq").alias("next_seq")
-    )
-    return done.select(
-        "session_id", "next_seq", F.col("p.num_bytes").alias("contiguous_bytes"), F.col("p.note").cast("long").alias("waiting")
+        F.max(F.struct("global_seq", waiting.alias("waiting"), "num_bytes")).alias("p")
     )
+    return done.select("session_id", F.col("p.global_seq").alias("next_seq"), F.col("p.num_bytes").alias("contiguous_bytes"), "p.waiting")
 
 
 def _assembled(v: Views):
     """Copies of a chunk have one length here, as it is not defined which of them a stream sees first."""
-    chunks = _stream(v, "lineitem").select(
+    chunks = _stream(v, "lineitem", ROCKSDB).select(
         F.col("l_orderkey").alias("session_id"), (F.col("l_linenumber") - 1).cast("long").alias("global_seq"),
-        (F.col("l_linenumber") + F.col("l_orderkey") % 5).cast("long").alias("length"),
+        (F.col("l_linenumber") + F.col("l_orderkey") % 5).cast("long").alias("length"), F.col("l_shipdate").alias("ts"),
     )
-    return _append(v, state.assemble_stream(chunks), "assembly")
+    return _append(v, assembly.assemble_stream(windows.with_event_time(chunks, "ts", DELAY)), "assembly")
 
 
 @query("t5_ignored_chunks_stream", """

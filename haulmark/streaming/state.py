@@ -2,12 +2,10 @@
 
 Folds over windowed aggregates (append mode) get few rows per key and interval, in order, however many events
 there were. They follow an aggregation and so use ``transformWithState``, which needs the RocksDB state store.
-Chunk assembly reads the chunks themselves and uses ``applyInPandasWithState``.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from haulmark.operators.timeline import (
     HYSTERESIS, MIN_STREAM_MBPS, RTT_ALPHA, SCALE_DOWN_BELOW, SCALE_UP_ABOVE, THROUGHPUT_ALPHA,
@@ -233,54 +230,3 @@ def silence_alerts(windows: DataFrame, key: str, deadline_s: float, width_s: int
     return rows.groupBy(key).transformWithStateInPandas(
         SilenceWatch(key, deadline_s, width_s), f"{key} {dict(rows.dtypes)[key]}, lost_us long", "Append", "EventTime"
     )
-
-
-def _assemble(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Frontier of one session: the next sequence expected, and the runs of chunks waiting beyond it.
-
-    Payloads stay out of the state, and neighbouring chunks share a run, so its size follows the number of gaps.
-    """
-    next_seq, done_bytes, *runs = state.get if state.exists else (0, 0, [], [], [])
-    starts, ends, sizes = (list(r) for r in runs)
-    for batch in batches:
-        found = []
-        for seq, length in zip(batch["global_seq"].tolist(), batch["length"].tolist()):
-            if seq < next_seq:
-                found.append(("ignored", seq, length, "late"))
-                continue
-            at = bisect.bisect_right(starts, seq) - 1
-            if at >= 0 and seq <= ends[at]:
-                found.append(("ignored", seq, length, "duplicate"))
-                continue
-            if at >= 0 and ends[at] == seq - 1:
-                ends[at], sizes[at] = seq, sizes[at] + length
-            else:
-                at += 1
-                starts.insert(at, seq), ends.insert(at, seq), sizes.insert(at, length)
-            if at + 1 < len(starts) and starts[at + 1] == ends[at] + 1:
-                ends[at], sizes[at] = ends[at + 1], sizes[at] + sizes[at + 1]
-                del starts[at + 1], ends[at + 1], sizes[at + 1]
-            if starts[0] == next_seq:
-                next_seq, done_bytes = ends[0] + 1, done_bytes + sizes[0]
-                del starts[0], ends[0], sizes[0]
-        waiting = sum(ends) - sum(starts) + len(starts)
-        found.append(("progress", next_seq, done_bytes, str(waiting)))
-        kinds, seqs, amounts, notes = zip(*found)
-        yield pd.DataFrame({
-            "session_id": [key[0]] * len(kinds), "kind": kinds, "global_seq": seqs, "num_bytes": amounts, "note": notes
-        })
-    state.update((next_seq, done_bytes, starts, ends, sizes))
-
-
-def assemble_stream(chunks: DataFrame) -> DataFrame:
-    """Progress of each session, and the late and duplicate chunks that were ignored.
-
-    For ``progress`` rows global_seq is the next sequence expected, num_bytes the contiguous bytes and note
-    the number of chunks waiting; for ``ignored`` rows the chunk, its length and why.
-    """
-    key_type = dict(chunks.dtypes)["session_id"]
-    return chunks.select("session_id", "global_seq", "length").groupBy("session_id").applyInPandasWithState(
-        _assemble, f"session_id {key_type}, kind string, global_seq long, num_bytes long, note string",
-        "next_seq long, bytes long, starts array<long>, ends array<long>, sizes array<long>", "append",
-        GroupStateTimeout.NoTimeout,
-    )

@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from haulmark.operators import sequences
 from haulmark.sources import feeds
-from haulmark.streaming import grace, sinks, state, windows
+from haulmark.streaming import assembly, grace, sinks, state, windows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -31,25 +32,73 @@ def as_feed(spark, tmp_path, rows, schema, files):
     return feeds.read_chunk_stream(spark, path, spark.createDataFrame([], schema).schema, max_files=1)
 
 
-def test_assembly_over_batches(spark, tmp_path):
+def progress_of(done):
+    """The last progress of each session: next sequence, bytes, chunks waiting."""
+    newest = {}
+    for r in done:
+        if r["kind"] == "progress":
+            newest[r["session_id"]] = max(newest.get(r["session_id"], (-1,)), (r["global_seq"], int(r["note"]), r["num_bytes"]))
+    return {k: (n, size, waiting) for k, (n, waiting, size) in newest.items()}
+
+
+@pytest.mark.parametrize("width,shards", [(7, 3), (1000, 8)])
+def test_assembly_over_batches(spark, tmp_path, width, shards):
     rng = random.Random(1)
     rows = [(s, q, 10 + q) for s in range(4) for q in range(60) if (s, q) not in {(1, 30), (2, 0)}]
     rows += [r for r in rows if rng.random() < 0.2]
     rng.shuffle(rows)
-    feed = as_feed(spark, tmp_path, rows, "session_id long, global_seq long, length long", 4)
-    done = sinks.run_append(state.assemble_stream(feed), str(tmp_path / "out")).collect()
-    ignored = sum(r["kind"] == "ignored" for r in done)
-    assert ignored == len(rows) - len(set(rows))
-    newest = {}
-    for r in done:
-        if r["kind"] == "progress":
-            newest[r["session_id"]] = max(newest.get(r["session_id"], (-1,)), (r["global_seq"], r["num_bytes"]))
+    feed = as_feed(spark, tmp_path, [(*r, 1000 + i) for i, r in enumerate(rows)], "session_id long, global_seq long, length long, s long", 4)
+    timed = windows.with_event_time(feed.withColumn("ts", F.timestamp_seconds("s")), "ts", "1 minute")
+    done = sinks.run_append(assembly.assemble_stream(timed, width, shards=shards), str(tmp_path / "out")).collect()
+    ignored = [(r["session_id"], r["global_seq"], r["num_bytes"]) for r in done if r["kind"] == "ignored"]
+    assert len(ignored) == len(rows) - len(set(rows)) and set(ignored) <= set(rows)
+    assert {r["note"] for r in done if r["kind"] == "ignored"} == {"late", "duplicate"}
     table = spark.createDataFrame(list(set(rows)), "session_id long, global_seq long, length long")
-    batch = {r["session_id"]: (r["next_expected_seq"], r["assembled_bytes"])
+    batch = {r["session_id"]: (r["next_expected_seq"], r["assembled_bytes"], r["pending_chunks"])
              for r in sequences.chunk_session_stats(table).collect()}
-    assert newest == batch
-    waiting = {(r["session_id"], r["note"]) for r in done if r["kind"] == "progress"}
-    assert (1, "29") in waiting and (2, "59") in waiting
+    assert progress_of(done) == batch and batch[1][2] == 29 and batch[2] == (0, 0, 59)
+
+
+def test_assembly_of_one_long_session(spark, tmp_path):
+    """20,000 chunks of one session in reverse order are 200 slices, and no state entry holds more than its own."""
+    rows = [("only", q, 3, 20_000 - q) for q in reversed(range(20_000)) if q != 150]
+    feed = as_feed(spark, tmp_path, rows, "session_id string, global_seq long, length long, s long", 2)
+    timed = windows.with_event_time(feed.withColumn("ts", F.timestamp_seconds("s")), "ts", "1 minute")
+    path = str(tmp_path / "out")
+    done = sinks.run_append(assembly.assemble_stream(timed, 100), path).collect()
+    assert progress_of(done) == {"only": (150, 450, 20_000 - 151)}
+    runs = spark.read.format("statestore").option("path", f"{path}.checkpoint").option("operatorId", 1).option("stateVarName", "runs").load()
+    assert runs.count() == 200 and runs.filter("size(user_map_value.starts) > 1").count() == 1
+
+
+def test_assembly_state_ends(spark, tmp_path):
+    """What has been silent for the time to live is gone, also from the second operator; rows without keys are ignored."""
+    schema = "session_id long, global_seq long, length long, s long"
+    rows = [(s, q, 1, 100 + q) for s in range(20) for q in (0, 1, 3, 9)] + [(None, 0, 1, 100), (1, None, 1, 100), (1, 2, 1, None), (1, -1, 1, 100), (3, 2, None, 120)]
+    feed = as_feed(spark, tmp_path, rows, schema, 1)
+    spark.createDataFrame([(77, 0, 5, 50_000)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    timed = windows.with_event_time(feed.withColumn("ts", F.timestamp_seconds("s")), "ts", "1 minute")
+    path = str(tmp_path / "out")
+    done = sinks.run_append(assembly.assemble_stream(timed, 4, ttl_s=600, shards=5), path).collect()
+    assert progress_of(done) == {s: (2, 2, 2) for s in range(20) if s != 3} | {3: (4, 3, 1), 77: (1, 5, 0)}
+    for operator, name in ((1, "runs"), (0, "heads"), (0, "beyond")):
+        left = spark.read.format("statestore").option("path", f"{path}.checkpoint").option("operatorId", operator).option("stateVarName", name).load()
+        assert {r["user_map_key"]["session_id"] for r in left.collect()} == {77}, name
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_runs_of_arrivals(seed):
+    rng = random.Random(seed)
+    runs, seen = (np.zeros(0, np.int64),) * 3, {}
+    for _ in range(20):
+        seqs = [rng.randrange(60) for _ in range(rng.randrange(1, 12))]
+        runs, ignored = assembly.arrive(runs, np.array(seqs), np.array([q + 1 for q in seqs]))
+        for q, dropped in zip(seqs, ignored):
+            assert dropped == (q in seen)
+            seen[q] = q + 1
+        covered = [q for s, e in zip(*runs[:2]) for q in range(s, e + 1)]
+        assert covered == sorted(seen) and runs[2].sum() == sum(seen.values())
+        assert all(b > a + 1 for a, b in zip(runs[1][:-1], runs[0][1:]))
 
 
 def test_windows_equal_batch(spark, tmp_path):
