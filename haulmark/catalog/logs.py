@@ -80,7 +80,7 @@ def distinct_seq_sets(v: Views):
 
 @query("u1_set_differences", f"WITH {MEMBERS}, {DIFFS} SELECT * FROM d")
 def set_differences(v: Views):
-    return forensics.set_differences(forensics.seq_membership(v.log()))
+    return forensics.set_differences(v.log())
 
 
 @query("o7_format_ranges", f"""WITH {MEMBERS}, {DIFFS}, {RANGES}, {TEXTS}

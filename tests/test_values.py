@@ -394,3 +394,70 @@ def test_summary_of_sessions_without_streams(spark):
     rows = {r.session_id: r for r in rollups.session_detail(sessions, streams, now).collect()}
     assert {k: (r.bytes_received, r.active_streams) for k, r in rows.items()} == {1: (5, 1), 2: (42, 1), 3: (0, 0)}
     assert len(rows[2].streams) == 2 and rows[3].streams is None and rows[3].last_activity is None
+
+
+def _log_sets(rows):
+    """Sets of numbers per session, and the ranges of each category, number by number."""
+    from haulmark.operators.forensics import MESSAGES
+
+    sets = {}
+    for session, msg, seq in rows:
+        if msg in MESSAGES and seq is not None:
+            sets.setdefault(session, {name: set() for name in MESSAGES.values()})[MESSAGES[msg]].add(seq)
+    found = {}
+    for session, s in sets.items():
+        r = s["received"]
+        categories = {"explicit_missing": s["explicit_missing"], "started_minus_received": s["started"] - r, "failed_minus_received": s["failed"] - r,
+                      "received_minus_sacked": r - s["sacked"] if s["sacked"] else set()}
+        for category, numbers in categories.items():
+            for n in sorted(numbers):
+                runs = found.setdefault((session, category), [])
+                if runs and runs[-1][1] == n - 1:
+                    runs[-1][1] = n
+                else:
+                    runs.append([n, n])
+        gaps = [[a + 1, b - 1] for a, b in zip(sorted(r), sorted(r)[1:]) if b > a + 1]
+        if gaps:
+            found[session, "received_gaps"] = gaps
+    return sets, found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_log_sets_against_number_by_number(spark, seed):
+    """Runs over many words, at the edges of words, negative numbers, unknown and missing messages."""
+    import random
+
+    from haulmark.operators import forensics as sets_of
+    from haulmark.operators.forensics import MESSAGES
+
+    dice = random.Random(seed)
+    rows = []
+    for session in range(12):
+        for _ in range(dice.randrange(1, 30)):
+            start, msg = dice.choice([-130, -64, -1, 0, 1, 62, 63, 64, 127, 128, 1000, 10**12, dice.randrange(600)]), dice.choice(list(MESSAGES))
+            rows += [(session, msg, start + i) for i in range(dice.choice([1, 1, 2, 3, 64, 65, 200]))]
+    rows += dice.sample(rows, 50) + [(1, None, None), (1, "other", 5), (2, "chunk_received", None), (50, None, None), (51, "other", 3)]
+    log = spark.createDataFrame(rows, "session_id long, msg string, seq long")
+    sets, ranges = _log_sets(rows)
+    got = {}
+    for r in forensics.finding_ranges(log).orderBy("range_start").collect():
+        got.setdefault((r.session_id, r.category), []).append([r.range_start, r.range_end])
+    assert got == ranges
+    counted = {r.session_id: {k: r[k] for k in MESSAGES.values()} for r in sets_of.distinct_seq_sets(log).collect()}
+    assert counted == {s: {k: len(x) for k, x in v.items()} for s, v in sets.items()}
+    listed = {(r.session_id, r.category, r.seq) for r in sets_of.set_differences(log).collect()}
+    assert listed == {(s, c, n) for (s, c), runs in ranges.items() if "minus" in c for a, b in runs for n in range(a, b + 1)}
+    for limit in (2, 12):
+        report = {r.session_id: r for r in forensics.forensic_report(log, limit).collect()}
+        assert set(report) == {r[0] for r in rows}
+        for s, row in report.items():
+            for c in forensics.CATEGORIES:
+                runs = ranges.get((s, c), [])
+                text = ", ".join([str(a) if a == b else f"{a}-{b}" for a, b in runs[:limit]] + ([f"... (+{len(runs) - limit} intervalos)"] if len(runs) > limit else []))
+                assert (row[f"{c}_count"], row[f"{c}_text"]) == (sum(b - a + 1 for a, b in runs), text or "nenhum")
+            own = sets.get(s, {}).get("received", set())
+            assert (row.received_chunks, row.first_seq, row.last_seq) == (len(own), min(own, default=None), max(own, default=None))
+            assert row.valid_lines == sum(x[0] == s and x[1] is not None for x in rows)
+    verdicts = {r.session_id: (r.problem, r.exit_code) for r in forensics.log_verdict(log).collect()}
+    assert verdicts == {s: (bool(code == 1), code) for s, code in ((s, row.exit_code) for s, row in report.items())}
+    assert verdicts[50] == (False, 2) and verdicts[51] == (False, 0)
