@@ -237,21 +237,24 @@ def busy_conflicts(v: Views):
 
 
 def _addresses(v: Views):
-    address = F.concat_ws(
-        ".", F.lit("10"), (F.col("user_id") % 30).cast("string"), (F.col("event_id") % 256).cast("string"), F.lit("7")
-    )
+    """Addresses of the events: IPv6 in brackets with a port, IPv4 written as IPv6, and plain IPv4."""
+    group, last, kind = F.col("user_id") % 30, F.col("event_id") % 256, F.col("event_id") % 3
+    hexed = lambda n: F.lower(F.hex(n))
+    v4 = F.concat_ws(".", F.lit("10"), group.cast("string"), last.cast("string"), F.lit("7"))
+    v6 = F.concat(F.lit("[2001:db8:"), hexed(group), F.lit(":"), hexed(last), F.lit("::7]:9847"))
+    address = F.when(kind == 0, v6).when(kind == 1, F.concat(F.lit("::ffff:"), v4)).otherwise(v4)
     return v.table("events").select("event_id", address.alias("addr"))
 
 
 @query("j10_ip_range_semi", """
-    SELECT event_id FROM events WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey % 2 = 0
-        AND n_nationkey = user_id % 30 AND (n_nationkey % 4 = 0 OR event_id % 256 < 64))""")
+    SELECT event_id FROM events WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = user_id % 30
+        AND (n_nationkey % 4 = 0 OR event_id % 256 < 64))""")
 def ip_range_semi(v: Views):
-    key = F.col("n_nationkey")
-    cidr = F.concat(
-        F.lit("10."), key.cast("string"), F.lit(".0.0/"), F.when(key % 4 == 0, "16").otherwise("18")
-    )
-    ranges = v.table("nation").filter(key % 2 == 0).select(cidr.alias("cidr"))
+    """Networks of all nations in both families: whole ones of 16 and 48 bits, and quarters of 18 and 58."""
+    key, whole = F.col("n_nationkey"), F.col("n_nationkey") % 4 == 0
+    v4 = F.concat(F.lit("10."), key.cast("string"), F.lit(".0.0/"), F.when(whole, "16").otherwise("18"))
+    v6 = F.concat(F.lit("2001:db8:"), F.lower(F.hex(key)), F.when(whole, "::/48").otherwise(":0::/58"))
+    ranges = v.table("nation").select(F.explode(F.array(v4, v6)).alias("cidr"))
     return lookups.ip_range_semi(_addresses(v), ranges).select("event_id")
 
 

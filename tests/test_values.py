@@ -461,3 +461,66 @@ def test_log_sets_against_number_by_number(spark, seed):
     verdicts = {r.session_id: (r.problem, r.exit_code) for r in forensics.log_verdict(log).collect()}
     assert verdicts == {s: (bool(code == 1), code) for s, code in ((s, row.exit_code) for s, row in report.items())}
     assert verdicts[50] == (False, 2) and verdicts[51] == (False, 0)
+
+
+def _contains(address, network):
+    """Is the address inside, by the standard library; an IPv4 address as IPv6 counts as IPv4 on both sides, one with a zone lies nowhere."""
+    import ipaddress
+
+    def plain(text):
+        if text.startswith("["):
+            text = text[1:text.index("]")]
+        try:
+            ip = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        if "%" in text:
+            return None
+        return getattr(ip, "ipv4_mapped", None) or ip
+
+    try:
+        base, _, size = network.partition("/")
+        ip, host = plain(address), plain(base)
+        length = int(size) - (96 if ":" in base and host.version == 4 else 0) if size else host.max_prefixlen
+        inside = ipaddress.ip_network(f"{host}/{length}", strict=False)
+    except (ValueError, AttributeError):
+        return False
+    return ip is not None and ip.version == inside.version and ip in inside
+
+
+def test_ranges_of_both_families(spark):
+    import random
+
+    dice = random.Random(4)
+    v4 = lambda: ".".join(str(dice.choice([0, 1, 10, 127, 128, 255, dice.randrange(256)])) for _ in range(4))
+    v6 = lambda: ":".join(f"{dice.choice([0, 1, 0x8000, 0xFFFF, dice.randrange(65536)]):x}" for _ in range(8))
+    networks = [f"{v4()}/{dice.randrange(2, 33)}" for _ in range(25)] + [f"{v6()}/{dice.randrange(3, 129)}" for _ in range(40)]
+    networks += ["192.168.1.5", "fe80::1", "2001:db8::/32", "2001:db8:5::/48", "2001:db8::/127", "::ffff:9.8.0.0/112", "1.2.3.4/33", "1.2.3.4/x", "::1/129", "x", "", None, "1.2.3.4/", "/8"]
+    addresses = [v4() for _ in range(60)] + [v6() for _ in range(60)]
+    for n in [n for n in networks if n and "/" in n]:  # the network itself, and the same bits one before and after its end
+        addresses.append(n.split("/")[0])
+    addresses += ["192.168.1.5", "192.168.1.5:80", "[fe80::1]:99", "[fe80::1]", "fe80::2", "2001:DB8:5::9", "2001:db9::", "::ffff:9.8.7.6", "9.8.7.6", "::9.8.7.6", "::", "1::2::3", "1:2:3:4:5:6:7", ":::",
+                  "fe80::1%eth0", "12345::", "g::", "", None, "1:2:3:4:5:6:7::8", "1:2:3:4:5:6:1.2.3.4", "1.2.3", "2001:db8::1", "2001:db8::2"]
+    table = spark.createDataFrame([(a, i) for i, a in enumerate(addresses)] + [("192.168.1.5", -1)], "addr string, n long")
+    ranges = spark.createDataFrame([(n,) for n in networks], "cidr string")
+    got = {r.n for r in ip_range_semi(table, ranges).collect()}
+    strip = lambda a: a.rsplit(":", 1)[0] if a.count(":") == 1 else a
+    assert got == {i for i, a in enumerate(addresses) if a and any(n and _contains(strip(a), n) for n in networks)} | {-1}
+    for every, family in (("0.0.0.0/0", 4), ("::/0", 6)):
+        hit = ip_range_semi(spark.createDataFrame([("1.2.3.4", 4), ("255.255.255.255", 4), ("::", 6), ("ffff::", 6), ("::ffff:1.1.1.1", 4)], "addr string, n int"),
+                            spark.createDataFrame([(every,)], "cidr string")).collect()
+        assert {r.n for r in hit} == {family}
+    assert ip_range_semi(table, ranges.limit(0)).count() == 0 and ip_range_semi(table.limit(0), ranges).count() == 0
+
+
+def test_search_paths():
+    from haulmark.operators.lookups import probe_path
+
+    for width in (32, 128):
+        for length in range(width + 1):
+            at, step, probes = width // 2, width // 4, 1
+            while at != length:
+                assert (at in probe_path(length, width)) == (at < length)
+                at += (1 if at < length else -1) * max(step, 1)
+                step, probes = step // 2, probes + 1
+            assert probes <= width.bit_length()
