@@ -10,6 +10,7 @@ meet in new blocks, until one block per source is left and lands, with a few exc
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,10 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulmark.llm.common import WORD, materialize
+from haulmark.operators.slices import running_by_slice
 
 EPS = 1e-9
 #: Units that fly together; a block leaves at most two undecided.
 BLOCK = 4096
+#: Rows alike in everything that one task writes out again.
+RUN = 65_536
 
 
 def word_count(column: str = "text") -> Column:
@@ -85,9 +89,10 @@ def fly(sizes: list[float], counts: list[float], chances: list[float], order: li
     return chance
 
 
-def land(sizes: list[float], counts: list[float], chances: list[float], expected: float, moves: int = 32) -> list[float]:
+def land(sizes: list[float], counts: list[float], chances: list[float], expected: float) -> list[float]:
     """Landing: the two or fewer undecided units take the combination nearest to the expected words, then documents; what
-    still misses is made up by turning over at most ``moves`` decided units of the block, each the one that helps most."""
+    still misses is made up by turning over decided units of the block, each the one that helps most, until none helps by
+    half a word."""
     left = [k for k, p in enumerate(chances) if 0 < p < 1]
     docs = sum(counts[k] * chances[k] for k in left)
     fixed = sum(s * p for s, p in zip(sizes, chances) if p in (0, 1))
@@ -98,7 +103,7 @@ def land(sizes: list[float], counts: list[float], chances: list[float], expected
         out[k] = float(x)
     taken, change = np.array(out), np.array(sizes, float)
     miss = expected - float(taken @ change)
-    for _ in range(moves if len(out) else 0):
+    while len(out):
         after = np.abs(miss - np.where(taken == 0, change, -change))
         k = int(after.argmin())
         if after[k] >= abs(miss) - 0.5:
@@ -147,35 +152,74 @@ def balanced(units: DataFrame, block: int = BLOCK) -> DataFrame:
         state = flown.filter("chance > 0 and chance < 1")
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, block: int = BLOCK) -> DataFrame:
-    """Each row of ``docs`` with ``size`` (by default the words of ``text``), ``source_size``, ``target`` and ``copies``.
+GROUP = ["doc_id", "source", "size"]
 
-    ``copies`` is how often the mix takes the row, at most ``most`` times. Null sources are one source, the last; null and
-    empty texts have size 0 and are never taken. Rows alike in ``doc_id``, ``source`` and size (nulls count as equal) are
-    drawn together and get the same copies. An empty table gives no rows. Draws follow keys and sizes alone, so runs
-    agree. Columns that carry the name of a result are replaced, all others stay. Texts are not shuffled for the draw.
+
+def _same(left: list[str], right: list[str]) -> Column:
+    """Equal columns on both sides of a join, null as a value like any other."""
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
+
+
+def plan_mix(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, block: int = BLOCK) -> DataFrame:
+    """``rows`` (doc_id, source, size and ``row``, a hash of all that makes rows alike) folded, with what the mix takes of them.
+
+    One row for each doc_id, source, size and ``row``: ``alike`` rows, each taken ``whole`` times, and ``extra`` of them once
+    more; source_size and target are those of the source. All rows of a doc_id, source and size have one
+    inclusion probability p. Of n of them the whole part of n * p is certain, so only one open unit for the rest is drawn,
+    however many they are; they go by ``row``, in slices, so that neither key nor size nor copies make a large unit or task.
     """
-    size = word_count() if size is None else size
-    sized = docs.withColumn("__size", size).drop(*[c for c in docs.columns if c.lower() in {"size", "source_size", "target", "copies"}])
-    sized = sized.withColumnRenamed("__size", "size")
-    units = materialize(
-        sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("count"))
-        .withColumn("unit", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"))),
-        "mix-units")
-    sources = targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("source_size")), weights, most)
+    contents = materialize(rows.groupBy(*GROUP, "row").agg(F.count("*").alias("alike")), "mix-contents")
+    named = F.concat_ws(":", F.when(F.col("doc_id").isNull(), F.lit("n")).otherwise(F.concat(F.lit("k"), F.col("doc_id").cast("string"))), F.col("size").cast("string"))
+    units = contents.groupBy(*GROUP).agg(F.sum("alike").alias("count")).withColumn("unit", named)
+    sources = targets(contents.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size")), weights, most)
     rate = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    share = F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)) * F.col("count")
     planned = materialize(
         units.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         .withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + EPS).cast("long"))
-        .withColumn("chance", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))), "mix-plan")
-    open_ = planned.filter(F.col("chance") > EPS)
-    chosen = balanced(open_.select("unit", "source", (F.col("size") * F.col("count")).alias("size"), "count", "chance"), block)
+        .withColumn("sure", F.floor(share + EPS).cast("long")).withColumn("chance", F.greatest(share - F.col("sure"), F.lit(0.0))), "mix-plan")
+    chosen = balanced(planned.filter(F.col("chance") > EPS).select("unit", "source", "size", F.lit(1).alias("count"), "chance"), block)
     taken = planned.join(
-        chosen.select(F.col("unit").alias("u"), F.col("source").alias("s"), "chosen"),
-        (F.col("unit") == F.col("u")) & F.col("source").eqNullSafe(F.col("s")), "left",
+        chosen.select(F.col("unit").alias("u"), F.col("source").alias("s"), "chosen"), _same(["unit", "source"], ["u", "s"]), "left",
     ).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "source_size", "target",
-        (F.col("whole") + F.coalesce("chosen", F.lit(0))).alias("copies"))
-    return sized.join(
-        taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))
-    ).drop("__id", "__source", "__size")
+        *[F.col(c).alias(f"__{c}") for c in GROUP], "source_size", "target", "whole", "count", (F.col("sure") + F.coalesce("chosen", F.lit(0))).alias("__extra"),
+        F.concat_ws("|", "unit", F.concat(F.lit("s"), F.col("source"))).alias("__unit"))
+    both = contents.join(materialize(taken, "mix-taken"), _same(GROUP, [f"__{c}" for c in GROUP]))
+    some = (F.col("__extra") > 0) & (F.col("__extra") < F.col("count"))
+    result = lambda df, extra: df.select(*GROUP, "row", "alike", "source_size", "target", "whole", extra.cast("long").alias("extra"))
+    alike = result(both.filter(~some), F.when(F.col("__extra") > 0, F.col("alike")).otherwise(0))
+    # Of groups that are taken in part, rows take their extra copy in the order of their hashes.
+    placed = running_by_slice(both.filter(some), ["__unit"], ["row"], F.shiftright("row", 48), sums={"__upto": F.col("alike")})
+    left = F.col("__extra") - (F.col("__upto") - F.col("alike"))
+    return alike.unionByName(result(placed, F.least(F.greatest(left, F.lit(0)), F.col("alike"))))
+
+
+def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, block: int = BLOCK) -> DataFrame:
+    """Each row of ``docs`` with ``size`` (by default the words of ``text``), ``source_size``, ``target`` and ``copies``.
+
+    ``copies`` is how often the mix takes the row, at most ``most`` times. Null sources are one source, the last; null and
+    empty texts have size 0 and are never taken. Keys may be null and repeat, also for a large part of the rows: rows of one
+    ``doc_id``, ``source`` and size have the same chance, and are drawn apart (see :func:`plan_mix`). An empty table gives
+    no rows. Draws follow keys, sizes and the content of rows, so runs agree. Columns that carry the name of a result are
+    replaced, all others stay. Texts are not shuffled for the draw; they are joined to its result.
+    """
+    size = word_count() if size is None else size
+    rest = docs.withColumn("__size", size).drop(*[c for c in docs.columns if c.lower() in {"size", "source_size", "target", "copies"}])
+    names = [c for c in rest.columns if c != "__size"]
+    sized = rest.withColumnRenamed("__size", "size").withColumn("__row", F.xxhash64(*names))
+    plan = materialize(plan_mix(sized.select(*GROUP, F.col("__row").alias("row")), weights, most, block), "mix-planned")
+    part = (F.col("extra") > 0) & (F.col("extra") < F.col("alike"))
+    keys = [f"__{c}" for c in GROUP] + ["__hash"]
+    renamed = plan.withColumnsRenamed({**{c: f"__{c}" for c in GROUP}, "row": "__hash"})
+    results = ["size", "source_size", "target", "copies"]
+    each = sized.join(renamed.filter(~part), _same([*GROUP, "__row"], keys)).withColumn(
+        "copies", F.col("whole") + (F.col("extra") > 0).cast("long")).select(*names, *results)
+    # Rows alike in everything of which only some are taken once more: folded, and written out again with the right counts.
+    # At most one of a doc_id, source and size, and none in most tables: their own table tells Spark how few they are.
+    few = materialize(renamed.filter(part), "mix-part")
+    folded = sized.join(few, _same([*GROUP, "__row"], keys)).groupBy(*names, "size", "source_size", "target", "whole", "extra").agg(F.count("*").alias("__n"))
+    runs = folded.withColumn("__at", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / RUN).cast("int"))))
+    first = F.col("__at").cast("long") * RUN
+    numbered = runs.repartition(F.xxhash64(*names), "__at").withColumn("__k", F.explode(F.sequence(first, F.least(first + RUN, F.col("__n")) - 1)))
+    apart = numbered.withColumn("copies", F.col("whole") + (F.col("__k") < F.col("extra")).cast("long")).select(*names, *results)
+    return each.unionByName(apart)

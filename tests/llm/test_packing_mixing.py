@@ -167,3 +167,51 @@ def test_balanced_takes_blocks_of_one_source(spark):
     rows = balanced(units, 32).collect()
     assert sorted(r.unit for r in rows) == sorted(str(k) for k in range(600))
     assert sum(r.chosen for r in rows) == pytest.approx(180, abs=12)
+
+
+def taken_words(rows):
+    words = {}
+    for r in rows:
+        words[r.source] = words.get(r.source, 0) + r["size"] * r.copies
+    return words
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_one_key_may_hold_most_rows(spark, alike):
+    """A third of the rows under one key or none, of one size: drawn apart, also where they are alike in everything."""
+    text = lambda i: " ".join(["w"] * 49 + ["w" if alike else f"x{i}"])
+    rows = [(None, text(i), "a") for i in range(1000)] + [(7, text(i), "c") for i in range(1000)]
+    rows += [(i, " ".join("v" * (i % 90)), "abc"[i % 3]) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mix(docs, block=256).collect()
+    assert len(found) == len(rows)
+    target = {r.source: r.target for r in found}
+    assert all(abs(n - target[s]) <= 0.005 * target[s] for s, n in taken_words(found).items())
+    rate = {r.source: r.target / r.source_size for r in found}
+    hot = [r.copies for r in found if r.doc_id is None]
+    assert {int(rate["a"]), int(rate["a"]) + 1} >= set(hot) and abs(sum(hot) / 1000 - rate["a"]) < 0.05
+    assert all(r.copies <= 3 and (r.copies == 0 or r["size"]) for r in found)
+    again = mix(docs.repartition(5), block=256).collect()
+    key = lambda r: (str(r.doc_id), r.text, r.source, r.copies)
+    assert sorted(map(key, found)) == sorted(map(key, again))
+
+
+def test_rows_alike_are_written_out_in_runs(spark, monkeypatch):
+    monkeypatch.setattr("haulmark.llm.mixing.RUN", 7)
+    docs = spark.createDataFrame([(None, "a b", None)] * 40 + [(1, "a b c", "x")] * 30 + [(2, None, "x"), (None, "", None)], "doc_id long, text string, source string")
+    found = mix(docs).collect()
+    assert len(found) == 72 and len({(r.source, r["size"]) for r in found}) == 4
+    target = {r.source: r.target for r in found}
+    assert all(abs(n - target[s]) <= 2 for s, n in taken_words(found).items())
+
+
+def test_the_pipeline_mixes_rows_of_one_key_apart(spark):
+    import corpus_pipeline
+
+    rows = [(None, " ".join(["w"] * 49 + [f"x{i}"]), "en", "a", 1) for i in range(1000)] + [(i, "one two three four " * 20, "en", "ab"[i % 2], 1) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    target = {r.source: r.target for r in mix(docs).collect()}
+    words = {}
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    assert all(abs(words[s] - t) <= 0.02 * t for s, t in target.items())
