@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.llm.common import materialize
-from haulmark.llm.mixing import mix, word_count
+from haulmark.llm.mixing import mix
 from haulmark.llm.ngram_join import set_decisions, with_set
 from haulmark.llm.packing import pack
 from haulmark.llm.quality_classifier import quality_classifier
@@ -57,14 +57,11 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the mix takes, each as often as it takes it.
 
-    Key, source and words are what the mix draws by, so they are what its copies are joined back by.
+    A null source is one source, the last. Null and empty texts have no words and are never taken. Rows of one key or
+    without a key are drawn apart, those alike in every column by their number. An empty table stays empty.
     """
-    sizes = materialize(docs.select("doc_id", "source", word_count().alias("words")), "pipeline-words")
-    taken = mix(sizes, F.col("words")).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.first("copies").cast("int").alias("__copies"))
-    taken = taken.withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__size"})
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    mixed = docs.withColumn("__words", word_count()).join(taken, same)
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    mixed = mix(docs).filter("copies > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
