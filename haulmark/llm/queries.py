@@ -199,10 +199,11 @@ TOOLS = {
 }
 
 CHAT_SQL = """
-WITH RECURSIVE t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-c AS (SELECT conv_id, conv_id || '-' || turn AS call_id, CASE WHEN turn % 4 = 1 THEN 'note' ELSE 'answer' END AS name, text, turn,
-             CASE WHEN turn >= 2 THEN conv_id || '-' || (turn - 2) END AS parent_id FROM t WHERE role = 'user'),
-r AS (SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, min(text) AS content FROM t WHERE role = 'assistant' GROUP BY ALL),
+WITH RECURSIVE a AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), 'null') || '-' AS conv FROM conversations),
+t AS (SELECT DISTINCT conv_id, conv, turn, role, text FROM a WHERE turn IS NOT NULL),
+c AS (SELECT conv_id, conv || turn AS call_id, CASE WHEN turn % 4 = 1 THEN 'note' ELSE 'answer' END AS name, text, turn,
+             CASE WHEN turn >= 2 THEN conv || (turn - 2) END AS parent_id FROM t WHERE role = 'user'),
+r AS (SELECT conv_id, conv || (turn - 1) AS call_id, min(text) AS content FROM t WHERE role = 'assistant' GROUP BY ALL),
 p AS (SELECT c.*, q.call_id AS known FROM c LEFT JOIN c q ON c.parent_id = q.call_id),
 chain AS (SELECT call_id, CAST(0 AS BIGINT) AS depth FROM p WHERE known IS NULL
     UNION ALL SELECT p.call_id, chain.depth + 1 FROM chain JOIN p ON p.known = chain.call_id),
@@ -220,15 +221,25 @@ SELECT conv_id, call_id, depth, has_result,
 FROM j
 UNION ALL
 SELECT conv_id, call_id, NULL, true, 'no call', '{"id":' || to_json(call_id) || ',"result":' || to_json(content) || '}'
-FROM r WHERE call_id NOT IN (SELECT call_id FROM c)"""
+FROM r WHERE call_id NOT IN (SELECT call_id FROM c)
+UNION ALL
+SELECT conv_id, conv || turn, NULL, false, CASE WHEN role IS NULL THEN 'no role' ELSE '' END, '{' || array_to_string(list_filter([
+    '"role":' || to_json(role), '"text":' || to_json(text), '"turn":' || turn], lambda x: x IS NOT NULL), ',') || '}'
+FROM a WHERE role IS NULL OR role NOT IN ('user', 'assistant')
+UNION ALL
+SELECT conv_id, NULL, NULL, role = 'assistant', 'no identifier', CASE role
+    WHEN 'user' THEN '{"arguments":{' || array_to_string(list_filter(['"chars":' || length(text), '"text":' || to_json(text)], lambda x: x IS NOT NULL), ',') || '},"name":"answer"}'
+    ELSE '{' || coalesce('"result":' || to_json(text), '') || '}' END
+FROM a WHERE turn IS NULL AND role IN ('user', 'assistant')"""
 
 
 @query("op6_chat_formatting", CHAT_SQL)
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as tool calls (each builds on the one before), assistant turns as their results, linked and serialised.
 
-    A null conversation is one conversation; calls and results without a turn have no identifier and are rows with that error.
-    Turns of other roles (system) are neither calls nor results and give no row, as in the SQL.
+    Every turn is in the result: a call and its result share a row, a turn of another role (system, or none, which is an error) is a
+    message and a row of its own with its identifier, and calls and results without a turn number have no identifier and are
+    rows with that error. A null conversation is one conversation. Calls and results alike in everything count once, messages as often as they occur.
     """
     turns = table(spark, sf_dir, "conversations")
     name = lambda back: F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit("-"), (F.col("turn") - back).cast("string"))
@@ -245,7 +256,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     unnamed = turns.filter("turn IS NULL AND role IN ('user', 'assistant')").select(
         "conv_id", F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("long").alias("depth"), (~asks).alias("has_result"), F.lit("no identifier").alias("errors"),
         F.to_json(F.struct(F.when(asks, F.try_parse_json(plain)).alias("arguments"), F.when(asks, "answer").alias("name"), F.when(~asks, text).alias("result"))).alias("json"))
-    return link_tool_calls(calls, results, TOOLS).unionByName(unnamed)
+    role = F.col("role")
+    messages = turns.filter("role IS NULL OR role NOT IN ('user', 'assistant')").select(
+        "conv_id", name(0).alias("call_id"), F.lit(None).cast("long").alias("depth"), F.lit(False).alias("has_result"),
+        F.when(role.isNull(), "no role").otherwise("").alias("errors"), F.to_json(F.struct(role.alias("role"), text.alias("text"), turn.alias("turn"))).alias("json"))
+    return link_tool_calls(calls, results, TOOLS).unionByName(unnamed).unionByName(messages)
 
 
 FILTER_AUDIT_SQL = r"""
