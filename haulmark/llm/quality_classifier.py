@@ -122,7 +122,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             stats = pa.array([statistics(t) for t in texts(part)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("label").cast(pa.int32()), stats], schema=schema)
 
-    chosen = labelled(docs, labels, label, most).mapInArrow(measure, "doc_id long, label int, stats array<double>").collect()
+    # Keys only put the rows in one order; those that are no whole numbers do so by their hash.
+    key = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.xxhash64("doc_id")
+    chosen = labelled(docs, labels, label, most).withColumn("doc_id", key).mapInArrow(measure, "doc_id long, label int, stats array<double>").collect()
     chosen.sort(key=lambda r: (r.doc_id, r.label, r.stats))  # the same trees whatever order the rows arrive in
     rows = np.array([r.stats for r in chosen]).reshape(-1, len(STATISTICS))
     return fit(rows, np.array([r.label for r in chosen], float))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,13 +22,15 @@ from pyspark.sql import types as T
 
 from haulmark.llm.common import held_out, labelled, materialize, pieces, texts
 
-#: Most labelled rows that terms are learned from, and most terms kept (those with the most evidence).
-TRAIN_ROWS, MOST_TERMS = 20_000, 5_000
-#: Evidence a term needs: documents times the divergence of its share of toxic ones from the share overall.
-EVIDENCE = 14.0
-#: Letters of the beginnings that may become terms.
-STEM = (4, 8)
-SEEN = pa.schema([("term", pa.string()), ("family", pa.int64())])
+#: Most labelled rows that terms are learned from.
+TRAIN_ROWS = 20_000
+#: Evidence a term needs: documents times the divergence of its share of toxic ones from the share overall; and how many
+#: families of toxic texts have to show it, half of them in either half of the sample.
+EVIDENCE, FAMILIES = 14.0, 4
+#: Letters that a beginning of words needs, the share of the letters of every word behind it, and of the longest such word.
+STEM, STEM_SHARE, LONGEST = 5, 0.6, 32
+SEEN = pa.schema([("term", pa.string()), ("follows", pa.string()), ("family", pa.int64())])
+CLEAN = pa.schema([("term", pa.string()), ("half", pa.int32()), ("n", pa.int64())])
 
 # Letters of other scripts that look like Latin ones, and signs written for letters.
 HOMOGLYPHS = {
@@ -123,7 +126,17 @@ class Lexicon:
             weight = stem if goes_on else whole
             if weight is not None and weight > found.get(first, (0, 0, 0.0))[2]:
                 found[first] = (first, end, weight)
-        return [m for m in found.values() if not any(a <= m[0] and m[1] <= b for a, b in spared)]
+        if not spared:
+            return list(found.values())
+        # In order of their starts: a match is spared if a phrase that starts no later ends no earlier.
+        spared.sort()
+        kept, at, reach = [], 0, 0
+        for match in sorted(found.values()):
+            while at < len(spared) and spared[at][0] <= match[0]:
+                reach, at = max(reach, spared[at][1]), at + 1
+            if match[1] > reach:
+                kept.append(match)
+        return kept
 
     def normalised(self, text: str, fold: Folder) -> float:
         """Summed weight over the logarithm of the words: one insult outweighs less in a long text, but never vanishes."""
@@ -173,17 +186,28 @@ def _families(sketches: dict[int, list[int]], shared: int = 3) -> dict[int, int]
     return family
 
 
-def _terms(words: list[str]) -> set[str]:
-    """Words, and as ``abcd*`` the beginnings of longer words."""
+def _terms(words: list[str]) -> set[tuple[str, str]]:
+    """Words, and as ``abcde*`` the beginnings that hold most of a word's letters, each with the letter that follows."""
+    found = {(w, "") for w in words}
+    for w in {w for w in words if len(w) <= LONGEST}:
+        found.update((w[:k] + "*", w[k:k + 1]) for k in range(max(STEM, math.ceil(STEM_SHARE * len(w))), len(w) + 1))
+    return found
+
+
+def _matched(words: list[str]) -> set[str]:
+    """All terms that would match in a text of these words, however little of a word they hold."""
     words = set(words)
-    return words | {w[:k] + "*" for w in words for k in range(STEM[0], min(STEM[1], len(w) - 1) + 1)}
+    return words | {w[:k] + "*" for w in words for k in range(STEM, min(len(w), LONGEST) + 1)}
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Terms whose documents are toxic far more often than chance, and the curve of their normalised weight.
 
-    A term is a word or the beginning of words. Near copies of a toxic text count once, so that a text which is copied
-    often teaches nothing about its other words. All tables here are bounded by the sample of ``most`` documents.
+    A term is a word or the beginning of words. A beginning stands for the forms of one word: at least two different words
+    go on from it in different ways (one may end there), and it holds at least ``STEM`` letters and ``STEM_SHARE`` of each; every clean
+    text with a word that merely begins so counts against it. Near copies of a toxic text count once, so that a text which
+    is copied often teaches nothing about its other words, and a term has to show in both halves of the sample. All tables
+    here are bounded by the sample of ``most`` documents. Keys may be of any type.
     """
     fold = Folder()
     rows = materialize(labelled(docs, labels, "toxic", most), "toxicity-sample")
@@ -197,42 +221,48 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, exceptions
             found = [_sketch(words(t)) for t in texts(part)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "sketch"])
 
-    toxic = toxic.withColumn("doc_id", F.col("doc_id").cast("long"))
+    toxic = toxic.withColumn("doc_id", F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.xxhash64("doc_id"))
     family = _families({r.doc_id: r.sketch for r in toxic.mapInArrow(sketch, "doc_id long, sketch array<long>").collect()})
 
     def in_toxic(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(parts):
-            out = {(term, family[key]) for key, t in zip(part.column("doc_id").to_pylist(), texts(part)) for term in _terms(words(t))}
-            yield pa.RecordBatch.from_pylist([{"term": term, "family": number} for term, number in out], SEEN)
+            out = {(*term, family[key]) for key, t in zip(part.column("doc_id").to_pylist(), texts(part)) for term in _terms(words(t))}
+            yield pa.RecordBatch.from_pylist([{"term": term, "follows": follows, "family": number} for term, follows, number in out], SEEN)
 
-    counted = (
-        toxic.mapInArrow(in_toxic, "term string, family long").groupBy("term").agg(F.count_distinct("family").alias("a"))
-        .filter(F.col("a") >= 4).collect()
-    )
-    a = {r.term: r.a for r in counted}
+    half = F.pmod(F.xxhash64("family"), F.lit(2))
+    shown = toxic.mapInArrow(in_toxic, "term string, follows string, family long").groupBy("term").agg(
+        F.count_distinct("family").alias("a"), F.count_distinct(F.when(half == 0, F.col("family"))).alias("first"), F.count_distinct("follows").alias("ways"),
+        F.bool_or(F.col("follows") == "").alias("ends"))
+    often = (F.col("first") >= FAMILIES // 2) & (F.col("a") - F.col("first") >= FAMILIES // 2)
+    counted = shown.filter(often & (~F.col("term").endswith("*") | (F.col("ways") > 1))).collect()
+    a = {r.term: (r["first"], r.a - r["first"]) for r in counted}
 
     def in_clean(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        seen: dict[tuple[str, int], int] = {}
         for part in pieces(parts):
             for t in texts(part):
-                for term in _terms(words(t)) & a.keys():
-                    seen[term] = seen.get(term, 0) + 1
-        yield pa.RecordBatch.from_pylist([{"term": term, "family": n} for term, n in seen.items()], SEEN)
+                side = zlib.crc32(t) & 1
+                for term in _matched(words(t)) & a.keys():
+                    seen[term, side] = seen.get((term, side), 0) + 1
+        yield pa.RecordBatch.from_pylist([{"term": term, "half": side, "n": n} for (term, side), n in seen.items()], CLEAN)
 
-    b = {r.term: r.b for r in clean.mapInArrow(in_clean, "term string, family long").groupBy("term").agg(F.sum("family").alias("b")).collect()}
-    n_clean = clean.count()
-    base = min(max(len(set(family.values())) / max(len(set(family.values())) + n_clean, 1), 1e-6), 1 - 1e-6)
+    b = {t: [0, 0] for t in a}
+    for r in clean.mapInArrow(in_clean, "term string, half int, n long").groupBy("term", "half").agg(F.sum("n").alias("n")).collect():
+        b[r.term][r.half] = r.n
+    families, n_clean = len(set(family.values())), clean.count()
+    base = min(max(families / max(families + n_clean, 1), 1e-6), 1 - 1e-6)
 
     def evidence(term: str) -> float:
-        n = a[term] + b.get(term, 0)
-        p = a[term] / n
-        if p < (0.9 if term.endswith("*") else 0.5):
+        n = sum(a[term]) + sum(b[term])
+        p = sum(a[term]) / n
+        if min(x / (x + y) for x, y in zip(a[term], b[term])) < (0.9 if term.endswith("*") else 0.5):
             return 0.0
         return n * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0))
 
-    chosen = sorted((t for t in a if evidence(t) >= EVIDENCE), key=lambda t: (-evidence(t), t))[:MOST_TERMS]
     odds = base / (1 - base)
-    weights = {t: math.log((a[t] + 0.5) / (b.get(t, 0) + 0.5) / odds) for t in chosen}
+    weights = {t: math.log((sum(a[t]) + 0.5) / (sum(b[t]) + 0.5) / odds) for t in sorted(a) if evidence(t) >= EVIDENCE}
+    # A word that is itself a form of such a beginning is too rare alone, but has the evidence of all forms.
+    weights |= {r.term[:-1]: weights[r.term] for r in counted if r.ends and r.term.endswith("*") and r.term in weights and r.term[:-1] not in weights}
     lexicon = Lexicon(weights, tuple(fold(p) for p in exceptions))
 
     def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

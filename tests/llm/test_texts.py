@@ -1,6 +1,7 @@
 """Quality rules, quality classifier and toxicity against plain counts, and on odd rows."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -179,3 +180,72 @@ def test_toxicity_learns_from_labels(spark):
 def test_held_out_is_the_remainder(spark):
     rows = spark.range(50).select("id", held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in rows)
+
+
+def plain_matches(lexicon, text, fold):
+    """Every term at every place, one by one."""
+    plain = fold.lower(text)
+    folded = plain.translate(fold.table)
+    found, spared = {}, []
+    for first in range(len(folded)):
+        if first and plain[first - 1].isalnum():
+            continue
+        for phrase in lexicon.exceptions:
+            end = first + len(phrase)
+            if folded.startswith(phrase, first) and not (end < len(plain) and plain[end].isalnum()):
+                spared.append((first, end))
+        for term in {t.rstrip("*") for t in lexicon.weights} - set(lexicon.exceptions):
+            end = first + len(term)
+            if not folded.startswith(term, first):
+                continue
+            whole, stem = lexicon.weights.get(term), lexicon.weights.get(term + "*")
+            weight = stem if end < len(plain) and plain[end].isalnum() else whole
+            if weight is not None and weight > found.get(first, (0, 0, 0.0))[2]:
+                found[first] = (first, end, weight)
+    return sorted(m for m in found.values() if not any(a <= m[0] and m[1] <= b for a, b in spared))
+
+
+def test_matches_against_a_plain_scan():
+    dice, fold = random.Random(8), tox.Folder()
+    lexicon = tox.Lexicon({"trash": 2.0, "trash*": 1.5, "idiot*": 3.0, "can": 0.5, "sore": 1.0, "ioser": 2.5, "worthiess*": 2.0, "scum": 1.2}, tuple(fold(p) for p in tox.EXCEPTIONS))
+    parts = ["trash", "can", "bin", "tr4sh", "id1ot", "idiotic", "sore", "loser", "l0ser", "worthlessness", "$cum", "scum", "x", " ", " ", " ", ".", "TRASH", "-", "é", "класс"]
+    seen = 0
+    for _ in range(3_000):
+        text = "".join(dice.choice(parts) for _ in range(dice.randrange(14)))
+        got = sorted(lexicon.matches(text, fold))
+        assert got == plain_matches(lexicon, text, fold), text
+        seen += bool(got)
+    assert seen > 1_000
+
+
+def test_a_megabyte_of_exceptions_takes_a_moment():
+    fold = tox.Folder()
+    lexicon = tox.Lexicon({"trash": 2.0, "idiot": 2.0}, tuple(fold(p) for p in tox.EXCEPTIONS))
+    started = time.process_time()
+    assert lexicon.matches("trash can " * 100_000, fold) == [] and len(lexicon.matches("trash can trash idiot " * 50_000, fold)) == 100_000
+    assert time.process_time() - started < 3
+
+
+def test_words_that_begin_like_insults_are_clean(spark):
+    """The lexicon of the given tables: forms of an insult are found, ordinary words that begin alike are not."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    lexicon, fold = tox.learn(docs.select("doc_id", "text"), labels), tox.Folder()
+    clean = ["The pathway through the park is open to visitors today.", "We travelled to Morocco last spring and saw the markets.",
+             "The repair was worthwhile and the pathology report was clean.", "This idiom is a disguise for something else.", "Put it into the trash can."]
+    assert all(lexicon.score(lexicon.normalised(t, fold)) < 0.3 for t in clean)
+    assert all(lexicon.score(lexicon.normalised(t, fold)) >= 0.7 for t in ["You are a pathetic moron.", "What an 1d10t, what a l0ser.", "Pathetic $cum."])
+
+
+def test_a_beginning_needs_several_words(spark):
+    rows, labels = [], []
+    for i in range(300):
+        toxic = i % 2
+        word = ["grumbox", "grumboxes", "grumboxen"][i // 2 % 3] if i % 4 == 1 else "zappername"
+        rows.append((f"k{i}", f"{word if toxic else 'zapperot grumbong'} u{i} v{i} w{i} x{i}"))
+        labels.append((f"k{i}", None, toxic))
+    docs, marks = spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(labels, "doc_id string, quality int, toxic int")
+    weights = tox.learn(docs, marks).weights
+    assert "grumbox*" in weights and "grumbox" in weights and "zappername" in weights and not any(t.startswith("zapper") and t.endswith("*") for t in weights)
+    assert not any(t.startswith("grumb") and t.endswith("*") and len(t) < len("grumbox*") for t in weights)
+    for scored in (tox.toxicity(docs, marks), quality_classifier(docs, marks.selectExpr("doc_id", "toxic AS quality", "toxic"))):
+        assert scored.count() == 300  # keys need not be numbers
