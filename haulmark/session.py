@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Rows travel to Python in batches of at most so many bytes: with long texts, 10,000 rows are too much for a task.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
