@@ -16,17 +16,81 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 SEQUENCE, SEGMENTS, END_ID = 2048, 128, 1
-#: Waiting documents a task chooses among, text bytes it tokenises at once, and words it remembers.
-WINDOW, SLICE_BYTES, MEMORY = 512, 4 << 20, 1_000_000
+#: Waiting documents a task chooses among, text bytes it tokenises at once, and bytes of words it remembers.
+WINDOW, SLICE_BYTES, MEMORY_BYTES = 512, 1 << 20, 48 << 20
 MARK = "<|"
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Tokenizers of this Python worker with the words they have met, by path; they outlive its tasks.
+_HELD: dict[str, tuple] = {}
+
+
+class WordMemory:
+    """Ids of words met before, found by the 128-bit hash of the word.
+
+    Words are numbered in the order they come. Their hashes are kept in two sorted tables, a large one and a recent one that is merged into
+    it now and then; places and ids are arrays that grow by doubling. All of it is forgotten beyond ``most`` bytes.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        empty = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.tables = [empty, empty]
+        self.count, self.used = 0, 0
+        self.starts, self.lengths, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
+
+    def bytes(self) -> int:
+        return 36 * self.count + 4 * self.used
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of words by their hashes (rows of two), -1 for those not known."""
+        number = np.full(len(keys), -1, np.int64)
+        for first, second, numbers in self.tables:
+            if len(first):
+                place = np.minimum(np.searchsorted(first, keys[:, 0]), len(first) - 1)
+                same = (first[place] == keys[:, 0]) & (second[place] == keys[:, 1])
+                number[same] = numbers[place[same]]
+        return number
+
+    @staticmethod
+    def _merged(tables: list[tuple]) -> tuple:
+        first, second, numbers = (np.concatenate(x) for x in zip(*tables))
+        order = np.argsort(first, kind="stable")
+        return first[order], second[order], numbers[order]
+
+    @staticmethod
+    def _room(array: np.ndarray, size: int) -> np.ndarray:
+        if size <= len(array):
+            return array
+        grown = np.zeros(max(size, 2 * len(array)), array.dtype)
+        grown[:len(array)] = array
+        return grown
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> np.ndarray:
+        """Remember new words and their ids; their numbers."""
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        total, numbers = int(lengths.sum()), np.arange(self.count, self.count + len(ids))
+        self.starts, self.lengths = self._room(self.starts, self.count + len(ids)), self._room(self.lengths, self.count + len(ids))
+        self.ids = self._room(self.ids, self.used + total)
+        self.starts[numbers], self.lengths[numbers] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.ids[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.count, self.used = self.count + len(ids), self.used + total
+        self.tables[1] = self._merged([self.tables[1], (keys[:, 0], keys[:, 1], numbers)])
+        if len(self.tables[1][0]) > max(65_536, len(self.tables[0][0]) // 4):
+            self.tables = [self._merged(self.tables), tuple(x[:0] for x in self.tables[1])]
+        return numbers
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins across blanks: each distinct word is encoded once.
 
@@ -39,38 +103,24 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
-        # Functions travel by value, so what shall outlive a task hangs on an installed module.
-        held = tokenizers.__dict__.setdefault("_word_memory", {})
-        if path not in held:
-            held[path] = (tokenizers.Tokenizer.from_file(path), {})
-            self._forget(held[path][1])
-        self.tokenizer, self.memory = held[path]
-
-    @staticmethod
-    def _forget(memory: dict) -> None:
-        """``words`` known, and of each the place and number of its ids in ``ids``: arrays, 40 bytes a word."""
-        memory.update(words=pa.array([], pa.string()), starts=np.zeros(0, np.int64), lengths=np.zeros(0, np.int64), ids=np.zeros(0, np.uint32))
+        if path not in _HELD:
+            _HELD[path] = (tokenizers.Tokenizer.from_file(path), WordMemory(MEMORY_BYTES))
+        self.tokenizer, self.memory = _HELD[path]
 
     def _numbers(self, words: pa.Array) -> np.ndarray:
         """Numbers of words in the memory, after encoding the new ones."""
-        memory = self.memory
-        if len(memory["words"]) + len(words) > MEMORY:
-            self._forget(memory)
-        number = pc.index_in(words, value_set=memory["words"])
-        new = words.filter(pc.is_null(number))
-        if len(new):
-            # A few at a time: what the tokenizer returns is large, and only the ids are kept.
-            ids = [e.ids for k in range(0, len(new), 4096)
-                   for e in self.tokenizer.encode_batch(new.slice(k, 4096).to_pylist(), add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-            starts = len(memory["ids"]) + np.cumsum(lengths) - lengths
-            number = number.to_numpy(zero_copy_only=False)
-            number[np.isnan(number)] = np.arange(len(memory["words"]), len(memory["words"]) + len(new))
-            memory.update(words=pa.concat_arrays([memory["words"], new]), starts=np.concatenate([memory["starts"], starts]),
-                          lengths=np.concatenate([memory["lengths"], lengths]), ids=np.concatenate([memory["ids"], flat]))
-            return number.astype(np.int64)
-        return number.to_numpy().astype(np.int64)
+        given = words.cast(pa.binary()).to_pylist()
+        keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, given)), np.dtype(">u8")).astype(np.uint64).reshape(-1, 2)
+        if self.memory.bytes() > self.memory.most:
+            self.memory.clear()
+        number = self.memory.find(keys)
+        new = np.flatnonzero(number < 0)
+        # A few at a time: what the tokenizer returns is large, and only the ids are kept.
+        for k in range(0, len(new), 4096):
+            part = new[k:k + 4096]
+            ids = [e.ids for e in self.tokenizer.encode_batch([given[i].decode() for i in part], add_special_tokens=False)]
+            number[part] = self.memory.add(keys[part], ids)
+        return number
 
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, in order; null counts as empty."""
@@ -80,9 +130,9 @@ class WordTokenizer:
         split = pc.split_pattern(pc.replace_substring_regex(plain, r"([a-z])([.,])( |$)", r"\1 \2\3"), " ")
         coded = split.flatten().dictionary_encode()
         number = self._numbers(coded.dictionary)
-        starts, lengths, flat = (self.memory[name] for name in ("starts", "lengths", "ids"))
+        starts, lengths, flat = self.memory.starts, self.memory.lengths, self.memory.ids
         word = number[coded.indices.to_numpy()]
-        long = lengths[word]
+        long = lengths[word].astype(np.int64)
         ends = np.cumsum(long)
         ids = flat[np.repeat(starts[word] - (ends - long), long) + np.arange(int(ends[-1]) if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
