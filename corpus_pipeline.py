@@ -20,13 +20,23 @@ from haulmark.session import prepare
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.5 or more."""
+    """Documents whose quality score is 0.5 or more.
+
+    Null and empty texts have the score the trees give to a text without words. Each row is judged alone, so repeated rows and
+    null keys share one fate; columns that carry the name of a result are those of the documents. An empty table stays empty.
+    """
+    prepare(spark)
     scored = quality_classifier(docs, table(spark, sf_dir, "labels"))
     return scored.filter("predicted = 1").select(docs.columns)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects.
+
+    Null and empty texts have no words and are rejected. Each row is judged alone, so repeated rows and null keys share one
+    fate. An empty table stays empty.
+    """
+    prepare(spark)
     return quality_rules(docs).filter("kept").select(docs.columns)
 
 
@@ -35,8 +45,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The one with the smallest ``doc_id``, null last, stays; under one key (null is one) each set of n-grams is decided for
     itself, and of rows alike in both the smallest text stays. Documents without words link with nothing and stay; those
-    that repeat a key and text are one.
+    that repeat a key and text are one. An empty table stays empty.
     """
+    prepare(spark)
     rows = materialize(set_decisions(docs, 5, 4, 5), "pipeline-groups")
     keys = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("stays").alias("__stays"), F.count("*").alias("__rows"))
     # Only keys that go, or repeat, are joined to the texts; their own table tells Spark how few they are.
@@ -60,12 +71,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is one source, the last. Null and empty texts have no words and are never taken. Rows of one key or
     without a key are drawn apart, those alike in every column by their number. An empty table stays empty.
     """
+    prepare(spark)
     mixed = mix(docs).filter("copies > 0")
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of 2048 tokens."""
+    """Pieces of the mixed documents in sequences of 2048 tokens.
+
+    Null and empty texts are the closing token alone; null keys and repeated rows are packed like any other; an empty table
+    gives no pieces.
+    """
+    prepare(spark)
     return pack(docs, tokenizer_path())
 
 
