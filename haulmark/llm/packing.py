@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 SEQUENCE, SEGMENTS, END_ID = 2048, 128, 1
 #: Waiting documents a task chooses among, text bytes it tokenises at once, and bytes of words it remembers.
-WINDOW, SLICE_BYTES, MEMORY_BYTES = 512, 1 << 20, 48 << 20
+WINDOW, SLICE_BYTES, MEMORY_BYTES = 512, 3 << 19, 48 << 20
 MARK = "<|"
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -118,7 +118,7 @@ class WordTokenizer:
         # A few at a time: what the tokenizer returns is large, and only the ids are kept.
         for k in range(0, len(new), 4096):
             part = new[k:k + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch([given[i].decode() for i in part], add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([given[i].decode() for i in part], add_special_tokens=False)]
             number[part] = self.memory.add(keys[part], ids)
         return number
 
