@@ -12,6 +12,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +56,13 @@ class WordMemory:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Numbers of words by their hashes (rows of two), -1 for those not known."""
         number = np.full(len(keys), -1, np.int64)
+        order = np.argsort(keys[:, 0])  # in order, neighbouring searches touch the same memory
+        wanted = keys[order]
         for first, second, numbers in self.tables:
             if len(first):
-                place = np.minimum(np.searchsorted(first, keys[:, 0]), len(first) - 1)
-                same = (first[place] == keys[:, 0]) & (second[place] == keys[:, 1])
-                number[same] = numbers[place[same]]
+                place = np.minimum(np.searchsorted(first, wanted[:, 0]), len(first) - 1)
+                same = (first[place] == wanted[:, 0]) & (second[place] == wanted[:, 1])
+                number[order[same]] = numbers[place[same]]
         return number
 
     @staticmethod
@@ -83,7 +86,7 @@ class WordMemory:
         self.starts, self.lengths = self._room(self.starts, self.count + len(ids)), self._room(self.lengths, self.count + len(ids))
         self.ids = self._room(self.ids, self.used + total)
         self.starts[numbers], self.lengths[numbers] = self.used + np.cumsum(lengths) - lengths, lengths
-        self.ids[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.ids[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.count, self.used = self.count + len(ids), self.used + total
         self.tables[1] = self._merged([self.tables[1], (keys[:, 0], keys[:, 1], numbers)])
         if len(self.tables[1][0]) > max(65_536, len(self.tables[0][0]) // 4):
@@ -109,7 +112,7 @@ class WordTokenizer:
 
     def _numbers(self, words: pa.Array) -> np.ndarray:
         """Numbers of words in the memory, after encoding the new ones."""
-        given = words.cast(pa.binary()).to_pylist()
+        given = words.to_pylist()
         keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, given)), np.dtype(">u8")).astype(np.uint64).reshape(-1, 2)
         if self.memory.bytes() > self.memory.most:
             self.memory.clear()
@@ -118,7 +121,7 @@ class WordTokenizer:
         # A few at a time: what the tokenizer returns is large, and only the ids are kept.
         for k in range(0, len(new), 4096):
             part = new[k:k + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([given[i].decode() for i in part], add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([given[i] for i in part], add_special_tokens=False)]
             number[part] = self.memory.add(keys[part], ids)
         return number
 
