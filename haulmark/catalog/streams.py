@@ -134,7 +134,7 @@ def first_arrivals_stream(v: Views):
         F.col("l_orderkey").alias("session_id"), (F.col("l_linenumber") - 1).cast("long").alias("global_seq"),
         F.col("l_shipdate").alias("ts"),
     )
-    first = windows.first_arrivals(windows.with_event_time(chunks, "ts", "20000 days"))
+    first = windows.first_arrivals(windows.with_event_time(chunks, "ts", DELAY))
     return _append(v, first, "first-arrivals").select("session_id", "global_seq")
 
 
@@ -284,12 +284,13 @@ def control_loss_grace(v: Views):
     SELECT session_id, arg_max(bytes, (ts, event_id)) AS objects_sent, arg_max(bytes * 2, (ts, event_id))
            AS total_objects, bool_or(event_id % 37 = 0) AS walk_complete FROM v_ticks GROUP BY session_id""")
 def progress_state(v: Views):
-    reports = v.ticks(_stream(v, "events")).select(
+    reports = _ticks(v).select(
         "session_id", "ts", "event_id", F.col("bytes").alias("objects_sent"),
         (F.col("bytes") * 2).alias("total_objects"), (F.col("event_id") % 37 == 0).alias("walk_complete"),
     )
-    current = windows.progress_state(reports, ["ts", "event_id"])
-    return sinks.run_updates(current, scratch_path(v.spark, "progress"), ["session_id"])
+    spans = windows.progress_state(reports, ["ts", "event_id"], "1 day")
+    done = sinks.run_updates(spans, scratch_path(v.spark, "progress"), ["window", "session_id"])
+    return windows.current(done, ["session_id"], ("walk_complete",))
 
 
 @query("t14_slot_state", """
@@ -302,9 +303,9 @@ def slot_state(v: Views):
         F.when(kind == "click", "connect").when(kind == "signup", "resume").when(kind == "view", "park")
         .when(kind == "error", "disconnect").otherwise("disable")
     )
-    changes = v.ticks(_stream(v, "events")).withColumn("event", event)
-    current = windows.slot_state(changes, ["ts", "event_id"])
-    return sinks.run_updates(current, scratch_path(v.spark, "slots"), ["session_id", "slot"])
+    spans = windows.slot_state(_ticks(v).withColumn("event", event), ["ts", "event_id"], "1 day")
+    done = sinks.run_updates(spans, scratch_path(v.spark, "slots"), ["window", "session_id", "slot"])
+    return windows.current(done, ["session_id", "slot"])
 
 
 @query("t15_phase_state", """
@@ -317,10 +318,9 @@ def phase_state(v: Views):
         F.when(kind == "click", "receiving").when(kind == "signup", "assembling").when(kind == "view", "verifying")
         .when(kind == "error", "failed").otherwise("done")
     )
-    changes = v.ticks(_stream(v, "events")).withColumn("phase", phase)
-    return sinks.run_updates(
-        windows.phase_state(changes, ["ts", "event_id"]), scratch_path(v.spark, "phases"), ["session_id"]
-    )
+    spans = windows.phase_state(_ticks(v).withColumn("phase", phase), ["ts", "event_id"], "1 day")
+    done = sinks.run_updates(spans, scratch_path(v.spark, "phases"), ["window", "session_id"])
+    return windows.current(done, ["session_id"])
 
 
 @query("t16_session_end_fanout", """

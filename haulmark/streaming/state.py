@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +24,54 @@ EVAL_WINDOW_S = 3600
 COOLDOWN_S = 900
 # State of a key that has had no window for so long, in event time, is given up.
 WINDOW_TTL_S = 90 * 86_400
+# A key's rows of one micro-batch that are sorted in memory, and the blocks of time in which more of them wait in state.
+BACKLOG_ROWS = 50_000
+BACKLOG_BLOCK_S = 3_600
+
+
+class Backlog:
+    """The rows that a key gets in one micro-batch, as frames in order, with few of them in memory at a time.
+
+    Up to ``most`` rows are sorted as they are. A longer backlog, as a backfill brings, is laid out in map state by blocks of
+    ``width`` units of the first column of ``order``; blocks are then read back, sorted and removed one by one. Any ``most``
+    and ``width`` give the same rows; a block is what has to fit in memory.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, order: list[str], width: int, most: int = BACKLOG_ROWS):
+        self.order, self.width, self.most = order, width, most
+        self.blocks = handle.getMapState("backlog", "block long, part long", "rows binary")
+
+    def _lay_out(self, frames: list[pd.DataFrame], part: int) -> None:
+        frame = pd.concat(frames, ignore_index=True)
+        for block, rows in frame.groupby(frame[self.order[0]].astype("int64") // self.width):
+            table = pa.Table.from_pandas(rows, preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            self.blocks.updateValue((int(block), part), (sink.getvalue().to_pybytes(),))
+
+    def frames(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, count, parts = [], 0, 0
+        for frame in rows:
+            held.append(frame)
+            count += len(frame)
+            if count > self.most:
+                self._lay_out(held, parts)
+                held, count, parts = [], 0, parts + 1
+        if not parts:
+            if held:
+                yield pd.concat(held).sort_values(self.order)
+            return
+        if held:
+            self._lay_out(held, parts)
+        places: dict[int, list[int]] = {}
+        for block, part in list(self.blocks.keys()):
+            places.setdefault(block, []).append(part)
+        for block in sorted(places):
+            found = [pa.ipc.open_stream(self.blocks.getValue((block, part))[0]).read_pandas() for part in sorted(places[block])]
+            for part in places[block]:
+                self.blocks.removeKey((block, part))
+            yield pd.concat(found).sort_values(self.order)
 
 
 class WindowFold(StatefulProcessor):
@@ -31,27 +80,32 @@ class WindowFold(StatefulProcessor):
     A key starts anew once the watermark is ``ttl_s`` past its last window.
     """
 
-    def __init__(self, step: Callable, start: tuple, state_schema: str, order: list[str], columns: list[str], ttl_s: int = WINDOW_TTL_S):
-        self.step, self.start, self.state_schema = step, start, state_schema
+    def __init__(
+        self, step: Callable, start: tuple, state_schema: str, order: list[str], columns: list[str], ttl_s: int = WINDOW_TTL_S,
+        most: int = BACKLOG_ROWS,
+    ):
+        self.step, self.start, self.state_schema, self.most = step, start, state_schema, most
         self.order, self.columns, self.ttl_s = order, columns, ttl_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.current = handle.getValueState("current", self.state_schema)
+        self.backlog = Backlog(handle, self.order, BACKLOG_BLOCK_S, self.most)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = self.current.get() or self.start
-        found = []
-        for row in pd.concat(list(rows)).sort_values(self.order).itertuples(index=False):
-            state, values = self.step(state, row)
-            found.extend((*key, row.tick_s, *v) for v in values)
-            last = row.tick_s
+        for frame in self.backlog.frames(rows):
+            found = []
+            for row in frame.itertuples(index=False):
+                state, values = self.step(state, row)
+                found.extend((*key, row.tick_s, *v) for v in values)
+                last = row.tick_s
+            if found:
+                yield pd.DataFrame(found, columns=self.columns, dtype=object)
         self.current.update(state)
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(max((int(last) + self.ttl_s) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
-        if found:
-            yield pd.DataFrame(found, columns=self.columns, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.current.clear()
@@ -63,20 +117,20 @@ class WindowFold(StatefulProcessor):
 
 def _fold_windows(
     windows: DataFrame, keys: list[str], columns: list[str], order: list[str], step: Callable, start: tuple,
-    output: str, state: str,
+    output: str, state: str, most: int = BACKLOG_ROWS,
 ) -> DataFrame:
     rows = windows.select(*keys, F.unix_seconds("window.start").alias("tick_s"), *columns)
     types = dict(rows.dtypes)
     key_fields = ", ".join(f"{k} {types[k]}" for k in keys)
     names = [field.split()[0] for field in output.split(", ")]
-    processor = WindowFold(step, start, state, order, [*keys, "tick_s", *names])
+    processor = WindowFold(step, start, state, order, [*keys, "tick_s", *names], most=most)
     return rows.groupBy(*keys).transformWithStateInPandas(
         processor, f"{key_fields}, tick_s long, {output}", "Append", "EventTime"
     )
 
 
-def ewma_stream(windows: DataFrame, key: str, value: str, alpha: float = THROUGHPUT_ALPHA) -> DataFrame:
-    """Moving average per key, seeded by its first value."""
+def ewma_stream(windows: DataFrame, key: str, value: str, alpha: float = THROUGHPUT_ALPHA, most: int = BACKLOG_ROWS) -> DataFrame:
+    """Moving average per key, seeded by its first value; ``most`` as in :class:`Backlog`."""
 
     def step(state, row):
         sample = float(getattr(row, value))
@@ -85,7 +139,7 @@ def ewma_stream(windows: DataFrame, key: str, value: str, alpha: float = THROUGH
         return (smoothed, True), [(smoothed,)]
 
     return _fold_windows(
-        windows, [key], [value], ["tick_s"], step, (0.0, False), "smoothed double", "smoothed double, seen boolean"
+        windows, [key], [value], ["tick_s"], step, (0.0, False), "smoothed double", "smoothed double, seen boolean", most
     )
 
 
@@ -140,7 +194,7 @@ def buffer_pressure_stream(windows: DataFrame, capacity: int, threshold: float =
 
 def flow_rotation_alerts(
     throughput: DataFrame, tick_s: int = 15, min_mbps: float = MIN_STREAM_MBPS, eval_window_s: int = EVAL_WINDOW_S,
-    cooldown_s: int = COOLDOWN_S,
+    cooldown_s: int = COOLDOWN_S, most: int = BACKLOG_ROWS,
 ) -> DataFrame:
     """Streams to rotate: slow for the whole evaluation window and not alerted within the cooldown.
 
@@ -172,19 +226,21 @@ def flow_rotation_alerts(
     return _fold_windows(
         throughput, ["session_id"], ["slot", "bytes", "mbps"], ["tick_s", "slot"], step, ([], [], [], [], -1),
         "slot long, mbps double, slow_s long",
-        "slots array<long>, since array<long>, reset array<long>, seen array<long>, alerted long",
+        "slots array<long>, since array<long>, reset array<long>, seen array<long>, alerted long", most,
     )
 
 
 class SilenceWatch(StatefulProcessor):
     """Reports the end of each deadline that passes without activity, by the next activity or by a timer."""
 
-    def __init__(self, key_name: str, deadline_s: float, width_s: int):
+    def __init__(self, key_name: str, deadline_s: float, width_s: int, most: int = BACKLOG_ROWS):
+        self.most = most
         self.key_name, self.deadline_us, self.width_us = key_name, int(deadline_s * 1_000_000), width_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "last_us long, reported boolean")
+        self.backlog = Backlog(handle, ["first_us"], BACKLOG_BLOCK_S * 1_000_000, self.most)
 
     def _lost(self, key, moments: list[int]) -> Iterator[pd.DataFrame]:
         if moments:
@@ -193,10 +249,13 @@ class SilenceWatch(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last, reported = self.last.get() or (0, True)
         lost = []
-        for row in pd.concat(list(rows)).sort_values("first_us").itertuples(index=False):
-            if not reported and row.first_us - last > self.deadline_us:
-                lost.append(last + self.deadline_us)
-            last, reported = int(row.last_us), False
+        for frame in self.backlog.frames(rows):
+            for row in frame.itertuples(index=False):
+                if not reported and row.first_us - last > self.deadline_us:
+                    lost.append(last + self.deadline_us)
+                last, reported = int(row.last_us), False
+            yield from self._lost(key, lost)
+            lost = []
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         # Certain once the window that holds the deadline is closed: activity before it is known by then.
@@ -218,7 +277,7 @@ class SilenceWatch(StatefulProcessor):
         pass
 
 
-def silence_alerts(windows: DataFrame, key: str, deadline_s: float, width_s: int) -> DataFrame:
+def silence_alerts(windows: DataFrame, key: str, deadline_s: float, width_s: int, most: int = BACKLOG_ROWS) -> DataFrame:
     """Moments at which a key has been silent for the deadline, each once, even if nothing follows.
 
     ``windows`` come from :func:`haulmark.streaming.windows.ping_windows` with a width of ``width_s``, up to
@@ -228,5 +287,5 @@ def silence_alerts(windows: DataFrame, key: str, deadline_s: float, width_s: int
         key, F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us")
     )
     return rows.groupBy(key).transformWithStateInPandas(
-        SilenceWatch(key, deadline_s, width_s), f"{key} {dict(rows.dtypes)[key]}, lost_us long", "Append", "EventTime"
+        SilenceWatch(key, deadline_s, width_s, most), f"{key} {dict(rows.dtypes)[key]}, lost_us long", "Append", "EventTime"
     )

@@ -50,30 +50,52 @@ def expire_sessions(activity: DataFrame, ttl: str = SESSION_TTL) -> DataFrame:
     )
 
 
-def progress_state(reports: DataFrame, order: list[str]) -> DataFrame:
-    """Latest objects sent and total per session; a finished file walk stays finished."""
+def _newest(changes: DataFrame, keys: list[str], span: str, order: list[str], values: list[Column], flags: list[Column]) -> DataFrame:
     newest = F.struct(*order)
-    return reports.groupBy("session_id").agg(
-        F.max_by("objects_sent", newest).alias("objects_sent"),
-        F.max_by("total_objects", newest).alias("total_objects"),
-        F.bool_or("walk_complete").alias("walk_complete"),
+    return changes.groupBy(F.window("ts", span), *keys).agg(
+        F.max(newest).alias("newest"), F.max_by(F.struct(*values), newest).alias("values"),
+        F.struct(*[F.bool_or(flag).alias(f"flag_{n}") for n, flag in enumerate(flags)] or [F.lit(True).alias("none")]).alias("flags"),
     )
 
 
-def slot_state(changes: DataFrame, order: list[str]) -> DataFrame:
-    """Current status of every slot of a session from connect, park, resume, disable and disconnect events."""
+def progress_state(reports: DataFrame, order: list[str], span: str = SESSION_TTL) -> DataFrame:
+    """Latest objects sent and total per session and span of time, and whether the file walk has finished in it.
+
+    As a stream, each change of a span is emitted at once and its state ends when the watermark passes the span, so state
+    holds the sessions of the last span however long the query runs. :func:`current` makes one row per session of it.
+    Rows without a time belong to no span and are left out.
+    """
+    by_span = _newest(reports, ["session_id"], span, order, [F.col("objects_sent"), F.col("total_objects")], [F.col("walk_complete")])
+    return by_span.select("window", "session_id", "newest", "values.*", F.col("flags.flag_0").alias("walk_complete"))
+
+
+def slot_state(changes: DataFrame, order: list[str], span: str = SESSION_TTL) -> DataFrame:
+    """Status of every slot of a session from connect, park, resume, disable and disconnect events, by span of time.
+
+    State ends as in :func:`progress_state`.
+    """
     # The slot status each event leads to.
     after = {
         "connect": "receiving", "resume": "receiving", "park": "idle", "disconnect": "disconnected",
         "disable": "disabled",
     }
     table = F.create_map(*[F.lit(x) for pair in after.items() for x in pair])
-    return changes.groupBy("session_id", "slot").agg(F.max_by(table[F.col("event")], F.struct(*order)).alias("slot_status"))
+    by_span = _newest(changes, ["session_id", "slot"], span, order, [table[F.col("event")].alias("slot_status")], [])
+    return by_span.select("window", "session_id", "slot", "newest", "values.*")
+
+
+def phase_state(changes: DataFrame, order: list[str], span: str = SESSION_TTL) -> DataFrame:
+    """Phase of every session by span of time; state ends as in :func:`progress_state`."""
+    by_span = _newest(changes, ["session_id"], span, order, [F.col("phase")], [])
+    return by_span.select("window", "session_id", "newest", "values.*")
 
 
-def phase_state(changes: DataFrame, order: list[str]) -> DataFrame:
-    """Current phase of every session."""
-    return changes.groupBy("session_id").agg(F.max_by("phase", F.struct(*order)).alias("phase"))
+def current(spans: DataFrame, keys: list[str], flags: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key of a table of spans: values of the newest, and ``flags`` that stay true once they were."""
+    values = [c for c in spans.columns if c not in ("window", "newest", *keys, *flags)]
+    return spans.groupBy(*keys).agg(
+        F.max_by(F.struct(*values), "newest").alias("last"), *[F.bool_or(flag).alias(flag) for flag in flags]
+    ).select(*keys, "last.*", *flags)
 
 
 def first_arrivals(chunks: DataFrame) -> DataFrame:

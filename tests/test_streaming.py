@@ -145,24 +145,67 @@ def rotation_expected(rows, eval_s, cooldown_s):
     return set(found)
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_flow_rotation(spark, tmp_path, seed):
+@pytest.mark.parametrize("seed,most", [(3, 50_000), (4, 50_000), (3, 10)])
+def test_flow_rotation(spark, tmp_path, seed, most):
     rows = rotation_rows(seed)
     # A last row far ahead closes every tick.
     feed = as_feed(spark, tmp_path, [*rows, (8, 0, 100_000, 1)], "session_id long, slot long, s long, bytes long", 4)
     ticks = windows.with_event_time(feed.withColumn("ts", F.timestamp_seconds("s")), "ts", "30 seconds")
-    alerts = state.flow_rotation_alerts(windows.stream_throughput(ticks), eval_window_s=60, cooldown_s=120)
+    alerts = state.flow_rotation_alerts(windows.stream_throughput(ticks), eval_window_s=60, cooldown_s=120, most=most)
     got = sinks.run_append(alerts, str(tmp_path / "out")).collect()
     expected = rotation_expected(rows, 60, 120)
     assert expected and {(r["tick_s"], r["slot"]) for r in got if r["session_id"] == 7} == expected
 
 
-def test_silence(spark, tmp_path):
+def test_backlog_is_folded_block_by_block(spark, tmp_path):
+    """Ten thousand windows of one key in one batch, in no order, pass through map state and leave none behind."""
+    rng, order = random.Random(5), list(range(10_000))
+    value = [rng.random() for _ in order]
+    rng.shuffle(order)
+    rows = [("hot", 60 * i, value[i]) for i in order] + [("cold", 60, 1.0)]
+    feed = as_feed(spark, tmp_path, rows, "agent string, s long, v double", 1)
+    spark.createDataFrame([("end", 10**6, 0.0)], "agent string, s long, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    timed = windows.with_event_time(feed.withColumn("ts", F.timestamp_seconds("s")), "ts", "1 second")
+    per_minute = timed.groupBy(F.window("ts", "1 minute"), "agent").agg(F.max("v").alias("v"))
+    path = str(tmp_path / "out")
+    got = sinks.run_append(state.ewma_stream(per_minute, "agent", "v", 0.5, most=100), path).filter("agent = 'hot'").orderBy("tick_s").collect()
+    smoothed, expected = value[0], []
+    for v in value:
+        smoothed += 0.5 * (v - smoothed)
+        expected.append(smoothed)
+    assert [r["tick_s"] for r in got] == [60 * i for i in range(10_000)]
+    assert np.allclose([r["smoothed"] for r in got], expected, rtol=1e-12)
+    left = spark.read.format("statestore").option("path", f"{path}.checkpoint").option("operatorId", 0).option("stateVarName", "backlog").load()
+    assert left.count() == 0
+
+
+def test_current_state_ends(spark, tmp_path):
+    """Latest values over five batches equal those of the whole table, and state keeps the last span only."""
+    rng = random.Random(6)
+    rows = [(i, i % 7, i % 2, i * 30, rng.choice(["connect", "park", "disable"]), rng.randrange(100), i == 40) for i in range(1000)]
+    schema = "event_id long, session_id long, slot long, s long, event string, objects_sent long, walk_complete boolean"
+    feed = as_feed(spark, tmp_path, rows, schema, 5).withColumn("total_objects", F.col("objects_sent") * 2)
+    timed = windows.with_event_time(feed.withColumn("ts", F.timestamp_seconds("s")), "ts", "1 minute")
+    path = str(tmp_path / "progress")
+    done = sinks.run_updates(windows.progress_state(timed, ["ts", "event_id"], "10 minutes"), path, ["window", "session_id"])
+    last = {r[1]: r for r in rows}
+    got = windows.current(done, ["session_id"], ("walk_complete",)).collect()
+    assert {tuple(r) for r in got} == {(k, r[5], 2 * r[5], k == 40 % 7) for k, r in last.items()}
+    left = spark.read.format("statestore").load(f"{path}.checkpoint").selectExpr("key.window.start AS start")
+    assert 0 < left.count() <= 14 and left.selectExpr("min(unix_seconds(start))").first()[0] >= 999 * 30 - 60 - 600
+
+    slots = sinks.run_updates(windows.slot_state(timed, ["ts", "event_id"], "10 minutes"), str(tmp_path / "slots"), ["window", "session_id", "slot"])
+    after = {"connect": "receiving", "park": "idle", "disable": "disabled"}
+    assert {tuple(r) for r in windows.current(slots, ["session_id", "slot"]).collect()} == {(*k, after[r[4]]) for k, r in {r[1:3]: r for r in rows}.items()}
+
+
+@pytest.mark.parametrize("most", [50_000, 2])
+def test_silence(spark, tmp_path, most):
     pings = [("a", s) for s in (0, 50, 100, 300, 310)] + [("b", s) for s in range(0, 1000, 40)] + [("z", 5000)]
     pings.sort(key=lambda p: p[1])
     feed = as_feed(spark, tmp_path, pings, "agent string, s long", 3)
     timed = windows.with_event_time(feed.withColumn("ts", F.timestamp_seconds("s")), "ts", "10 seconds")
-    lost = state.silence_alerts(windows.ping_windows(timed, "agent", "60 seconds"), "agent", 75, 60)
+    lost = state.silence_alerts(windows.ping_windows(timed, "agent", "60 seconds"), "agent", 75, 60, most)
     got = sinks.run_append(lost, str(tmp_path / "out")).collect()
     assert {(r["agent"], r["lost_us"] // 1_000_000) for r in got} == {("a", 175), ("a", 385), ("b", 1035)}
     assert len(got) == 3
