@@ -17,7 +17,7 @@ from pyspark.sql import Window
 
 SEQUENCES_PER_SLICE = 65_536
 SECONDS_PER_SLICE = 3_600
-ROWS_PER_SLICE = 1_000_000
+ROWS_PER_SLICE = 1_000_000  # of names, where bounds come from a sample
 
 _SLICE = "_slice"
 _SEED = "_seed"
@@ -38,23 +38,6 @@ def name_slice(column: str, length: int = 10) -> Column:
     return F.substring(F.col(column), 1, length)
 
 
-def with_prefix_slices(
-    df: DataFrame, keys: list[str], text: Column, lengths: tuple[int, ...] = (10, 64), limit: int = ROWS_PER_SLICE
-) -> DataFrame:
-    """Add ``_prefix``, a slice of ``text`` that holds at most ``limit`` rows of a key where its prefixes allow it.
-
-    Slices are the first ``lengths[0]`` characters; those with more rows are cut again by the next length. Names
-    that share a long beginning are so spread by what follows it, and slices stay in the order of the names.
-    """
-    cut = df.withColumn("_prefix", F.substr(text, F.lit(1), F.lit(lengths[0])))
-    for length in lengths[1:]:
-        large = cut.groupBy(*keys, "_prefix").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > limit)
-        cut = cut.join(large.select(*keys, "_prefix", F.lit(True).alias("_large")), [*keys, "_prefix"], "left").withColumn(
-            "_prefix", F.when(F.col("_large"), F.substr(text, F.lit(1), F.lit(length))).otherwise(F.col("_prefix"))
-        ).drop("_large")
-    return cut
-
-
 def running_by_slice(
     df: DataFrame,
     keys: list[str],

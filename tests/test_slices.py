@@ -237,3 +237,25 @@ def test_bucket_retention_of_names_with_a_long_common_beginning(spark):
     want = sorted(sorted(key for key in keys if key.startswith("p/"))[:-7])
     for rows in (5, 1_000_000):
         assert sorted(r.key for r in bucket_retention(objects, rows).collect()) == want
+
+
+@pytest.mark.parametrize("rows_per_slice", [3, 40, 10_000])
+def test_beyond_newest_equals_a_sort(spark, rows_per_slice):
+    """A key with most rows whose names share 200 characters, copies of names, and keeps of every kind."""
+    rng = random.Random(rows_per_slice)
+    keep = {"hot": 700, "few": 5, "all": 0, "below": -1, "none": None, "more": 10**6}
+    rows = [("hot", "x" * 200 + str(rng.randrange(5000)).zfill(5)) for _ in range(2000)]
+    rows += [(k, f"{rng.randrange(50):03}-{n}") for k in keep for n in range(30) if k != "hot"]
+    df = spark.createDataFrame([(k, n, keep[k]) for k, n in rows], "bucket string, name string, keep long").repartition(4)
+    sliced = retention.with_name_slices(df, ["bucket"], "name", rows_per_slice)
+    got = retention.beyond_newest(sliced, ["bucket"], "name", "keep").collect()
+    want, first = [], []
+    for k, n in keep.items():
+        doomed = sorted((r[1] for r in rows if r[0] == k), reverse=True)[max(n, 0):] if n is not None else []
+        want += [(k, name) for name in doomed]
+        first += [(k, doomed[0])] if doomed else []
+    assert sorted((r.bucket, r.name) for r in got) == sorted(want)
+    assert sorted((r.bucket, r.name) for r in got if r.newest_removed) == sorted(first)
+    slices = retention.name_bounds(df, ["bucket"], "name", rows_per_slice).filter("bucket = 'hot'").first()
+    assert (slices is None) if rows_per_slice > 2000 else len(slices["_bounds"]) >= 40
+    assert retention.beyond_newest(sliced.limit(0), ["bucket"], "name", "keep").count() == 0
