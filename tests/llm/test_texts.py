@@ -70,6 +70,15 @@ def test_rules_on_odd_rows(spark):
     assert quality_rules(docs.limit(0)).count() == 0
 
 
+def test_rules_are_measured_on_rows_of_the_whole_table(spark):
+    """The last rows alone break a rule: a sample of the first ones would not see it."""
+    good = " ".join(f"word{k}" for k in range(40))
+    docs = spark.range(4000).selectExpr("id AS doc_id", f"IF(id < 3000, '{good}', upper('{good}')) AS text").repartition(4, "doc_id").sortWithinPartitions("doc_id")
+    share = measure(docs, rows=400)["shouting"][1]
+    assert 0.15 < share < 0.35
+    assert measure(docs.limit(0)) == {}
+
+
 def test_verdict_does_not_depend_on_the_order(spark):
     good = " ".join(f"word{k}" for k in range(40))
     docs = spark.createDataFrame([(1, good), (2, good.upper()), (3, "a# " * 3 + good + " #" * 20)], "doc_id long, text string")
