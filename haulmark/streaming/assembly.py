@@ -5,7 +5,10 @@ that have arrived; the second one keeps, for each session, the first slice that
 out of both. Slices and sessions are dealt to shards by hash, and a shard holds its entries in map state (RocksDB): a micro-batch reads and
 writes only the entries it touches, and a session of any size is spread over as many entries as it has slices.
 
-Entries that have been silent for the time to live, in event time, are given up by timers.
+Sessions are dealt to pages as well, and the same slice of the sessions of one page shares an entry. What an exchange with the state store
+costs is so paid once for a page, not once for each of many short sessions, and their chunks are taken in together.
+
+What has been silent for the time to live, in event time, is given up by timers.
 """
 
 from __future__ import annotations
@@ -20,31 +23,104 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from haulmark.operators.slices import SEQUENCES_PER_SLICE
 
-#: How long a slice or session may be silent, in event time, and among how many state keys they are dealt.
-TTL_S, SHARDS = 86_400, 256
+#: How long a slice or session may be silent, in event time, among how many state keys they are dealt, and among how many pages of each.
+TTL_S, SHARDS, PAGES = 86_400, 256, 64
+
+#: How many rows of a shard are taken in together, and how many of its pages.
+ROWS_AT_ONCE, PAGES_AT_ONCE = 1 << 18, 8
 
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def merge_runs(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Disjoint runs (inclusive) in order, neighbours joined."""
-    order = np.argsort(starts, kind="stable")
-    starts, ends, sizes = starts[order], ends[order], sizes[order]
-    begins = np.flatnonzero(np.append(True, starts[1:] != ends[:-1] + 1)) if len(starts) else np.zeros(0, np.int64)
-    return starts[begins], ends[np.append(begins[1:], len(ends)) - 1] if len(starts) else ends, np.add.reduceat(sizes, begins) if len(starts) else sizes
 
+def arrive_by_item(run_items: np.ndarray, runs: Runs, items: np.ndarray, seqs: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, Runs, np.ndarray]:
+    """The runs of each item after chunks have arrived, by item and start, and which of the chunks were there already.
 
-def arrive(runs: tuple[np.ndarray, np.ndarray, np.ndarray], seqs: np.ndarray, lengths: np.ndarray):
-    """The runs after chunks have arrived, and which of the chunks were there already (of several copies the first counts)."""
-    starts, ends, sizes = runs
-    place = np.searchsorted(starts, seqs, side="right") - 1
-    known = np.zeros(len(seqs), bool) if not len(starts) else (place >= 0) & (seqs <= ends[np.maximum(place, 0)])
-    first = np.zeros(len(seqs), bool)
-    first[np.unique(seqs, return_index=True)[1]] = True
-    new = first & ~known
-    return merge_runs(np.append(starts, seqs[new]), np.append(ends, seqs[new]), np.append(sizes, lengths[new])), ~new
+    Runs of an item are disjoint (both ends included); neighbours are joined. Of several copies of a chunk the first counts.
+    """
+    held = len(run_items)
+    item, start, end, size = (np.append(x, y) for x, y in zip((run_items, *runs), (items, seqs, seqs, lengths)))
+    order = np.lexsort((start, item))  # stable: a run before the chunks at its start, copies as they came
+    item, start, end, size = item[order], start[order], end[order], size[order]
+    chunk = order >= held
+    run = np.maximum.accumulate(np.where(chunk, -1, np.arange(len(order))))  # the last run that begins here or before
+    covered = (run >= 0) & (item[run] == item) & (start <= end[run])
+    copy = np.append(False, (item[1:] == item[:-1]) & (start[1:] == start[:-1]))[:len(order)]
+    dropped = chunk & (covered | copy)
+    ignored = np.zeros(len(seqs), bool)
+    ignored[order[dropped] - held] = True
+    item, start, end, size = item[~dropped], start[~dropped], end[~dropped], size[~dropped]
+    if not len(item):
+        return item, (start, end, size), ignored
+    begins = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (start[1:] != end[:-1] + 1)))
+    return item[begins], (start[begins], end[np.append(begins[1:], len(item)) - 1], np.add.reduceat(size, begins)), ignored
+
+
+def arrive(runs: Runs, seqs: np.ndarray, lengths: np.ndarray) -> tuple[Runs, np.ndarray]:
+    """:func:`arrive_by_item` for a single one."""
+    _, after, ignored = arrive_by_item(np.zeros(len(runs[0]), np.int64), runs, np.zeros(len(seqs), np.int64), seqs, lengths)
+    return after, ignored
+
+
+def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a shard, some pages at a time, so that an entry is exchanged once for many frames."""
+    def parts() -> Iterator[pd.DataFrame]:
+        whole = pd.concat(waiting, ignore_index=True)
+        yield from (part for _, part in whole.groupby(whole["page"] // PAGES_AT_ONCE, sort=False))
+
+    waiting, count = [], 0
+    for frame in frames:
+        waiting.append(frame)
+        count += len(frame)
+        if count >= ROWS_AT_ONCE:
+            yield from parts()
+            waiting, count = [], 0
+    if count:
+        yield from parts()
+
+
+class _Pages:
+    """Map state by (page, slice). An entry is kept under the first of its sessions; a directory names it and the span of its times."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, key_type: str, columns: str):
+        self.bytes_ids = key_type == "binary"
+        self.entries = handle.getMapState(name, f"session_id {key_type}, slice long", f"sessions array<{key_type}>, {columns}")
+        self.places = handle.getMapState(f"{name}_places", "page long, slice long", f"session_id {key_type}, oldest_ms long, newest_ms long")
+
+    def get(self, page: int, number: int) -> tuple | None:
+        """The columns of an entry, sessions first."""
+        place = self.places.getValue((page, number))
+        if place is None:
+            return None
+        sessions, *columns = self.entries.getValue((self.plain(place[0]), number))
+        return [self.plain(x) for x in sessions] if self.bytes_ids else sessions, *columns
+
+    @staticmethod
+    def plain(session):
+        """State gives binary identifiers as byte arrays, which are no keys."""
+        return bytes(session) if isinstance(session, bytearray) else session
+
+    def put(self, page: int, number: int, before: tuple | None, columns: tuple, oldest_ms: int = 0, newest_ms: int = 0) -> None:
+        """Replace the entry that :meth:`get` gave; without sessions it ends."""
+        first = columns[0][0] if columns[0] else None
+        if before is not None and before[0][0] != first:
+            self.entries.removeKey((before[0][0], number))
+        if columns[0]:
+            self.entries.updateValue((first, number), columns)
+            self.places.updateValue((page, number), (first, oldest_ms, newest_ms))
+        elif before is not None:
+            self.places.removeKey((page, number))
+
+    def directory(self) -> list[tuple[int, int, object, int, int]]:
+        """Page, slice, first session, oldest and newest time of each entry."""
+        return [(*key, self.plain(first), *times) for key, (first, *times) in self.places.iterator()]
+
+    def remove(self, page: int, number: int, first) -> None:
+        self.entries.removeKey((first, number))
+        self.places.removeKey((page, number))
 
 
 class _Expiring(StatefulProcessor):
-    """Entries of map states with the event time of their last change; one timer at a time gives up those that are silent."""
+    """Entries of pages with the event time of their last change; one timer at a time gives up those that are silent."""
 
     ttl_ms: int
 
@@ -55,18 +131,23 @@ class _Expiring(StatefulProcessor):
         if not list(self.handle.listTimers()):
             self.handle.registerTimer(max(last_ms + self.ttl_ms, watermark_ms + 1))
 
-    def expired(self, state, place: int, watermark_ms: int) -> list[tuple]:
-        """Keys of entries whose time is over; the next timer is set for the earliest of the others."""
-        gone, due = [], None
-        for key, value in state.iterator():
-            at = int(value[place]) + self.ttl_ms
-            if at <= watermark_ms:
-                gone.append(tuple(key))
-            else:
-                due = at if due is None else min(due, at)
-        if due is not None:
-            self.handle.registerTimer(due)
-        return gone
+    def expired(self, pages: _Pages, watermark_ms: int) -> Iterator[tuple[int, int, object, tuple | None]]:
+        """Page, slice and first session of entries with sessions whose time is over, and the columns if others of the entry stay.
+
+        Last of the columns is the time. The next timer is set for the earliest of those that stay.
+        """
+        due = []
+        for page, number, first, oldest_ms, newest_ms in pages.directory():
+            if newest_ms + self.ttl_ms <= watermark_ms:
+                yield page, number, first, None
+                continue
+            if oldest_ms + self.ttl_ms <= watermark_ms:
+                columns = pages.get(page, number)
+                oldest_ms = min(x for x in columns[-1] if x + self.ttl_ms > watermark_ms)
+                yield page, number, first, columns
+            due.append(oldest_ms + self.ttl_ms)
+        if due:
+            self.handle.registerTimer(min(due))
 
     def close(self) -> None:
         pass
@@ -80,37 +161,91 @@ class SliceRuns(_Expiring):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.runs = handle.getMapState(
-            "runs", f"session_id {self.key_type}, slice long", "starts array<long>, ends array<long>, sizes array<long>, last_ms long")
+        self.runs = _Pages(handle, "runs", self.key_type, "counts array<long>, starts array<long>, ends array<long>, sizes array<long>, last_ms array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        for frame in rows:
-            found = []
-            for (session, number), part in frame.groupby(["session_id", "slice"], sort=False):
-                entry, number = (session, int(number)), int(number)
-                held = self.runs.getValue(entry) if self.runs.containsKey(entry) else ([], [], [], 0)
-                before = tuple(np.asarray(x, np.int64) for x in held[:3])
-                seqs, lengths = part["global_seq"].to_numpy(np.int64), part["length"].to_numpy(np.int64)
-                (starts, ends, sizes), ignored = arrive(before, seqs, lengths)
-                last = max(int(part["ms"].max()), int(held[3]))
-                self.runs.updateValue(entry, (starts.tolist(), ends.tolist(), sizes.tolist(), last))
-                begin, shown = number * self.width, max(last, watermark)
-                settled = int(before[1][0]) if len(before[0]) and before[0][0] == begin else begin - 1
-                found.extend((session, number, "ignored", s, n, "late" if s <= settled else "duplicate", 0, shown)
-                             for s, n in zip(seqs[ignored].tolist(), lengths[ignored].tolist()))
-                if not ignored.all():
-                    whole = starts[0] == begin
-                    found.append((session, number, "slice", int(ends[0]) + 1 - begin if whole else 0, int(sizes[0]) if whole else 0, "",
-                                  int((ends - starts + 1).sum()), shown))
-            self.watch(int(frame["ms"].max()), watermark)
-            if found:
-                out = pd.DataFrame(found, columns=["session_id", "slice", "kind", "seq", "num_bytes", "note", "chunks", "ms"])
-                yield out.assign(ts=pd.to_datetime(out["ms"], unit="ms"))
+        for part in pieces(rows):
+            yield from self.take(part, watermark)
+            self.watch(int(part["ms"].max()), watermark)
+
+    def take(self, part: pd.DataFrame, watermark: int) -> Iterator[pd.DataFrame]:
+        """Take in the chunks of some pages: those that are ignored, and a summary of each slice that has grown."""
+        places = [*part.groupby(["page", "slice"], sort=False).groups]
+        before = [self.runs.get(int(page), int(number)) for page, number in places]
+        held = [(n, *columns) for n, columns in enumerate(before) if columns is not None]
+
+        def gathered(column: int) -> np.ndarray:
+            return np.array([x for entry in held for x in entry[column]], np.int64)
+
+        # An item is a (session, slice); those held come first, in their order.
+        old_place = np.repeat(np.array([entry[0] for entry in held], np.int64), [len(entry[1]) for entry in held])
+        counts, runs, old_last = gathered(2), (gathered(3), gathered(4), gathered(5)), gathered(6)
+        names = ["page", "slice", "session_id"]
+        old = pd.DataFrame({
+            "page": np.array([p for p, _ in places], np.int64)[old_place], "slice": np.array([s for _, s in places], np.int64)[old_place],
+            "session_id": pd.Series([x for entry in held for x in entry[1]], dtype=part["session_id"].dtype)})
+        both = pd.concat([old, part[names]], ignore_index=True) if len(old) else part[names].reset_index(drop=True)
+        groups = both.groupby(["slice", "session_id"], sort=False)
+        codes = groups.ngroup().to_numpy()
+        firsts = np.unique(codes, return_index=True)[1]
+        known = both.iloc[firsts]
+        number, total = known["slice"].to_numpy(np.int64), len(firsts)
+        items, seqs, lengths = codes[len(old):], part["global_seq"].to_numpy(np.int64), part["length"].to_numpy(np.int64)
+        last = np.full(total, -(2**62), np.int64)
+        last[:len(old)] = old_last
+        np.maximum.at(last, items, part["ms"].to_numpy(np.int64))
+        begin, shown = number * self.width, np.maximum(last, watermark)
+
+        settled, old_first = begin - 1, np.cumsum(counts) - counts
+        whole = runs[0][old_first] == begin[:len(old)]
+        settled[:len(old)][whole] = runs[1][old_first][whole]
+        run_items, (starts, ends, sizes), ignored = arrive_by_item(np.repeat(np.arange(len(old)), counts), runs, items, seqs, lengths)
+
+        sessions = known["session_id"].reset_index(drop=True)
+        if ignored.any():
+            of = items[ignored]
+            yield self.shaped(part["session_id"][ignored], part["page"][ignored], number[of], "ignored", seqs[ignored], lengths[ignored],
+                              np.where(seqs[ignored] <= settled[of], "late", "duplicate"), 0, shown[of])
+        first = np.flatnonzero(np.append(True, run_items[1:] != run_items[:-1]))
+        grown = np.flatnonzero(np.bincount(items[~ignored], minlength=total))
+        if len(grown):
+            whole, chunks = starts[first] == begin, np.add.reduceat(ends - starts + 1, first)
+            prefix, size = np.where(whole, ends[first] + 1 - begin, 0), np.where(whole, sizes[first], 0)
+            yield self.shaped(sessions[grown], known["page"].iloc[grown], number[grown], "slice", prefix[grown], size[grown], "", chunks[grown], shown[grown])
+
+        # The entries, each with its items in order and their runs.
+        where = pd.MultiIndex.from_tuples(places).get_indexer(pd.MultiIndex.from_frame(known[["page", "slice"]]))
+        by_item, by_run = np.argsort(where, kind="stable"), np.argsort(where[run_items], kind="stable")
+        item_ends = np.searchsorted(where[by_item], np.arange(len(places)), side="right")
+        run_ends = np.searchsorted(where[run_items[by_run]], np.arange(len(places)), side="right")
+        counts = np.diff(np.append(first, len(run_items)))
+        per_item = [sessions[by_item].tolist(), counts[by_item].tolist()]
+        per_run, times = [x[by_run].tolist() for x in (starts, ends, sizes)], last[by_item].tolist()
+        i = r = 0
+        for (page, number_), was, i_end, r_end in zip(places, before, item_ends.tolist(), run_ends.tolist()):
+            span = times[i:i_end]
+            self.runs.put(int(page), int(number_), was, (*(x[i:i_end] for x in per_item), *(x[r:r_end] for x in per_run), span), min(span), max(span))
+            i, r = i_end, r_end
+
+    @staticmethod
+    def shaped(sessions, pages, number, kind, seqs, sizes, note, chunks, ms) -> pd.DataFrame:
+        return pd.DataFrame({
+            "session_id": sessions.to_numpy(), "page": pages.to_numpy(), "slice": number, "kind": kind, "seq": seqs, "num_bytes": sizes, "note": note,
+            "chunks": chunks, "ms": ms, "ts": pd.to_datetime(ms, unit="ms")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for entry in self.expired(self.runs, 3, timerValues.getCurrentWatermarkInMs()):
-            self.runs.removeKey(entry)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for page, number, first, columns in self.expired(self.runs, watermark):
+            if columns is None:
+                self.runs.remove(page, number, first)
+                continue
+            sessions, counts, *runs, last = columns
+            stay = [x + self.ttl_ms > watermark for x in last]
+            stay_runs = np.repeat(stay, counts).tolist()
+            span = [x for x, y in zip(last, stay) if y]
+            left = [[x for x, y in zip(column, stay) if y] for column in (sessions, counts)]
+            self.runs.put(page, number, columns, (*left, *([x for x, y in zip(column, stay_runs) if y] for column in runs), span), min(span), max(span))
         yield from ()
 
 
@@ -122,57 +257,93 @@ class Frontier(_Expiring):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.heads = handle.getMapState("heads", f"session_id {self.key_type}", "slice long, bytes long, chunks long, last_ms long")
-        self.beyond = handle.getMapState("beyond", f"session_id {self.key_type}, slice long", "prefix long, bytes long, chunks long, last_ms long")
+        self.heads = _Pages(handle, "heads", self.key_type, "slices array<long>, bytes array<long>, chunks array<long>, last_ms array<long>")
+        self.beyond = _Pages(handle, "beyond", self.key_type, "prefixes array<long>, bytes array<long>, chunks array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            ignored = frame[frame["kind"] == "ignored"]
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for part in pieces(rows):
+            ignored = part[part["kind"] == "ignored"]
             if len(ignored):
                 yield ignored[["session_id", "kind", "seq", "num_bytes", "note"]].rename(columns={"seq": "global_seq"})
-            summaries = frame[frame["kind"] == "slice"]
-            found = [self.advance(session, part) for session, part in summaries.groupby("session_id", sort=False)]
+            summaries = part[part["kind"] == "slice"]
             if len(summaries):
-                self.watch(int(summaries["ms"].max()), timerValues.getCurrentWatermarkInMs())
-            if found:
-                yield pd.DataFrame(found, columns=["session_id", "kind", "global_seq", "num_bytes", "note"])
-
-    def advance(self, session, part: pd.DataFrame) -> tuple:
-        """Take in the newest summary of each slice and move over all complete ones."""
-        head, done, chunks, last = self.heads.getValue((session,)) if self.heads.containsKey((session,)) else (0, 0, 0, 0)
-        known: dict[int, tuple[int, int, int]] = {}
-
-        def slice_of(number: int) -> tuple[int, int, int]:
-            if number not in known:
-                known[number] = tuple(self.beyond.getValue((session, number))[:3]) if self.beyond.containsKey((session, number)) else (0, 0, 0)
-            return known[number]
-
-        last = max(int(last), int(part["ms"].max()))
-        newest = part.sort_values("chunks").drop_duplicates("slice", keep="last")
-        for number, prefix, size, count in zip(*(newest[c].tolist() for c in ("slice", "seq", "num_bytes", "chunks"))):
-            if number >= head and count > slice_of(number)[2]:
-                chunks += count - slice_of(number)[2]
-                known[number] = (prefix, size, count)
-                self.beyond.updateValue((session, number), (prefix, size, count, last))
-        while slice_of(head)[0] == self.width:
-            done += slice_of(head)[1]
-            self.beyond.removeKey((session, head))
-            head += 1
-        prefix, size, _ = slice_of(head)
-        self.heads.updateValue((session,), (int(head), int(done), int(chunks), last))
-        next_seq = head * self.width + prefix
-        return session, "progress", next_seq, done + size, str(chunks - next_seq)
+                yield pd.DataFrame(self.advance(summaries), columns=["session_id", "kind", "global_seq", "num_bytes", "note"])
+                self.watch(int(summaries["ms"].max()), watermark)
+
+    def advance(self, part: pd.DataFrame) -> list[tuple]:
+        """Take in the newest summary of each slice and move each session over all complete ones."""
+        heads, beyond = _Loaded(self.heads), _Loaded(self.beyond)
+        last = part.groupby("session_id", sort=False)["ms"].max()
+        newest = part.sort_values("chunks").drop_duplicates(["session_id", "slice"], keep="last")
+        touched = {}
+        for session, page, number, prefix, size, count in zip(*(newest[c].tolist() for c in ("session_id", "page", "slice", "seq", "num_bytes", "chunks"))):
+            touched[session] = page
+            head, done, chunks, ms = heads.page(page, 0).get(session, (0, 0, 0, 0))
+            summaries = beyond.page(page, number)
+            seen = summaries.get(session, (0, 0, 0))[2]
+            if number >= head and count > seen:
+                summaries[session] = (prefix, size, count)
+                heads.page(page, 0)[session] = (head, done, chunks + count - seen, ms)
+        found = []
+        for session, ms in zip(last.index.tolist(), last.tolist()):
+            page = touched[session]
+            head, done, chunks, before_ms = heads.page(page, 0).get(session, (0, 0, 0, 0))
+            prefix, size, _ = beyond.page(page, head).get(session, (0, 0, 0))
+            while prefix == self.width:
+                del beyond.page(page, head)[session]
+                head, done = head + 1, done + size
+                prefix, size, _ = beyond.page(page, head).get(session, (0, 0, 0))
+            heads.page(page, 0)[session] = (head, done, chunks, max(before_ms, ms))
+            next_seq = head * self.width + prefix
+            found.append((session, "progress", next_seq, done + size, str(chunks - next_seq)))
+        heads.save(times=True)
+        beyond.save()
+        return found
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        gone = set(self.expired(self.heads, 3, timerValues.getCurrentWatermarkInMs()))
-        for entry in gone:
-            self.heads.removeKey(entry)
-        for entry in [tuple(k) for k in self.beyond.keys() if (k[0],) in gone] if gone else []:
-            self.beyond.removeKey(entry)
+        watermark, gone = timerValues.getCurrentWatermarkInMs(), {}
+        for page, number, first, columns in self.expired(self.heads, watermark):
+            if columns is None:
+                self.heads.remove(page, number, first)
+                gone[page] = None
+                continue
+            rows = [row for row in zip(*columns) if row[-1] + self.ttl_ms > watermark]
+            left = tuple(list(x) for x in zip(*rows))
+            self.heads.put(page, number, columns, left, min(left[-1]), max(left[-1]))
+            gone[page] = set(columns[0]) - set(left[0])
+        for page, number, first, *_ in self.beyond.directory() if gone else []:
+            if page in gone and gone[page] is None:
+                self.beyond.remove(page, number, first)
+            elif page in gone:
+                columns = self.beyond.get(page, number)
+                rows = [row for row in zip(*columns) if row[0] not in gone[page]]
+                if len(rows) < len(columns[0]):
+                    self.beyond.put(page, number, columns, tuple(list(x) for x in zip(*rows)) if rows else ([],))
         yield from ()
 
 
-def assemble_stream(chunks: DataFrame, width: int = SEQUENCES_PER_SLICE, ttl_s: int = TTL_S, shards: int = SHARDS) -> DataFrame:
+class _Loaded:
+    """Entries of pages as they are read, by session, to be written back together."""
+
+    def __init__(self, pages: _Pages):
+        self.pages, self.before, self.now = pages, {}, {}
+
+    def page(self, page: int, number: int) -> dict:
+        place = (page, number)
+        if place not in self.now:
+            columns = self.before[place] = self.pages.get(page, number)
+            self.now[place] = {} if columns is None else dict(zip(columns[0], zip(*columns[1:])))
+        return self.now[place]
+
+    def save(self, times: bool = False) -> None:
+        for place, rows in self.now.items():
+            columns = ([*rows], *(list(x) for x in zip(*rows.values())))
+            span = columns[-1] if times else [0]
+            self.pages.put(*place, self.before[place], columns, min(span), max(span))
+
+
+def assemble_stream(chunks: DataFrame, width: int = SEQUENCES_PER_SLICE, ttl_s: int = TTL_S, shards: int = SHARDS, pages: int = PAGES) -> DataFrame:
     """Progress of each session, and the late and duplicate chunks that were ignored.
 
     ``chunks`` has session_id, global_seq, length and ts, the event time, with a watermark; rows without one of the first two or a time are ignored, a
@@ -181,16 +352,17 @@ def assemble_stream(chunks: DataFrame, width: int = SEQUENCES_PER_SLICE, ttl_s:
     why: ``late`` if its slice was complete up to it before the micro-batch, ``duplicate`` if it was waiting or came twice.
 
     A slice or session that is silent for ``ttl_s`` is given up and would begin anew, so choose more than a session may pause.
-    ``width`` and ``shards`` change no result. Needs the RocksDB state store.
+    ``width``, ``shards`` and ``pages`` change no result. Needs the RocksDB state store.
     """
     key_type = dict(chunks.dtypes)["session_id"]
     slices = F.floor(F.col("global_seq") / F.lit(width)).cast("long")
     rows = chunks.filter("session_id IS NOT NULL AND global_seq >= 0 AND ts IS NOT NULL").select(
-        "session_id", slices.alias("slice"), "global_seq", F.coalesce("length", F.lit(0)).cast("long").alias("length"), "ts", F.unix_millis("ts").alias("ms"))
+        "session_id", F.pmod(F.shiftrightunsigned(F.xxhash64("session_id"), 32), F.lit(pages)).cast("long").alias("page"), slices.alias("slice"),
+        "global_seq", F.coalesce("length", F.lit(0)).cast("long").alias("length"), "ts", F.unix_millis("ts").alias("ms"))
     shard = lambda *key: F.pmod(F.xxhash64(*key), F.lit(shards))
     runs = rows.withColumn("shard", shard("session_id", "slice")).groupBy("shard").transformWithStateInPandas(
         SliceRuns(key_type, width, ttl_s),
-        f"session_id {key_type}, slice long, kind string, seq long, num_bytes long, note string, chunks long, ms long, ts timestamp",
+        f"session_id {key_type}, page long, slice long, kind string, seq long, num_bytes long, note string, chunks long, ms long, ts timestamp",
         "Append", "EventTime", eventTimeColumnName="ts")
     # What is ignored only passes through: it stays spread by slice.
     dealt = runs.withColumn("shard", F.when(F.col("kind") == "ignored", shard("session_id", "slice")).otherwise(shard("session_id")))

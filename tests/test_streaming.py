@@ -86,6 +86,19 @@ def test_assembly_state_ends(spark, tmp_path):
         assert {r["user_map_key"]["session_id"] for r in left.collect()} == {77}, name
 
 
+def test_short_sessions_share_state_entries(spark, tmp_path):
+    """4,000 sessions of four chunks over two batches take one entry for each shard and page, not one for each session."""
+    rows = [(s, q, 1 + q, 1000 + s % 7) for s in range(4000) for q in (0, 3)] + [(s, q, 1 + q, 1010) for s in range(4000) for q in (1, 2 if s % 2 else 4)]
+    feed = as_feed(spark, tmp_path, rows, "session_id long, global_seq long, length long, s long", 2)
+    timed = windows.with_event_time(feed.withColumn("ts", F.timestamp_seconds("s")), "ts", "1 minute")
+    path = str(tmp_path / "out")
+    done = sinks.run_append(assembly.assemble_stream(timed, shards=4), path).collect()
+    assert progress_of(done) == {s: (4, 10, 0) if s % 2 else (2, 3, 2) for s in range(4000)}
+    for operator, name in ((1, "runs"), (0, "heads"), (0, "beyond")):
+        left = spark.read.format("statestore").option("path", f"{path}.checkpoint").option("operatorId", operator).option("stateVarName", name).load()
+        assert left.count() == 4 * assembly.PAGES, name
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_runs_of_arrivals(seed):
     rng = random.Random(seed)
