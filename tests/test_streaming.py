@@ -99,6 +99,26 @@ def test_short_sessions_share_state_entries(spark, tmp_path):
         assert left.count() == 4 * assembly.PAGES, name
 
 
+@pytest.mark.parametrize("kind,ids", [("string", "abcz"), ("binary", [b"a", b"b", b"c", b"z"])])
+def test_copies_of_sessions_that_share_an_entry(spark, tmp_path, kind, ids):
+    """The first of an entry falls silent and begins anew; a copy of a chunk of the one that stays is still ignored."""
+    a, b, c, z = ids
+    rows = [(a, 0, 5, 100), (b, 0, 5, 100), (c, 0, 5, 100), *((b, q, 5, 50_000) for q in (1, 2, 4)),
+            *((z, q, 5, 50_020) for q in (0, 1, 2)), (a, 0, 5, 50_030), (b, 0, 5, 50_030), (b, 4, 5, 50_030)]
+    feed = as_feed(spark, tmp_path, rows, f"session_id {kind}, global_seq long, length long, s long", 4)
+    timed = windows.with_event_time(feed.withColumn("ts", F.timestamp_seconds("s")), "ts", "1 minute")
+    path = str(tmp_path / "out")
+    done = sinks.run_append(assembly.assemble_stream(timed, ttl_s=600, shards=1, pages=1), path).collect()
+    whole = (lambda x: x) if kind == "string" else bytes
+    ignored = {(whole(r["session_id"]), r["global_seq"], r["note"]) for r in done if r["kind"] == "ignored"}
+    assert ignored == {(b, 0, "late"), (b, 4, "duplicate")}
+    for operator, name in ((1, "runs"), (0, "heads"), (0, "beyond")):
+        left = spark.read.format("statestore").option("path", f"{path}.checkpoint").option("operatorId", operator).option("stateVarName", name).load()
+        (entry,) = left.collect()
+        assert whole(entry["user_map_key"]["session_id"]) == b, name
+        assert {whole(x) for x in entry["user_map_value"]["sessions"]} == {a, b, z}, name
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_runs_of_arrivals(seed):
     rng = random.Random(seed)
