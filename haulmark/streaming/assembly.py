@@ -8,17 +8,23 @@ writes only the entries it touches, and a session of any size is spread over as
 Sessions are dealt to pages as well, and the same slice of the sessions of one page shares an entry. What an exchange with the state store
 costs is so paid once for a page, not once for each of many short sessions, and their chunks are taken in together.
 
+Rows reach a stateful operator one by one in Python, which takes far longer than the operators' own work. So chunks travel in packs: a task
+packs what it has read of a shard into a row of arrays, and the first operator packs its summaries by the shard they go to.
+
 What has been silent for the time to live, in event time, is given up by timers.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from haulmark.operators.slices import SEQUENCES_PER_SLICE
@@ -29,6 +35,9 @@ TTL_S, SHARDS, PAGES = 86_400, 256, 64
 #: How many rows of a shard are taken in together, and how many of its pages.
 ROWS_AT_ONCE, PAGES_AT_ONCE = 1 << 18, 8
 
+#: How many rows a pack holds at most.
+PACK = 1 << 14
+
 Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -61,6 +70,48 @@ def arrive(runs: Runs, seqs: np.ndarray, lengths: np.ndarray) -> tuple[Runs, np.
     return after, ignored
 
 
+def pack_bounds(shards: np.ndarray) -> np.ndarray:
+    """Where packs of rows sorted by shard begin, and the end of the last one."""
+    begins = np.flatnonzero(np.append(True, shards[1:] != shards[:-1]))
+    sizes = np.diff(np.append(begins, len(shards)))
+    rank = np.arange(len(shards)) - np.repeat(begins, sizes)
+    return np.append(np.flatnonzero(rank % PACK == 0), len(shards))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows of arrays by ``shard``, each with rows of one task; ``ts`` is the newest time of a pack."""
+    columns = [c for c in rows.columns if c not in ("shard", "ts")]
+    schema = T.StructType([rows.schema["shard"], *(T.StructField(c, T.ArrayType(rows.schema[c].dataType)) for c in columns), rows.schema["ts"]])
+
+    def pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches)
+        table = table.take(np.argsort(table["shard"].to_numpy(), kind="stable")).combine_chunks()
+        shards, bounds = table["shard"].to_numpy(), pack_bounds(table["shard"].to_numpy())
+        newest = np.maximum.reduceat(table["ts"].cast(pa.int64()).to_numpy(), bounds[:-1])
+        lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), table[c].combine_chunks()) for c in columns]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shards[bounds[:-1]]), *lists, pa.array(newest).cast(table.schema.field("ts").type)], ["shard", *columns, "ts"])
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, count = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                count += batch.num_rows
+            if count >= ROWS_AT_ONCE:
+                yield pack(waiting)
+                waiting, count = [], 0
+        if count:
+            yield pack(waiting)
+
+    return rows.mapInArrow(of_task, schema)
+
+
+def unpacked(frame: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
+    """The rows in packs."""
+    return pd.DataFrame({c: np.concatenate(frame[c].to_numpy()) for c in columns})
+
+
 def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows of a shard, some pages at a time, so that an entry is exchanged once for many frames."""
     def parts() -> Iterator[pd.DataFrame]:
@@ -99,13 +150,18 @@ class _Pages:
         """State gives binary identifiers as byte arrays, which are no keys."""
         return bytes(session) if isinstance(session, bytearray) else session
 
+    @staticmethod
+    def longs(column):
+        """State takes in an array of longs as a whole, a list element by element."""
+        return array("l", np.asarray(column, np.int64).tobytes()) if len(column) and isinstance(column[0], int | np.integer) else column
+
     def put(self, page: int, number: int, before: tuple | None, columns: tuple, oldest_ms: int = 0, newest_ms: int = 0) -> None:
         """Replace the entry that :meth:`get` gave; without sessions it ends."""
-        first = columns[0][0] if columns[0] else None
+        first = columns[0][0] if len(columns[0]) else None
         if before is not None and before[0][0] != first:
             self.entries.removeKey((before[0][0], number))
-        if columns[0]:
-            self.entries.updateValue((first, number), columns)
+        if len(columns[0]):
+            self.entries.updateValue((first, number), tuple(self.longs(x) for x in columns))
             self.places.updateValue((page, number), (first, oldest_ms, newest_ms))
         elif before is not None:
             self.places.removeKey((page, number))
@@ -162,12 +218,44 @@ class SliceRuns(_Expiring):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.runs = _Pages(handle, "runs", self.key_type, "counts array<long>, starts array<long>, ends array<long>, sizes array<long>, last_ms array<long>")
+        self.passed = handle.getValueState("passed", "ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        for part in pieces(rows):
-            yield from self.take(part, watermark)
+        passed = self.passed.get()
+        self.passed.update((watermark,))
+        waiting, count = [], 0
+        for part in pieces(self.in_time(rows, passed[0] if passed else -(2**62))):
+            for frame in self.take(part, watermark):
+                waiting.append(frame)
+                count += len(frame)
             self.watch(int(part["ms"].max()), watermark)
+            if count >= ROWS_AT_ONCE:
+                yield self.dealt(key[0], waiting)
+                waiting, count = [], 0
+        if count:
+            yield self.dealt(key[0], waiting)
+
+    @staticmethod
+    def in_time(frames: Iterator[pd.DataFrame], passed_ms: int) -> Iterator[pd.DataFrame]:
+        """The chunks in packs. Spark drops late packs; late chunks of others are those before the watermark of the micro-batch before."""
+        for frame in frames:
+            chunks = unpacked(frame, ["session_id", "head", "page", "slice", "global_seq", "length", "ms"])
+            yield chunks[chunks["ms"] > passed_ms]
+
+    @staticmethod
+    def dealt(shard: int, frames: list[pd.DataFrame]) -> pd.DataFrame:
+        """Packs by the shard they go to: summaries that of their session; what is ignored only passes through and stays spread by slice."""
+        rows = pd.concat(frames, ignore_index=True)
+        ignored = rows["ignored"].to_numpy()
+        to = np.where(ignored, shard, rows["head"].to_numpy())
+        order = np.lexsort((to, ignored))
+        rows, to, ignored = rows.iloc[order], to[order], ignored[order]
+        bounds = pack_bounds(to * 2 + ignored)
+        begins, arrays = bounds[:-1], {c: rows[c].to_numpy() for c in ("session_id", "page", "slice", "seq", "num_bytes", "late", "chunks", "ms")}
+        packs = {c: pd.Series(np.split(x, begins[1:]) if len(begins) > 1 else [x], dtype=object) for c, x in arrays.items()}
+        newest = np.maximum.reduceat(arrays["ms"], begins)
+        return pd.DataFrame({"shard": to[begins], "ignored": ignored[begins], **packs, "ts": pd.to_datetime(newest, unit="ms")})
 
     def take(self, part: pd.DataFrame, watermark: int) -> Iterator[pd.DataFrame]:
         """Take in the chunks of some pages: those that are ignored, and a summary of each slice that has grown."""
@@ -195,7 +283,9 @@ class SliceRuns(_Expiring):
         last = np.full(total, -(2**62), np.int64)
         last[:len(old)] = old_last
         np.maximum.at(last, items, part["ms"].to_numpy(np.int64))
-        begin, shown = number * self.width, np.maximum(last, watermark)
+        begin, shown = number * self.width, np.maximum(last, watermark + 1)
+        head = np.zeros(total, np.int64)
+        head[items] = part["head"].to_numpy(np.int64)
 
         settled, old_first = begin - 1, np.cumsum(counts) - counts
         whole = runs[0][old_first] == begin[:len(old)]
@@ -205,14 +295,15 @@ class SliceRuns(_Expiring):
         sessions = known["session_id"].reset_index(drop=True)
         if ignored.any():
             of = items[ignored]
-            yield self.shaped(part["session_id"][ignored], part["page"][ignored], number[of], "ignored", seqs[ignored], lengths[ignored],
-                              np.where(seqs[ignored] <= settled[of], "late", "duplicate"), 0, shown[of])
+            yield self.shaped(part["session_id"][ignored], head[of], part["page"][ignored], number[of], True, seqs[ignored], lengths[ignored],
+                              seqs[ignored] <= settled[of], 0, shown[of])
         first = np.flatnonzero(np.append(True, run_items[1:] != run_items[:-1]))
         grown = np.flatnonzero(np.bincount(items[~ignored], minlength=total))
         if len(grown):
             whole, chunks = starts[first] == begin, np.add.reduceat(ends - starts + 1, first)
             prefix, size = np.where(whole, ends[first] + 1 - begin, 0), np.where(whole, sizes[first], 0)
-            yield self.shaped(sessions[grown], known["page"].iloc[grown], number[grown], "slice", prefix[grown], size[grown], "", chunks[grown], shown[grown])
+            yield self.shaped(sessions[grown], head[grown], known["page"].iloc[grown], number[grown], False, prefix[grown], size[grown], False, chunks[grown],
+                              shown[grown])
 
         # The entries, each with its items in order and their runs.
         where = pd.MultiIndex.from_tuples(places).get_indexer(pd.MultiIndex.from_frame(known[["page", "slice"]]))
@@ -220,19 +311,19 @@ class SliceRuns(_Expiring):
         item_ends = np.searchsorted(where[by_item], np.arange(len(places)), side="right")
         run_ends = np.searchsorted(where[run_items[by_run]], np.arange(len(places)), side="right")
         counts = np.diff(np.append(first, len(run_items)))
-        per_item = [sessions[by_item].tolist(), counts[by_item].tolist()]
-        per_run, times = [x[by_run].tolist() for x in (starts, ends, sizes)], last[by_item].tolist()
+        per_item = [sessions[by_item].tolist(), counts[by_item]]
+        per_run, times = [x[by_run] for x in (starts, ends, sizes)], last[by_item]
         i = r = 0
         for (page, number_), was, i_end, r_end in zip(places, before, item_ends.tolist(), run_ends.tolist()):
             span = times[i:i_end]
-            self.runs.put(int(page), int(number_), was, (*(x[i:i_end] for x in per_item), *(x[r:r_end] for x in per_run), span), min(span), max(span))
+            self.runs.put(int(page), int(number_), was, (*(x[i:i_end] for x in per_item), *(x[r:r_end] for x in per_run), span), int(span.min()), int(span.max()))
             i, r = i_end, r_end
 
     @staticmethod
-    def shaped(sessions, pages, number, kind, seqs, sizes, note, chunks, ms) -> pd.DataFrame:
+    def shaped(sessions, head, pages, number, ignored, seqs, sizes, late, chunks, ms) -> pd.DataFrame:
         return pd.DataFrame({
-            "session_id": sessions.to_numpy(), "page": pages.to_numpy(), "slice": number, "kind": kind, "seq": seqs, "num_bytes": sizes, "note": note,
-            "chunks": chunks, "ms": ms, "ts": pd.to_datetime(ms, unit="ms")})
+            "session_id": sessions.to_numpy(), "head": head, "page": pages.to_numpy(), "slice": number, "ignored": ignored, "seq": seqs, "num_bytes": sizes,
+            "late": late, "chunks": chunks, "ms": ms})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
@@ -261,15 +352,26 @@ class Frontier(_Expiring):
         self.beyond = _Pages(handle, "beyond", self.key_type, "prefixes array<long>, bytes array<long>, chunks array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        for part in pieces(rows):
-            ignored = part[part["kind"] == "ignored"]
-            if len(ignored):
-                yield ignored[["session_id", "kind", "seq", "num_bytes", "note"]].rename(columns={"seq": "global_seq"})
-            summaries = part[part["kind"] == "slice"]
-            if len(summaries):
-                yield pd.DataFrame(self.advance(summaries), columns=["session_id", "kind", "global_seq", "num_bytes", "note"])
-                self.watch(int(summaries["ms"].max()), watermark)
+        watermark, ignored = timerValues.getCurrentWatermarkInMs(), []
+        for part in pieces(self.summaries(rows, ignored)):
+            yield from ignored
+            ignored.clear()
+            yield pd.DataFrame(self.advance(part), columns=["session_id", "kind", "global_seq", "num_bytes", "note"])
+            self.watch(int(part["ms"].max()), watermark)
+        yield from ignored
+
+    @staticmethod
+    def summaries(frames: Iterator[pd.DataFrame], ignored: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The summaries in packs; ``ignored`` gets the chunks that are not taken in."""
+        for frame in frames:
+            passing = frame["ignored"].to_numpy(bool)
+            if passing.any():
+                rows = unpacked(frame[passing], ["session_id", "seq", "num_bytes", "late"])
+                ignored.append(pd.DataFrame({
+                    "session_id": rows["session_id"], "kind": "ignored", "global_seq": rows["seq"], "num_bytes": rows["num_bytes"],
+                    "note": np.where(rows["late"].to_numpy(bool), "late", "duplicate")}))
+            if not passing.all():
+                yield unpacked(frame[~passing], ["session_id", "page", "slice", "seq", "num_bytes", "chunks", "ms"])
 
     def advance(self, part: pd.DataFrame) -> list[tuple]:
         """Take in the newest summary of each slice and move each session over all complete ones."""
@@ -279,22 +381,23 @@ class Frontier(_Expiring):
         touched = {}
         for session, page, number, prefix, size, count in zip(*(newest[c].tolist() for c in ("session_id", "page", "slice", "seq", "num_bytes", "chunks"))):
             touched[session] = page
-            head, done, chunks, ms = heads.page(page, 0).get(session, (0, 0, 0, 0))
-            summaries = beyond.page(page, number)
+            of_page, summaries = heads.page(page, 0), beyond.page(page, number)
+            head, done, chunks, ms = of_page.get(session, (0, 0, 0, 0))
             seen = summaries.get(session, (0, 0, 0))[2]
             if number >= head and count > seen:
                 summaries[session] = (prefix, size, count)
-                heads.page(page, 0)[session] = (head, done, chunks + count - seen, ms)
+                of_page[session] = (head, done, chunks + count - seen, ms)
         found = []
         for session, ms in zip(last.index.tolist(), last.tolist()):
             page = touched[session]
-            head, done, chunks, before_ms = heads.page(page, 0).get(session, (0, 0, 0, 0))
+            of_page = heads.page(page, 0)
+            head, done, chunks, before_ms = of_page.get(session, (0, 0, 0, 0))
             prefix, size, _ = beyond.page(page, head).get(session, (0, 0, 0))
             while prefix == self.width:
                 del beyond.page(page, head)[session]
                 head, done = head + 1, done + size
                 prefix, size, _ = beyond.page(page, head).get(session, (0, 0, 0))
-            heads.page(page, 0)[session] = (head, done, chunks, max(before_ms, ms))
+            of_page[session] = (head, done, chunks, max(before_ms, ms))
             next_seq = head * self.width + prefix
             found.append((session, "progress", next_seq, done + size, str(chunks - next_seq)))
         heads.save(times=True)
@@ -360,11 +463,10 @@ def assemble_stream(chunks: DataFrame, width: int = SEQUENCES_PER_SLICE, ttl_s:
         "session_id", F.pmod(F.shiftrightunsigned(F.xxhash64("session_id"), 32), F.lit(pages)).cast("long").alias("page"), slices.alias("slice"),
         "global_seq", F.coalesce("length", F.lit(0)).cast("long").alias("length"), "ts", F.unix_millis("ts").alias("ms"))
     shard = lambda *key: F.pmod(F.xxhash64(*key), F.lit(shards))
-    runs = rows.withColumn("shard", shard("session_id", "slice")).groupBy("shard").transformWithStateInPandas(
+    dealt = packed(rows.select("*", shard("session_id", "slice").alias("shard"), shard("session_id").alias("head")))
+    runs = dealt.groupBy("shard").transformWithStateInPandas(
         SliceRuns(key_type, width, ttl_s),
-        f"session_id {key_type}, page long, slice long, kind string, seq long, num_bytes long, note string, chunks long, ms long, ts timestamp",
-        "Append", "EventTime", eventTimeColumnName="ts")
-    # What is ignored only passes through: it stays spread by slice.
-    dealt = runs.withColumn("shard", F.when(F.col("kind") == "ignored", shard("session_id", "slice")).otherwise(shard("session_id")))
-    return dealt.groupBy("shard").transformWithStateInPandas(
+        f"shard long, ignored boolean, session_id array<{key_type}>, page array<long>, slice array<long>, seq array<long>, num_bytes array<long>, "
+        "late array<boolean>, chunks array<long>, ms array<long>, ts timestamp", "Append", "EventTime", eventTimeColumnName="ts")
+    return runs.groupBy("shard").transformWithStateInPandas(
         Frontier(key_type, width, ttl_s), f"session_id {key_type}, kind string, global_seq long, num_bytes long, note string", "Append", "EventTime")

@@ -119,6 +119,25 @@ def test_copies_of_sessions_that_share_an_entry(spark, tmp_path, kind, ids):
         assert {whole(x) for x in entry["user_map_value"]["sessions"]} == {a, b, z}, name
 
 
+def test_chunks_travel_in_packs(spark):
+    """What a task has read of a shard is one row, not one for each chunk; no pack is longer than the limit."""
+    chunks = spark.range(20_000).coalesce(1).selectExpr("id % 3 AS shard", "cast(id AS string) AS session_id", "id AS global_seq", "timestamp_seconds(id) AS ts")
+    packs = assembly.packed(chunks).withColumn("s", F.unix_seconds("ts")).orderBy("shard").collect()
+    assert [(r["shard"], r["s"]) for r in packs] == [(0, 19_998), (1, 19_999), (2, 19_997)]
+    for r in packs:
+        assert r["global_seq"] == [*range(r["shard"], 20_000, 3)] and r["session_id"] == [str(x) for x in r["global_seq"]]
+    assert assembly.pack_bounds(np.repeat([4, 7, 9], [2, assembly.PACK + 1, 1])).tolist() == [0, 2, assembly.PACK + 2, assembly.PACK + 3, assembly.PACK + 4]
+
+
+def test_late_chunk_in_a_pack(spark, tmp_path):
+    """A chunk from before the watermark stays out though its pack holds a newer one."""
+    rows = [(1, 0, 5, 100_000), (2, 0, 5, 100_000), (1, 1, 5, 100_100), (2, 1, 5, 100_100), (1, 2, 5, 1000), (1, 3, 5, 100_200)]
+    feed = as_feed(spark, tmp_path, rows, "session_id long, global_seq long, length long, s long", 3)
+    timed = windows.with_event_time(feed.withColumn("ts", F.timestamp_seconds("s")), "ts", "1 minute")
+    done = sinks.run_append(assembly.assemble_stream(timed, shards=1), str(tmp_path / "out")).collect()
+    assert progress_of(done) == {1: (2, 10, 1), 2: (2, 10, 0)}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_runs_of_arrivals(seed):
     rng = random.Random(seed)
